@@ -93,23 +93,28 @@ def header_drift(spark: SparkSession, folder: str) -> DataFrame:
     return delimited.header_drift(spark, "nibrs_incident", path)
 
 
-def incremental_drop_load(spark: SparkSession, folder: str) -> DataFrame:
-    drops, loaded, checkpoint = (fresh_path(spark, name) for name in ("drops", "loaded", "progress"))
+def _yearly_drops(spark: SparkSession, folder: str) -> tuple[str, list[int]]:
+    """The incidents as one folder of CSV files per year, and the years."""
+    drops = fresh_path(spark, "drops")
     rows = _declared_incidents(spark, folder)
-    even = F.col("data_year") % 2 == 0
-    for drop in (rows.filter(even), rows.filter(~even)):
-        delimited.write_table(drop, drops, mode="append")
-        load_new_drops(spark, "nibrs_incident", drops, loaded, checkpoint)
+    delimited.write_table(rows.withColumn("drop", F.col("data_year")), drops, folders=("drop",))
+    return drops, [year for (year,) in rows.select("data_year").distinct().collect()]
+
+
+def incremental_drop_load(spark: SparkSession, folder: str) -> DataFrame:
+    drops, _ = _yearly_drops(spark, folder)
+    loaded, checkpoint = fresh_path(spark, "loaded"), fresh_path(spark, "progress")
+    for _ in range(2):  # the second run finds nothing new
+        load_new_drops(spark, "nibrs_incident", f"{drops}/drop=*", loaded, checkpoint)
     return spark.read.schema(REGISTRY["nibrs_incident"].schema).parquet(loaded).select(LANDED_COLUMNS)
 
 
 def yearly_append(spark: SparkSession, folder: str) -> DataFrame:
+    drops, years = _yearly_drops(spark, folder)
     path = fresh_path(spark, "incidents-by-year")
-    columns = ["incident_id", "agency_id", "incident_date", "cleared_except_id", "data_year"]
-    rows = star_tables(spark, folder)["nibrs_incident"].select(columns)
-    for (year,) in rows.select("data_year").distinct().collect():
-        delimited.append_drop(rows.filter(F.col("data_year") == year), path)
-    return spark.read.parquet(path)
+    for year in years:
+        delimited.append_drop(delimited.read_table(spark, "nibrs_incident", f"{drops}/drop={year}"), path)
+    return spark.read.schema(REGISTRY["nibrs_incident"].schema).parquet(path).select(LANDED_COLUMNS)
 
 
 def publish_summary(spark: SparkSession, folder: str) -> DataFrame:

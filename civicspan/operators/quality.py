@@ -5,10 +5,10 @@ Loading never stops on them: load first, then run ``validation_report``.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicspan.sources.schema import REFERENCES, REGISTRY, Reference, Table
@@ -62,72 +62,85 @@ def cardinality_violations(child: DataFrame, parent_key: str, limit: int) -> Dat
     return counts.filter(F.col("child_rows") > limit)
 
 
-def _one_pass(rows: DataFrame, conditions: Mapping[str, Column]) -> DataFrame:
-    """Rows that meet each condition, all counted in one scan: one row per condition."""
-    names = list(conditions)
-    counted = rows.agg(*[F.count_if(conditions[name]).alias(f"c{i}") for i, name in enumerate(names)])
-    result = F.array(
-        *[F.struct(F.lit(name).alias("column_name"), F.col(f"c{i}").alias("violations")) for i, name in enumerate(names)]
+def _one_pass(rows: DataFrame, conditions: Mapping[tuple[str, str], str]) -> DataFrame:
+    """Rows that meet each condition, all counted in one scan: one row per condition.
+
+    Conditions are SQL texts by kind of check and column.
+    """
+    counted = rows.selectExpr(*[f"count_if({text}) AS c{i}" for i, text in enumerate(conditions.values())])
+    lines = ", ".join(
+        f"named_struct('check_name', '{check}', 'column_name', '{column}', 'violations', c{i})"
+        for i, (check, column) in enumerate(conditions)
     )
-    return counted.select(F.inline(result))
+    return counted.selectExpr(f"inline(array({lines}))")
+
+
+def _null_conditions(required: Iterable[str]) -> dict[tuple[str, str], str]:
+    return {("not_null", name): f"`{name}` IS NULL" for name in required}
+
+
+def _length_conditions(lengths: Mapping[str, int]) -> dict[tuple[str, str], str]:
+    return {("length", name): f"length(rtrim(`{name}`)) > {limit}" for name, limit in lengths.items()}
+
+
+def _domain_conditions(domains: Mapping[str, list[str]]) -> dict[tuple[str, str], str]:
+    return {
+        ("domain", name): f"`{name}` NOT IN ({', '.join(repr(code) for code in codes)})"
+        for name, codes in domains.items()
+    }
 
 
 def null_violations(rows: DataFrame, required: list[str]) -> DataFrame:
-    return _one_pass(rows, {name: F.col(name).isNull() for name in required})
+    return _one_pass(rows, _null_conditions(required)).drop("check_name")
 
 
 def length_violations(rows: DataFrame, lengths: Mapping[str, int]) -> DataFrame:
     """Values longer than declared; trailing blanks do not count."""
-    return _one_pass(rows, {name: F.length(F.rtrim(name)) > limit for name, limit in lengths.items()})
+    return _one_pass(rows, _length_conditions(lengths)).drop("check_name")
 
 
 def type_violations(rows: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Text that does not fit the declared type."""
-    return _one_pass(
-        rows, {name: F.col(name).isNotNull() & F.col(name).try_cast(kind).isNull() for name, kind in types.items()}
-    )
+    conditions = {
+        ("type", name): f"`{name}` IS NOT NULL AND try_cast(`{name}` AS {kind}) IS NULL"
+        for name, kind in types.items()
+    }
+    return _one_pass(rows, conditions).drop("check_name")
 
 
 def domain_violations(rows: DataFrame, domains: Mapping[str, list[str]]) -> DataFrame:
     """Filled values outside their documented codes."""
-    return _one_pass(rows, {name: ~F.col(name).isin(codes) for name, codes in domains.items()})
+    return _one_pass(rows, _domain_conditions(domains)).drop("check_name")
 
 
-def _line(counts: DataFrame, table: str, check: str) -> DataFrame:
-    return counts.select(
-        F.lit(table).alias("table_name"),
-        F.lit(check).alias("check_name"),
-        F.col("column_name").alias("detail"),
-        "violations",
+def _single(violating: DataFrame, check: str, detail: str, violations: str) -> DataFrame:
+    """One report row out of the violating groups."""
+    return violating.selectExpr(
+        f"'{check}' AS check_name",
+        f"'{detail}' AS column_name",
+        f"CAST(coalesce({violations}, 0) AS bigint) AS violations",
     )
 
 
-def _counted(violating: DataFrame, detail: str, violations: Column) -> DataFrame:
-    return violating.agg(F.coalesce(violations, F.lit(0)).cast("bigint").alias("violations")).select(
-        F.lit(detail).alias("column_name"), "violations"
-    )
-
+def table_checks(rows: DataFrame, table: Table) -> list[DataFrame]:
+    """Key, required-column, length, code and row-limit checks for the declared columns present.
 
-def table_checks(name: str, rows: DataFrame, table: Table) -> list[DataFrame]:
-    """Key, required-column, length and code checks for the declared columns that are present."""
+    All checks that look at one row at a time share one scan.
+    """
     present = set(rows.columns)
-    checks = []
+    conditions = {
+        **_null_conditions(c for c in table.required() if c in present),
+        **_length_conditions({c: n for c, n in table.lengths().items() if c in present}),
+        **_domain_conditions({c: codes for c, codes in DOMAINS.items() if c in present}),
+    }
+    checks = [_one_pass(rows, conditions)] if conditions else []
     if present.issuperset(table.key):
-        violating = _counted(key_violations(rows, list(table.key)), ",".join(table.key), F.count("*"))
-        checks.append(_line(violating, name, "primary_key"))
-    required = [c for c in table.required() if c in present]
-    lengths = {c: n for c, n in table.lengths().items() if c in present}
-    domains = {c: codes for c, codes in DOMAINS.items() if c in present}
-    if required:
-        checks.append(_line(null_violations(rows, required), name, "not_null"))
-    if lengths:
-        checks.append(_line(length_violations(rows, lengths), name, "length"))
-    if domains:
-        checks.append(_line(domain_violations(rows, domains), name, "domain"))
+        repeated = key_violations(rows, list(table.key))
+        checks.append(_single(repeated, "primary_key", ",".join(table.key), "count(*)"))
     for limited, parent_key, limit in ROW_LIMITS:
-        if limited == name and parent_key in present:
+        if limited == table.name and parent_key in present:
             over = cardinality_violations(rows, parent_key, limit)
-            checks.append(_line(_counted(over, parent_key, F.count("*")), name, "row_limit"))
+            checks.append(_single(over, "row_limit", parent_key, "count(*)"))
     return checks
 
 
@@ -137,12 +150,18 @@ def validation_report(
     references: list[Reference] = REFERENCES,
 ) -> DataFrame:
     """One row per check: table, kind of check, column or columns, number of violations."""
-    checks = [check for name in tables if name in registry for check in table_checks(name, tables[name], registry[name])]
+    columns = {name: set(tables[name].columns) for name in tables}
+    checks = []
+
+    def add(name: str, found: DataFrame) -> None:
+        checks.append(found.selectExpr(f"'{name}' AS table_name", "check_name", "column_name AS detail", "violations"))
+
+    for name in columns:
+        if name in registry:
+            for found in table_checks(tables[name], registry[name]):
+                add(name, found)
     for ref in references:
-        if ref.child in tables and ref.parent in tables:
-            child, parent = tables[ref.child], tables[ref.parent]
-            if ref.column in child.columns and ref.parent_column in parent.columns:
-                lost = orphans(child, ref.column, parent, ref.parent_column)
-                counted = _counted(lost, f"{ref.column}->{ref.parent}", F.sum("orphan_rows"))
-                checks.append(_line(counted, ref.child, "foreign_key"))
+        if ref.column in columns.get(ref.child, ()) and ref.parent_column in columns.get(ref.parent, ()):
+            lost = orphans(tables[ref.child], ref.column, tables[ref.parent], ref.parent_column)
+            add(ref.child, _single(lost, "foreign_key", f"{ref.column}->{ref.parent}", "sum(orphan_rows)"))
     return reduce(DataFrame.unionByName, checks)

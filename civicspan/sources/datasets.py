@@ -41,6 +41,8 @@ def parquet_tables(spark: SparkSession, root: str, names: list[str] | None = Non
     """The declared tables as Parquet folders ``root/<table>``, read with the declared schema."""
 
     def reader(name: str) -> Callable[[], DataFrame]:
-        return lambda: spark.read.schema(REGISTRY[name].schema).parquet(f"{root}/{name}")
+        # The year is a folder name, which Spark would put last.
+        schema = REGISTRY[name].schema
+        return lambda: spark.read.schema(schema).parquet(f"{root}/{name}").select(schema.fieldNames())
 
     return Tables({name: reader(name) for name in names or REGISTRY})

@@ -79,9 +79,13 @@ def read_drop(spark: SparkSession, folder: str, encodings: dict[str, str] | None
     return Tables({name: reader(name) for name in REGISTRY})
 
 
-def write_table(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write in the form that ``read_table`` reads, telling NULL and empty text apart."""
-    rows.write.mode(mode).csv(
+def write_table(rows: DataFrame, path: str, folders: tuple[str, ...] = ()) -> None:
+    """Write in the form that ``read_table`` reads, telling NULL and empty text apart.
+
+    ``folders`` names columns that become subfolders instead of file columns.
+    """
+    placed = rows.hint("rebalance", *folders) if folders else rows
+    placed.write.partitionBy(*folders).csv(
         path,
         header=True,
         escape='"',
@@ -141,3 +145,17 @@ def replace_drop(rows: DataFrame, path: str, by: tuple[str, ...] = ("data_year",
         .partitionBy(*by)
         .parquet(path)
     )
+
+
+def load_drop(spark: SparkSession, folder: str, root: str, names: list[str] | None = None, **read_options) -> None:
+    """Load the tables of one download folder into Parquet folders ``root/<table>``.
+
+    Tables with a year replace that year and keep the others; code tables are replaced whole.
+    References are not checked here: run ``validation_report`` on the loaded tables.
+    """
+    drop = read_drop(spark, folder, **read_options)
+    for name in names or REGISTRY:
+        if "data_year" in REGISTRY[name].columns:
+            replace_drop(drop[name], f"{root}/{name}")
+        else:
+            drop[name].write.mode("overwrite").parquet(f"{root}/{name}")

@@ -323,7 +323,7 @@ QUERIES = {
     "tract_features_json": """SELECT '{"type":"Feature","properties":{"TRACT":"' || i.TRACT || '","Median Income":'
         || i."Median Income" || '},"geometry":' || f.geometry || '}' AS feature
         FROM features f JOIN income i ON i.TRACT = f.GEODESC""",
-    "yearly_append": "SELECT incident_id, agency_id, incident_date, cleared_except_id, data_year FROM nibrs_incident",
+    "yearly_append": LANDED,
     "incremental_drop_load": LANDED,
     "publish_summary": f"""
         SELECT *, 'orders' AS source, '2024-01-01' AS retrieved
