@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from civicspan.sources.schema import REGISTRY
 
@@ -31,6 +32,18 @@ class Tables(Mapping[str, DataFrame]):
         """The same set with some tables exchanged, e.g. for a filtered or a cleaned one."""
         return Tables({**self._entries, **tables})
 
+    def one_year(self, year: int) -> "Tables":
+        """Only the rows of one year in every table that has a year; Spark skips other folders."""
+
+        def restricted(name: str) -> Callable[[], DataFrame]:
+            def build() -> DataFrame:
+                rows = self[name]
+                return rows.filter(F.col("data_year") == year) if "data_year" in rows.columns else rows
+
+            return build
+
+        return Tables({name: restricted(name) for name in self})
+
     def create_views(self) -> None:
         """Name every table for ``spark.sql``."""
         for name in self:

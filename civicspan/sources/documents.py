@@ -59,6 +59,12 @@ def read_acs(spark: SparkSession, path: str, columns: list[str], per_line: bool
     )
 
 
+def acs_from_rows(spark: SparkSession, response: list[list[str]]) -> DataFrame:
+    """A response that the caller already holds as rows, header first."""
+    header, *rows = response
+    return spark.createDataFrame(rows, ", ".join(f"`{name}` string" for name in header))
+
+
 def county_rows(rows: DataFrame, state: str, county: str) -> DataFrame:
     """Census rows of one county."""
     return rows.filter((F.col("state") == state) & (F.col("county") == county))

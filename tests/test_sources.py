@@ -180,6 +180,13 @@ def test_acs_response_to_income(spark, tmp_path):
     assert [tuple(r) for r in found] == [("7001.01", 100, "110"), ("7002.00", 90, "95")]
 
 
+def test_acs_response_held_in_memory(spark, tmp_path):
+    path = write(tmp_path / "acs.json", json.dumps(RESPONSE))
+    held, landed = documents.acs_from_rows(spark, RESPONSE), documents.read_acs(spark, path, COLUMNS)
+    assert held.columns == COLUMNS
+    assert sorted(map(tuple, held.collect())) == sorted(map(tuple, landed.collect()))
+
+
 def test_acs_columns_follow_the_header_of_each_response(spark, tmp_path):
     turned = [row[::-1] for row in RESPONSE]
     write(tmp_path / "acs" / "a.json", json.dumps(RESPONSE))
