@@ -9,8 +9,6 @@ same numbers view by view and are the ones to use when a single view is wanted.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +28,7 @@ EXCEPTIONS = {
 }
 REASONS = list(EXCEPTIONS.values())
 TOTAL = "clearances_exceptional_total"
+SUM_OF_REASONS = " + ".join(REASONS)
 COUNTS = ["offense_count", "clearances_normal", TOTAL, "arrests", *REASONS]
 
 
@@ -37,10 +36,6 @@ def _county(t: Tables) -> DataFrame:
     return t["agencies"].select("agency_id", "county_name")
 
 
-def _sum_of(columns: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [F.col(c) for c in columns])
-
-
 def arrest_groups(
     t: Tables,
     incident_id: int | None = None,
@@ -114,8 +109,7 @@ def county_incident_arrests_aggregated(t: Tables) -> DataFrame:
 def _exceptional_counts(t: Tables, *keys: str) -> DataFrame:
     exceptional = F.col("cleared_except_id") != NOT_EXCEPTIONAL
     reasons = [
-        count_where(F.col("cleared_except_id") == code, F.col("offenses")).alias(name)
-        for code, name in EXCEPTIONS.items()
+        count_where(f"cleared_except_id = {code}", "offenses").alias(name) for code, name in EXCEPTIONS.items()
     ]
     return (
         agency_offense_counts(t)
@@ -130,7 +124,7 @@ def _exceptional_counts(t: Tables, *keys: str) -> DataFrame:
 
 def county_exceptional_clearances(t: Tables) -> DataFrame:
     """Offenses cleared by exception per county and offense, by reason and in total."""
-    return _exceptional_counts(t).withColumn(TOTAL, _sum_of(REASONS))
+    return _exceptional_counts(t).withColumn(TOTAL, F.expr(SUM_OF_REASONS))
 
 
 def exceptional_by_code(t: Tables) -> DataFrame:
@@ -177,16 +171,16 @@ def county_clearances(
     keep their offenses but show no clearances, because the views match them by name.
     """
     years = ["data_year"] if by_year else []
-    plain = F.col("cleared_except_id") == NOT_EXCEPTIONAL
+    plain = f"cleared_except_id = {NOT_EXCEPTIONAL}"
     listed = t["nibrs_cleared_except"].select(
         "cleared_except_id", F.lit(True).alias("listed")
     )
     sums = [
         F.sum("offenses").alias("offense_count"),
-        count_where(plain & (F.col("arrests") > 0)).alias("clearances_normal"),
-        count_where(plain, F.col("arrests")).alias("arrests"),
+        count_where(f"{plain} AND arrests > 0").alias("clearances_normal"),
+        count_where(plain, "arrests").alias("arrests"),
         *[
-            count_where((F.col("cleared_except_id") == code) & F.col("listed"), F.col("offenses")).alias(name)
+            count_where(f"cleared_except_id = {code} AND listed", "offenses").alias(name)
             for code, name in EXCEPTIONS.items()
         ],
     ]
@@ -194,7 +188,7 @@ def county_clearances(
     agencies = t["agencies"]
     agency_key = ["agency_id", *(y for y in years if y in agencies.columns)]
     keys = [*place, *years, "offense_name"]
-    named = reduce(lambda a, b: a & b, [F.col(key).isNotNull() for key in keys])
+    named = " AND ".join(f"{key} IS NOT NULL" for key in keys)
     totals = (
         incident_clearances(t, *years)
         .join(listed, "cleared_except_id", "left")
@@ -203,26 +197,23 @@ def county_clearances(
         .join(agencies.select(*agency_key, *place), agency_key)
         .groupBy(*keys)
         .agg(*[F.sum(name).alias(name) for name in summed])
-        .withColumn(TOTAL, _sum_of(REASONS))
-    )
-    return totals.select(
-        *keys,
-        "offense_count",
-        *[F.when(named, F.col(name)).otherwise(F.lit(0)).alias(name) for name in COUNTS[1:]],
+        .withColumn(TOTAL, F.expr(SUM_OF_REASONS))
     )
+    shown = [f"if({named}, {name}, 0L) AS {name}" for name in COUNTS[1:]]
+    return totals.selectExpr(*keys, "offense_count", *shown)
 
 
 def with_rates(counts: DataFrame) -> DataFrame:
     """Total clearances and the three percentages of the offenses."""
-    offenses, total = F.col("offense_count"), F.col("clearances_normal") + F.col(TOTAL)
+    total = f"clearances_normal + {TOTAL}"
     keys = [c for c in counts.columns if c not in COUNTS]
     return counts.select(
         *keys,
         "offense_count",
-        total.alias("clearances_total"),
-        percent(total, offenses).alias("clearance_ratio_total_percent"),
-        percent(F.col("clearances_normal"), offenses).alias("clearance_ratio_normal_percent"),
-        percent(F.col(TOTAL), offenses).alias("clearance_ratio_exceptional_percent"),
+        F.expr(total).alias("clearances_total"),
+        percent(total, "offense_count").alias("clearance_ratio_total_percent"),
+        percent("clearances_normal", "offense_count").alias("clearance_ratio_normal_percent"),
+        percent(TOTAL, "offense_count").alias("clearance_ratio_exceptional_percent"),
         "clearances_normal",
         TOTAL,
         "arrests",
@@ -268,16 +259,15 @@ def taxonomy_clearance_rates(t: Tables, taxonomy: DataFrame) -> DataFrame:
 
 def normal_clearance_report(t: Tables) -> DataFrame:
     """Clearances by arrest only, best ratio first."""
-    normal = F.col("clearances_normal")
     return (
         county_clearances(t)
         .select(
             "offense_name",
             "county_name",
             "offense_count",
-            normal.alias("cleared_normally_count"),
+            F.col("clearances_normal").alias("cleared_normally_count"),
             "arrests",
-            F.coalesce(percent(normal, F.col("offense_count")), F.lit(0)).alias("solved_crime_ratio"),
+            F.coalesce(percent("clearances_normal", "offense_count"), F.lit(0)).alias("solved_crime_ratio"),
         )
         .orderBy(F.desc_nulls_first("solved_crime_ratio"), "county_name", "offense_name")
     )

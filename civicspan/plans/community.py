@@ -56,7 +56,7 @@ def time_to_arrest(t: Tables) -> DataFrame:
     # Exact median: the distinct numbers of days and their counts, not the arrests, are held.
     return by_days.groupBy("offense_name").agg(
         F.sum("n").alias("arrests"),
-        count_where(F.col("days") < 0, F.col("n")).alias("negative_gaps"),
+        count_where("days < 0", "n").alias("negative_gaps"),
         (F.sum(F.col("days") * F.col("n")) / F.sum(dated)).alias("mean_days"),
         F.expr("percentile(days, 0.5, n)").alias("median_days"),
     )
@@ -82,19 +82,19 @@ def clearance_by_demographic(t: Tables, codes: str, key: str, column: str, perso
         )
     involved = involved.groupBy(*MATCH, key).agg(F.sum("people").alias("people"))
     incidents = t["nibrs_incident"].select("incident_id", "cleared_except_id")
-    cleared = (F.col("cleared_except_id") != NOT_EXCEPTIONAL) | F.col("arrests").isNotNull()
+    cleared = f"cleared_except_id <> {NOT_EXCEPTIONAL} OR arrests IS NOT NULL"
     counts = (
         involved.join(arrest_groups(t), MATCH, "left")
         .join(incidents, "incident_id")
         .groupBy("offense_code", key)
-        .agg(F.sum("people").alias("people"), count_where(cleared, F.col("people")).alias("cleared"))
+        .agg(F.sum("people").alias("people"), count_where(cleared, "people").alias("cleared"))
     )
     return (
         counts.join(offense_names(t), "offense_code")
         .join(t[codes].select(key, column), key)
         .groupBy("offense_name", column)
         .agg(F.sum("people").alias("people"), F.sum("cleared").alias("cleared"))
-        .withColumn("cleared_percent", percent(F.col("cleared"), F.col("people")))
+        .withColumn("cleared_percent", percent("cleared", "people"))
     )
 
 

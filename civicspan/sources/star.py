@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicspan.sources.datasets import Tables
@@ -17,14 +17,8 @@ from civicspan.sources.datasets import Tables
 RESPONSE_ROWS = 500
 ACS_VARIABLES = ["DP03_0062E", "DP03_0063E", "DP03_0066E", "DP03_0067E"]
 ACS_GEOGRAPHY = ["state", "county", "tract"]
-
-
-def _absent(kind: str, *names: str) -> list[Column]:
-    return [F.lit(None).cast(kind).alias(name) for name in names]
-
-
-def _text(value: Column) -> Column:
-    return value.cast("string")
+BRAND_NUMBER = "int(substr(p_brand, 7))"
+CODE_NUMBER = "int(substr(offense_code, 7))"
 
 
 class Star:
@@ -44,109 +38,90 @@ class Star:
         nation, region = self.raw("nation"), self.raw("region")
         return nation.join(region, nation.n_regionkey == region.r_regionkey)
 
+    def _placed_customers(self) -> DataFrame:
+        customer, places = self.raw("customer"), self._places()
+        return customer.join(places, customer.c_nationkey == places.n_nationkey)
+
     def _branded_lines(self) -> DataFrame:
         line, part = self.raw("lineitem"), self.raw("part")
-        return line.join(part, line.l_partkey == part.p_partkey).withColumn(
-            "brand_num", F.substr("p_brand", F.lit(7)).cast("int")
-        )
+        return line.join(part, line.l_partkey == part.p_partkey)
 
     def agencies(self) -> DataFrame:
-        customer, places = self.raw("customer"), self._places()
-        return customer.join(places, customer.c_nationkey == places.n_nationkey).select(
-            F.col("c_custkey").alias("agency_id"),
-            F.col("c_name").alias("pub_agency_name"),
-            F.col("c_mktsegment").alias("agency_type_name"),
-            F.col("n_name").alias("county_name"),
-            F.col("r_name").alias("state_abbr"),
-            (F.col("c_nationkey") * 1000 + 500).alias("population"),
-            F.concat(F.lit("ORI"), _text(F.col("c_custkey"))).alias("legacy_ori"),
-            F.when(
-                F.col("c_custkey") % 10 == 0,
-                F.concat(F.lit("ORI"), _text(F.col("c_custkey") + 1)),
-            ).alias("covered_by_legacy_ori"),
-            *_absent("string", "submitting_agency_name", "population_group_desc", "parent_pop_group_desc"),
+        return self._placed_customers().selectExpr(
+            "c_custkey AS agency_id",
+            "c_name AS pub_agency_name",
+            "c_mktsegment AS agency_type_name",
+            "n_name AS county_name",
+            "r_name AS state_abbr",
+            "c_nationkey * 1000 + 500 AS population",
+            "concat('ORI', c_custkey) AS legacy_ori",
+            "CASE WHEN c_custkey % 10 = 0 THEN concat('ORI', c_custkey + 1) END AS covered_by_legacy_ori",
+            "CAST(NULL AS string) AS submitting_agency_name",
+            "CAST(NULL AS string) AS population_group_desc",
+            "CAST(NULL AS string) AS parent_pop_group_desc",
         )
 
-    @staticmethod
-    def _month_id() -> Column:
-        year, month = F.year("o_orderdate"), F.month("o_orderdate")
-        return F.col("o_custkey") * 1000 + (year - 1995) * 12 + month
-
     def nibrs_incident(self) -> DataFrame:
-        return self.raw("orders").select(
-            F.col("o_orderkey").alias("incident_id"),
-            F.col("o_custkey").alias("agency_id"),
-            F.col("o_orderdate").alias("incident_date"),
-            F.year("o_orderdate").alias("data_year"),
-            self._month_id().alias("nibrs_month_id"),
-            self._month_id().alias("did"),
-            F.when(
-                F.col("o_orderstatus") == "F", F.substring("o_orderpriority", 1, 1).cast("int")
-            ).otherwise(F.lit(6)).alias("cleared_except_id"),
-            *_absent("timestamp_ntz", "submission_date"),
+        month_id = "o_custkey * 1000 + (year(o_orderdate) - 1995) * 12 + month(o_orderdate)"
+        return self.raw("orders").selectExpr(
+            "o_orderkey AS incident_id",
+            "o_custkey AS agency_id",
+            "o_orderdate AS incident_date",
+            "year(o_orderdate) AS data_year",
+            f"{month_id} AS nibrs_month_id",
+            f"{month_id} AS did",
+            "CASE WHEN o_orderstatus = 'F' THEN int(substr(o_orderpriority, 1, 1)) ELSE 6 END AS cleared_except_id",
+            "CAST(NULL AS timestamp_ntz) AS submission_date",
         )
 
     def nibrs_month(self) -> DataFrame:
+        month_id = "agency_id * 1000 + (data_year - 1995) * 12 + month_num"
+        reports = self.raw("orders").selectExpr(
+            "o_custkey AS agency_id", "year(o_orderdate) AS data_year", "month(o_orderdate) AS month_num"
+        )
         return (
-            self.raw("orders")
-            .groupBy(
-                F.col("o_custkey").alias("agency_id"),
-                F.year("o_orderdate").alias("data_year"),
-                F.month("o_orderdate").alias("month_num"),
-            )
-            .agg(F.count("*").alias("reports"))
-            .select(
-                (F.col("agency_id") * 1000 + (F.col("data_year") - 1995) * 12 + F.col("month_num")).alias(
-                    "nibrs_month_id"
-                ),
-                (F.col("agency_id") * 1000 + (F.col("data_year") - 1995) * 12 + F.col("month_num")).alias("did"),
+            reports.groupBy("agency_id", "data_year", "month_num")
+            .count()
+            .selectExpr(
+                f"{month_id} AS nibrs_month_id",
+                f"{month_id} AS did",
                 "agency_id",
                 "data_year",
                 "month_num",
-                F.when(F.col("reports") > 1, "I").otherwise("Z").alias("reported_status"),
+                "if(count > 1, 'I', 'Z') AS reported_status",
             )
         )
 
     def nibrs_offense(self) -> DataFrame:
         # Distinct over the two columns that determine a row, so that the rows stay hashed by
         # (incident_id, offense_code) and the jobs' first grouping needs no other shuffle.
-        pairs = (
-            self._branded_lines()
-            .select(F.col("l_orderkey").alias("incident_id"), F.col("p_brand").alias("offense_code"))
-            .distinct()
-        )
-        number = F.substr("offense_code", F.lit(7)).cast("int")
-        return pairs.select(
-            (F.col("incident_id") * 100 + number).alias("offense_id"),
+        pairs = self._branded_lines().selectExpr("l_orderkey AS incident_id", "p_brand AS offense_code").distinct()
+        return pairs.selectExpr(
+            f"incident_id * 100 + {CODE_NUMBER} AS offense_id",
             "incident_id",
             "offense_code",
-            F.when((F.col("incident_id") + number) % 10 == 0, "A").otherwise("C").alias("attempt_complete_flag"),
-            ((F.col("incident_id") + number) % 7).alias("location_id"),
+            f"if((incident_id + {CODE_NUMBER}) % 10 = 0, 'A', 'C') AS attempt_complete_flag",
+            f"(incident_id + {CODE_NUMBER}) % 7 AS location_id",
         )
 
     def nibrs_offense_type(self) -> DataFrame:
-        number = F.substr("offense_code", F.lit(7)).cast("int")
-        return (
-            self.raw("part").select(F.col("p_brand").alias("offense_code")).distinct().select(
-                "offense_code",
-                F.concat(F.lit("Offense "), "offense_code").alias("offense_name"),
-                F.when(number % 3 == 0, "Person").when(number % 3 == 1, "Property").otherwise("Society").alias(
-                    "crime_against"
-                ),
-                F.concat(F.lit("Category "), _text(number % 5)).alias("offense_category_name"),
-            )
+        codes = self.raw("part").selectExpr("p_brand AS offense_code").distinct()
+        return codes.selectExpr(
+            "offense_code",
+            "concat('Offense ', offense_code) AS offense_name",
+            f"elt({CODE_NUMBER} % 3 + 1, 'Person', 'Property', 'Society') AS crime_against",
+            f"concat('Category ', {CODE_NUMBER} % 5) AS offense_category_name",
         )
 
     def nibrs_arrestee(self) -> DataFrame:
-        shifted = F.concat(F.lit("Brand#"), _text(F.col("brand_num") % 25 + 1))
         return (
             self._branded_lines()
-            .filter(F.col("l_returnflag") == "R")
-            .select(
-                F.col("l_orderkey").alias("incident_id"),
-                F.when(F.col("l_linestatus") == "F", F.col("p_brand")).otherwise(shifted).alias("offense_code"),
-                F.col("l_shipdate").alias("arrest_date"),
-                F.when(F.col("l_linenumber") == 1, "M").otherwise("N").alias("multiple_indicator"),
+            .filter("l_returnflag = 'R'")
+            .selectExpr(
+                "l_orderkey AS incident_id",
+                f"if(l_linestatus = 'F', p_brand, concat('Brand#', {BRAND_NUMBER} % 25 + 1)) AS offense_code",
+                "l_shipdate AS arrest_date",
+                "if(l_linenumber = 1, 'M', 'N') AS multiple_indicator",
             )
         )
 
@@ -161,121 +136,77 @@ class Star:
         )
 
     def nibrs_location_type(self) -> DataFrame:
-        number = _text(F.col("location_id"))
-        return (
-            self.raw("lineitem").select((F.col("l_orderkey") % 7).alias("location_id")).distinct().select(
-                "location_id",
-                F.concat(F.lit("L"), number).alias("location_code"),
-                F.concat(F.lit("Location "), number).alias("location_name"),
-            )
+        ids = self.raw("lineitem").selectExpr("l_orderkey % 7 AS location_id").distinct()
+        return ids.selectExpr(
+            "location_id", "concat('L', location_id) AS location_code", "concat('Location ', location_id) AS location_name"
         )
 
     def nibrs_victim(self) -> DataFrame:
         supplier, nation = self.raw("supplier"), self.raw("nation")
         origin = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey)
-        pairs = (
-            self.raw("lineitem").filter(F.col("l_returnflag") == "A").select("l_orderkey", "l_suppkey").distinct()
-        )
-        return pairs.join(origin, pairs.l_suppkey == origin.s_suppkey).select(
-            (F.col("l_orderkey") * 100000 + F.col("l_suppkey")).alias("victim_id"),
-            F.col("l_orderkey").alias("incident_id"),
-            F.col("n_regionkey").alias("race_id"),
-            F.col("s_nationkey").alias("ethnicity_id"),
-            (F.col("l_suppkey") % 100).alias("age_id"),
-            *_absent("smallint", "age_num"),
+        pairs = self.raw("lineitem").filter("l_returnflag = 'A'").select("l_orderkey", "l_suppkey").distinct()
+        return pairs.join(origin, pairs.l_suppkey == origin.s_suppkey).selectExpr(
+            "l_orderkey * 100000 + l_suppkey AS victim_id",
+            "l_orderkey AS incident_id",
+            "n_regionkey AS race_id",
+            "s_nationkey AS ethnicity_id",
+            "l_suppkey % 100 AS age_id",
+            "CAST(NULL AS smallint) AS age_num",
         )
 
     def nibrs_victim_offense(self) -> DataFrame:
-        return (
-            self._branded_lines()
-            .filter(F.col("l_returnflag") == "A")
-            .select(
-                (F.col("l_orderkey") * 100000 + F.col("l_suppkey")).alias("victim_id"),
-                (F.col("l_orderkey") * 100 + F.col("brand_num")).alias("offense_id"),
-            )
-            .distinct()
-        )
+        lines = self._branded_lines().filter("l_returnflag = 'A'")
+        return lines.selectExpr(
+            "l_orderkey * 100000 + l_suppkey AS victim_id", f"l_orderkey * 100 + {BRAND_NUMBER} AS offense_id"
+        ).distinct()
 
     def ref_race(self) -> DataFrame:
-        return self.raw("region").select(F.col("r_regionkey").alias("race_id"), F.col("r_name").alias("race_code"))
+        return self.raw("region").selectExpr("r_regionkey AS race_id", "r_name AS race_code")
 
     def nibrs_ethnicity(self) -> DataFrame:
-        return self.raw("nation").select(
-            F.col("n_nationkey").alias("ethnicity_id"), F.col("n_name").alias("ethnicity_code")
-        )
+        return self.raw("nation").selectExpr("n_nationkey AS ethnicity_id", "n_name AS ethnicity_code")
 
     def nibrs_age(self) -> DataFrame:
-        return (
-            self.raw("lineitem").select((F.col("l_suppkey") % 100).alias("age_id")).distinct().select(
-                "age_id", F.concat(F.lit("A"), _text(F.col("age_id"))).alias("age_code")
-            )
-        )
+        ids = self.raw("lineitem").selectExpr("l_suppkey % 100 AS age_id").distinct()
+        return ids.selectExpr("age_id", "concat('A', age_id) AS age_code")
 
     def acs_rows(self) -> DataFrame:
         """Census-like rows, all columns as text."""
-        customer, places = self.raw("customer"), self._places()
-        tract = F.concat(
-            _text(7000 + F.col("c_custkey")), F.when(F.col("c_custkey") % 2 == 0, ".01").otherwise("")
-        )
-
-        def whole(value: Column, name: str) -> Column:
-            return _text(F.floor(value)).alias(name)
-
-        balance = F.col("c_acctbal")
-        return customer.join(places, customer.c_nationkey == places.n_nationkey).select(
-            F.concat(F.lit("Census Tract "), tract, F.lit(", "), "n_name", F.lit(", "), "r_name").alias("NAME"),
-            whole(balance, "DP03_0062E"),
-            whole(balance * 2, "DP03_0063E"),
-            whole(balance / 2, "DP03_0066E"),
-            whole(balance * 3, "DP03_0067E"),
-            _text(F.col("r_regionkey")).alias("state"),
-            _text(F.col("n_nationkey")).alias("county"),
-            _text(7000 + F.col("c_custkey")).alias("tract"),
+        return self._placed_customers().selectExpr(
+            "concat('Census Tract ', 7000 + c_custkey, if(c_custkey % 2 = 0, '.01', ''), ', ', n_name, ', ', r_name) AS NAME",
+            "string(floor(c_acctbal)) AS DP03_0062E",
+            "string(floor(c_acctbal * 2)) AS DP03_0063E",
+            "string(floor(c_acctbal / 2)) AS DP03_0066E",
+            "string(floor(c_acctbal * 3)) AS DP03_0067E",
+            "string(r_regionkey) AS state",
+            "string(n_nationkey) AS county",
+            "string(7000 + c_custkey) AS tract",
         )
 
     def geo_features(self) -> DataFrame:
-        key, nation = F.col("s_suppkey"), F.col("s_nationkey")
-        geodesc = F.concat(_text(7000 + key), F.when(key % 2 == 0, ".01").otherwise(".00"))
-        county = _text(24000 + nation)
-        geometry = F.format_string('{"type":"Point","coordinates":[%d,%d]}', key, nation.cast("bigint"))
-        return self.raw("supplier").select(
-            geodesc.alias("GEODESC"),
-            county.alias("CNTY2010"),
-            F.create_map(F.lit("GEODESC"), geodesc, F.lit("CNTY2010"), county, F.lit("NAME"), "s_name").alias(
-                "properties"
-            ),
-            geometry.alias("geometry"),
+        tracts = self.raw("supplier").selectExpr(
+            "concat(7000 + s_suppkey, if(s_suppkey % 2 = 0, '.01', '.00')) AS GEODESC",
+            "string(24000 + s_nationkey) AS CNTY2010",
+            "s_name",
+            """concat('{"type":"Point","coordinates":[', s_suppkey, ',', s_nationkey, ']}') AS geometry""",
+        )
+        return tracts.selectExpr(
+            "GEODESC",
+            "CNTY2010",
+            "map('GEODESC', GEODESC, 'CNTY2010', CNTY2010, 'NAME', s_name) AS properties",
+            "geometry",
         )
 
     def manifest_documents(self) -> DataFrame:
-        """One manifest document per customer, with a varying number of tags."""
-        customer, places = self.raw("customer"), self._places()
-
-        def tag(key: str, value: Column) -> Column:
-            return F.struct(F.lit(key).alias("key"), value.alias("value"))
-
-        place_tag, segment_tag = tag("county", F.col("n_name")), tag("segment", F.col("c_mktsegment"))
-        tags = (
-            F.when(F.col("c_custkey") % 3 == 0, F.array(place_tag, segment_tag))
-            .when(F.col("c_custkey") % 3 == 1, F.array(place_tag))
-            .otherwise(F.array_remove(F.array(place_tag), place_tag))
-        )
-        fetched = F.date_format(F.date_add(F.lit("2023-01-01").cast("date"), (F.col("c_custkey") % 400).cast("int")), "yyyy-MM-dd")
-        source = F.struct(
-            F.col("c_name").alias("name"),
-            F.lit("relational_database").alias("type"),
-            F.col("r_name").alias("source"),
-            F.lit("2023-01-01").alias("date_added"),
-            fetched.alias("last_fetched"),
-            F.concat(F.lit("/data/"), "c_name", F.lit(".csv")).alias("path"),
-            F.when(F.col("c_custkey") % 2 == 0, "annual").otherwise("monthly").alias("ttl"),
-            F.lit("").alias("key_column"),
-            F.col("c_mktsegment").alias("description"),
-            tags.alias("tags"),
-        )
-        return customer.join(places, customer.c_nationkey == places.n_nationkey).select(
-            F.to_json(F.struct(F.array(source).alias("data_manifests"))).alias("value")
-        )
+        """One manifest document per customer, with none, one or two tags."""
+        county, segment = "struct('county' AS key, n_name AS value)", "struct('segment' AS key, c_mktsegment AS value)"
+        source = f"""struct(
+            c_name AS name, 'relational_database' AS type, r_name AS source, '2023-01-01' AS date_added,
+            string(date_add(DATE '2023-01-01', int(c_custkey % 400))) AS last_fetched,
+            concat('/data/', c_name, '.csv') AS path, if(c_custkey % 2 = 0, 'annual', 'monthly') AS ttl,
+            '' AS key_column, c_mktsegment AS description,
+            slice(array({county}, {segment}), 1, elt(int(c_custkey % 3) + 1, 2, 1, 0)) AS tags)"""
+        return self._placed_customers().selectExpr(f"to_json(struct(array({source}) AS data_manifests)) AS value")
 
     def acs_documents(self) -> DataFrame:
         """Responses of one county with a header row and at most ``RESPONSE_ROWS`` tracts."""
