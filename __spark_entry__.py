@@ -352,7 +352,10 @@ def queries() -> dict[str, Query]:
         "agency_participation": on_tables(community.agency_participation, months=3),
         "cleared_without_arrest": on_tables(reconcile.cleared_without_arrest),
         "time_to_arrest": on_tables(community.time_to_arrest),
-        "clearance_by_race": on_tables(
+        "arrests_by_race": on_tables(
+            community.arrests_by_demographic, codes="ref_race", key="race_id", column="race_code"
+        ),
+        "clearance_by_demographic": on_tables(
             community.clearance_by_demographic, codes="ref_race", key="race_id", column="race_code"
         ),
         "clearance_by_ethnicity": on_tables(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicspan.functions.numbers import count_where, percent
@@ -98,6 +98,21 @@ def clearance_by_demographic(t: Tables, codes: str, key: str, column: str, perso
     )
 
 
+def arrests_by_demographic(t: Tables, codes: str, key: str, column: str) -> DataFrame:
+    """Arrests per offense and group, and the group's percentage of the offense's arrests."""
+    counts = t["nibrs_arrestee"].groupBy("offense_code", key).agg(F.count("*").alias("arrests"))
+    of_offense = F.sum("arrests").over(Window.partitionBy("offense_name"))
+    return (
+        counts.join(offense_names(t), "offense_code")
+        .join(t[codes].select(key, column), key)
+        .groupBy("offense_name", column)
+        .agg(F.sum("arrests").alias("arrests"))
+        .withColumn("of_offense", of_offense)
+        .withColumn("percent_of_offense", percent("arrests", "of_offense"))
+        .drop("of_offense")
+    )
+
+
 def incidents_per_capita(t: Tables, per: int = 1000) -> DataFrame:
     """Incidents per so many inhabitants of each county; agencies without incidents count too."""
     incidents = t["nibrs_incident"].groupBy("agency_id").agg(F.count("*").alias("incidents"))

@@ -14,11 +14,12 @@ from civicspan.sources.schema import REGISTRY, Table
 RECODED = {("nibrs_victim", "age_num")}
 
 
-def csv_options(encoding: str = "UTF-8") -> dict:
+def csv_options(encoding: str = "UTF-8", multi_line: bool = False) -> dict:
     """Columns bind by position, an unquoted empty field is NULL and a quoted one is empty text.
 
     A row that does not fit its types stops the job. Encodings outside Spark's own list need
-    ``spark.sql.legacy.javaCharsets``.
+    ``spark.sql.legacy.javaCharsets``. Files with line breaks inside quotes need
+    ``multi_line``, at the price that Spark cannot split them.
     """
     return {
         "header": True,
@@ -28,6 +29,7 @@ def csv_options(encoding: str = "UTF-8") -> dict:
         "nullValue": "\\N",
         "emptyValue": "",
         "encoding": encoding,
+        "multiLine": multi_line,
     }
 
 
@@ -61,10 +63,12 @@ def any_case(file_name: str) -> str:
     return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in file_name)
 
 
-def read_table(spark: SparkSession, name: str, path: str, encoding: str = "UTF-8") -> DataFrame:
+def read_table(
+    spark: SparkSession, name: str, path: str, encoding: str = "UTF-8", multi_line: bool = False
+) -> DataFrame:
     """One declared table from its file, folder of part files, or glob."""
     table = REGISTRY[name]
-    rows = spark.read.schema(file_schema(table)).csv(path, **csv_options(encoding))
+    rows = spark.read.schema(file_schema(table)).csv(path, **csv_options(encoding, multi_line))
     return clean(rows, table)
 
 

@@ -122,6 +122,7 @@ class Star:
                 f"if(l_linestatus = 'F', p_brand, concat('Brand#', {BRAND_NUMBER} % 25 + 1)) AS offense_code",
                 "l_shipdate AS arrest_date",
                 "if(l_linenumber = 1, 'M', 'N') AS multiple_indicator",
+                "int(l_quantity) % 5 AS race_id",
             )
         )
 

@@ -50,7 +50,8 @@ PARTS = {
     "nibrs_arrestee": f"""
         SELECT l_orderkey AS incident_id,
           CASE WHEN l_linestatus = 'F' THEN p_brand ELSE 'Brand#' || ({BRAND} % 25 + 1) END AS offense_code,
-          l_shipdate AS arrest_date, CASE WHEN l_linenumber = 1 THEN 'M' ELSE 'N' END AS multiple_indicator
+          l_shipdate AS arrest_date, CASE WHEN l_linenumber = 1 THEN 'M' ELSE 'N' END AS multiple_indicator,
+          CAST(floor(l_quantity) AS INT) % 5 AS race_id
         FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R'""",
     "nibrs_cleared_except": """
         SELECT * FROM (VALUES (1, 'A', 'Death of Offender'), (2, 'B', 'Prosecution Declined'),
@@ -224,7 +225,7 @@ COLUMNS = {
     "nibrs_month": "nibrs_month_id did agency_id data_year month_num reported_status",
     "nibrs_offense": "offense_id incident_id offense_code attempt_complete_flag location_id",
     "nibrs_offense_type": "offense_code offense_name crime_against offense_category_name",
-    "nibrs_arrestee": "incident_id offense_code arrest_date multiple_indicator",
+    "nibrs_arrestee": "incident_id offense_code arrest_date multiple_indicator race_id",
     "nibrs_cleared_except": "cleared_except_id cleared_except_code cleared_except_name",
     "nibrs_location_type": "location_id location_code location_name",
     "nibrs_victim": "victim_id incident_id race_id ethnicity_id age_id",
@@ -471,7 +472,14 @@ QUERIES = {
         FROM (SELECT n.offense_name, date_diff('day', CAST(i.incident_date AS DATE), CAST(r.arrest_date AS DATE)) AS days
               FROM nibrs_arrestee r JOIN nibrs_incident i USING (incident_id)
                 JOIN nibrs_offense_type n USING (offense_code)) GROUP BY ALL""",
-    "clearance_by_race": demographic("ref_race", "race_id", "race_code"),
+    "arrests_by_race": f"""
+        SELECT offense_name, race_code, arrests, CAST({rounded("arrests", "total")} AS DOUBLE) / 100
+          AS percent_of_offense
+        FROM (SELECT offense_name, race_code, count(*) AS arrests,
+                CAST(sum(count(*)) OVER (PARTITION BY offense_name) AS BIGINT) AS total
+              FROM nibrs_arrestee JOIN nibrs_offense_type USING (offense_code) JOIN ref_race USING (race_id)
+              GROUP BY offense_name, race_code)""",
+    "clearance_by_demographic": demographic("ref_race", "race_id", "race_code"),
     "clearance_by_ethnicity": demographic("nibrs_ethnicity", "ethnicity_id", "ethnicity_code"),
     "incidents_per_capita": """
         SELECT county_name, CAST(sum(coalesce(n, 0)) AS BIGINT) AS incidents, CAST(sum(population) AS BIGINT) AS population,

@@ -42,6 +42,12 @@ def test_empty_text_null_and_padding_stay_apart(spark, tmp_path):
     assert second.offense_name == 'Larceny, "other"'
 
 
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    path = write(tmp_path / "age.csv", 'age_id,age_code,age_name\n1,NN,"Under\n24 Hours"\n')
+    table = delimited.read_table(spark, "nibrs_age", path, multi_line=True)
+    assert [tuple(r) for r in table.collect()] == [(1, "NN", "Under\n24 Hours")]
+
+
 def test_columns_bind_by_position_and_drift_is_reported(spark, tmp_path):
     path = write(tmp_path / "x.csv", "id,kind,code,label\n1,A,3,Argument\n2,A,,\n")
     table = delimited.read_table(spark, "nibrs_circumstances", path)
