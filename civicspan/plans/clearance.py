@@ -172,9 +172,7 @@ def county_clearances(
     """
     years = ["data_year"] if by_year else []
     plain = f"cleared_except_id = {NOT_EXCEPTIONAL}"
-    listed = t["nibrs_cleared_except"].select(
-        "cleared_except_id", F.lit(True).alias("listed")
-    )
+    listed = t["nibrs_cleared_except"].select("cleared_except_id", F.lit(True).alias("listed"))
     sums = [
         F.sum("offenses").alias("offense_count"),
         count_where(f"{plain} AND arrests > 0").alias("clearances_normal"),

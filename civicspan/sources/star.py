@@ -174,7 +174,8 @@ class Star:
     def acs_rows(self) -> DataFrame:
         """Census-like rows, all columns as text."""
         return self._placed_customers().selectExpr(
-            "concat('Census Tract ', 7000 + c_custkey, if(c_custkey % 2 = 0, '.01', ''), ', ', n_name, ', ', r_name) AS NAME",
+            """concat('Census Tract ', 7000 + c_custkey, if(c_custkey % 2 = 0, '.01', ''), ', ', n_name,
+                 ', ', r_name) AS NAME""",
             "string(floor(c_acctbal)) AS DP03_0062E",
             "string(floor(c_acctbal * 2)) AS DP03_0063E",
             "string(floor(c_acctbal / 2)) AS DP03_0066E",
