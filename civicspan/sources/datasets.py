@@ -44,6 +44,10 @@ class Tables(Mapping[str, DataFrame]):
 
         return Tables({name: restricted(name) for name in self})
 
+    def keep(self, *names: str) -> "Tables":
+        """The same set with some tables held for reuse by several jobs; lost parts are read again."""
+        return self.replace(**{name: self[name].persist() for name in names})
+
     def create_views(self) -> None:
         """Name every table for ``spark.sql``."""
         for name in self:

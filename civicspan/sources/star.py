@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from civicspan.sources.datasets import Tables
 
+# Customers and suppliers are unique, so tract numbers cut into ranges bound every document.
 RESPONSE_ROWS = 500
 ACS_VARIABLES = ["DP03_0062E", "DP03_0063E", "DP03_0066E", "DP03_0067E"]
 ACS_GEOGRAPHY = ["state", "county", "tract"]
@@ -214,8 +215,8 @@ class Star:
         """Responses of one county with a header row and at most ``RESPONSE_ROWS`` tracts."""
         names = ["NAME", *ACS_VARIABLES, *ACS_GEOGRAPHY]
         header = F.array(*[F.lit(name) for name in names])
-        numbered = self.acs_rows().withColumn("batch", F.floor(F.monotonically_increasing_id() / RESPONSE_ROWS))
-        rows = numbered.groupBy("state", "county", "batch").agg(F.collect_list(F.array(*names)).alias("rows"))
+        batch = F.expr(f"bigint(tract) div {RESPONSE_ROWS}").alias("batch")
+        rows = self.acs_rows().groupBy("state", "county", batch).agg(F.collect_list(F.array(*names)).alias("rows"))
         return rows.select(F.to_json(F.concat(F.array(header), "rows")).alias("value"))
 
     def feature_documents(self) -> DataFrame:
@@ -227,10 +228,8 @@ class Star:
             "geometry",
             F.lit("}"),
         )
-        numbered = self.geo_features().select(
-            feature.alias("feature"), F.floor(F.monotonically_increasing_id() / RESPONSE_ROWS).alias("batch")
-        )
-        grouped = numbered.groupBy("batch").agg(F.collect_list("feature").alias("features"))
+        batch = F.expr(f"bigint(split_part(GEODESC, '.', 1)) div {RESPONSE_ROWS}").alias("batch")
+        grouped = self.geo_features().groupBy(batch).agg(F.collect_list(feature).alias("features"))
         return grouped.select(
             F.concat(
                 F.lit('{"type":"FeatureCollection","features":['), F.array_join("features", ","), F.lit("]}")

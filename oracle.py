@@ -126,6 +126,9 @@ REASON_COUNTS = ", ".join(
     f"count(*) FILTER (cleared_except_id = {k}) AS clearances_exceptional_{name}" for k, name in REASONS.items()
 )
 REASON_NAMES = ", ".join(f"clearances_exceptional_{name}" for name in REASONS.values())
+REASON_SUMS = ", ".join(
+    f"CAST(sum(clearances_exceptional_{name}) AS BIGINT) AS clearances_exceptional_{name}" for name in REASONS.values()
+)
 
 
 def rounded(part: str, whole: str) -> str:
@@ -318,7 +321,8 @@ QUERIES = {
     "acs_income": "SELECT * FROM income",
     "geo_features_scan": "SELECT GEODESC, CNTY2010, place, geometry FROM features",
     "geo_county_tracts": "SELECT GEODESC AS TRACT, GEODESC, CNTY2010, geometry FROM features WHERE CNTY2010 = '24003'",
-    "tract_income_join": "SELECT f.GEODESC, f.CNTY2010, f.geometry, i.* FROM features f JOIN income i ON i.TRACT = f.GEODESC",
+    "tract_income_join": """SELECT f.GEODESC, f.CNTY2010, f.geometry, i.*
+        FROM features f JOIN income i ON i.TRACT = f.GEODESC""",
     "tract_value_layer": """SELECT f.GEODESC AS TRACT, f.geometry, i."Median Income"
         FROM features f LEFT JOIN income i ON i.TRACT = f.GEODESC""",
     "tract_features_json": """SELECT '{"type":"Feature","properties":{"TRACT":"' || i.TRACT || '","Median Income":'
@@ -400,7 +404,7 @@ QUERIES = {
         f"""(SELECT county_name, offense_category_name AS category, CAST(sum(offense_count) AS BIGINT) AS offense_count,
               CAST(sum(clearances_normal) AS BIGINT) AS clearances_normal, CAST(sum(arrests) AS BIGINT) AS arrests,
               CAST(sum(clearances_exceptional_total) AS BIGINT) AS clearances_exceptional_total,
-              {", ".join(f"CAST(sum(clearances_exceptional_{n}) AS BIGINT) AS clearances_exceptional_{n}" for n in REASONS.values())}
+              {REASON_SUMS}
             FROM {clearances("county_name, offense_name")} JOIN nibrs_offense_type USING (offense_name) GROUP BY ALL)""",
     ),
     "clearance_trend": f"""

@@ -89,6 +89,8 @@ def test_trend_compares_with_the_year_before(spark):
 
 
 def test_incidents_per_capita(spark):
+    kept = yearly_tables(spark).keep("nibrs_incident")
+    assert kept["nibrs_incident"].storageLevel.useMemory
     rates = community.incidents_per_capita(yearly_tables(spark).one_year(2021), per=100).collect()
     assert [(r.county_name, r.incidents, r.population, r.incidents_per_capita) for r in rates] == [("B", 4, 200, 2.0)]
 

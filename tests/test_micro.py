@@ -149,7 +149,9 @@ def test_lookups(micro):
 
 
 def test_top_offense_of_incidents_with_several(spark, micro):
-    ranks = spark.createDataFrame([("23H", 2), ("13B", 1), ("35A", 3), ("13A", 1), ("40A", 5), ("40B", 4)], "offense_code string, rank int")
+    ranks = spark.createDataFrame(
+        [("23H", 2), ("13B", 1), ("35A", 3), ("13A", 1), ("40A", 5), ("40B", 4)], "offense_code string, rank int"
+    )
     result = reconcile.arrest_top_offense(micro, ranks)
     # Incident 102 is led by 13B and has arrests for 23H and 90Z; 110 by 40B with two for 40A.
     assert sorted(rows(result)) == [("13B", 2, 0), ("40B", 2, 0)]

@@ -21,7 +21,9 @@ def random_data(seed, hot=False):
     parents; with ``hot`` a third of all rows belong to one incident and one agency."""
     rng = random.Random(seed)
     agencies = [(i, f"agency {i % 4}", "t", rng.choice(["north", "south", None])) for i in range(6)]
-    incidents_ = [(i, 0 if hot and i % 3 == 0 else rng.randrange(8), rng.choice([6, 6, 6, 1, 2, 3, 4, 5, 7])) for i in range(60)]
+    incidents_ = [
+        (i, 0 if hot and i % 3 == 0 else rng.randrange(8), rng.choice([6, 6, 6, 1, 2, 3, 4, 5, 7])) for i in range(60)
+    ]
 
     def incident():
         return 0 if hot and rng.random() < 0.34 else rng.randrange(70)

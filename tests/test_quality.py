@@ -57,17 +57,31 @@ def test_cascade_removes_dependents_and_leaves_the_rest(spark):
     tables = Tables(
         {
             "nibrs_month": declared(spark, "nibrs_month", ["did", "data_year"], [(1, 2020), (2, 2021), (3, None)]),
-            "nibrs_incident": declared(spark, "nibrs_incident", ["incident_id", "did"], [(10, 1), (20, 2), (30, None), (40, 9), (50, 3)]),
-            "nibrs_victim": declared(spark, "nibrs_victim", ["victim_id", "incident_id"], [(100, 10), (200, 20), (300, 30)]),
-            "nibrs_offense": declared(spark, "nibrs_offense", ["offense_id", "incident_id"], [(1, 10), (2, 20), (3, 40)]),
+            "nibrs_incident": declared(
+                spark, "nibrs_incident", ["incident_id", "did"], [(10, 1), (20, 2), (30, None), (40, 9), (50, 3)]
+            ),
+            "nibrs_victim": declared(
+                spark, "nibrs_victim", ["victim_id", "incident_id"], [(100, 10), (200, 20), (300, 30)]
+            ),
+            "nibrs_offense": declared(
+                spark, "nibrs_offense", ["offense_id", "incident_id"], [(1, 10), (2, 20), (3, 40)]
+            ),
             "nibrs_victim_offense": declared(
-                spark, "nibrs_victim_offense", ["victim_id", "offense_id"], [(100, 1), (200, 2), (200, 1), (100, 2), (300, 3)]
+                spark,
+                "nibrs_victim_offense",
+                ["victim_id", "offense_id"],
+                [(100, 1), (200, 2), (200, 1), (100, 2), (300, 3)],
             ),
         }
     )
     kept = cascade_delete(tables, "nibrs_month", F.col("data_year") == 2020)
-    ids = {name: sorted(r[0] for r in kept[name].select(key).collect()) for name, key in
-           [("nibrs_month", "did"), ("nibrs_incident", "incident_id"), ("nibrs_victim", "victim_id"), ("nibrs_offense", "offense_id")]}
+    keys = {
+        "nibrs_month": "did",
+        "nibrs_incident": "incident_id",
+        "nibrs_victim": "victim_id",
+        "nibrs_offense": "offense_id",
+    }
+    ids = {name: sorted(r[0] for r in kept[name].select(key).collect()) for name, key in keys.items()}
     assert ids == {
         "nibrs_month": [2, 3],
         "nibrs_incident": [20, 30, 40, 50],

@@ -202,7 +202,8 @@ def test_acs_columns_follow_the_header_of_each_response(spark, tmp_path):
 
 
 def test_missing_income_stops_the_job(spark):
-    row = spark.createDataFrame([("Census Tract 1, A, B", "1", "2", None, "3")], ", ".join(f"{c} string" for c in COLUMNS[:5]))
+    names = ", ".join(f"{c} string" for c in COLUMNS[:5])
+    row = spark.createDataFrame([("Census Tract 1, A, B", "1", "2", None, "3")], names)
     with pytest.raises(Exception, match="10th Percentile Income is missing"):
         tracts.acs_income(row).collect()
 
