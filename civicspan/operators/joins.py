@@ -22,10 +22,13 @@ def absent_from(rows: DataFrame, others: DataFrame, *keys: str) -> DataFrame:
 
 
 def joined_text(text: str, times: str, order: str, separator: str) -> Column:
-    """Ordered text aggregate over pre-counted values: each value appears ``times`` times."""
+    """Ordered text aggregate over pre-counted values: each value appears ``times`` times.
+
+    Missing values are left out, as they are from any text aggregate.
+    """
+    repeated = f"array_join(array_repeat({text}, cast({times} as int)), '{separator}')"
     return F.expr(
-        f"listagg(array_join(array_repeat({text}, cast({times} as int)), '{separator}'), '{separator}') "
-        f"within group (order by {order})"
+        f"listagg(CASE WHEN {text} IS NOT NULL THEN {repeated} END, '{separator}') within group (order by {order})"
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -131,35 +131,46 @@ def header_drift(spark: SparkSession, name: str, path: str) -> DataFrame:
     return filled.select(F.inline(report))
 
 
-def append_drop(rows: DataFrame, path: str, by: tuple[str, ...] = ("data_year",)) -> None:
-    """Add one yearly drop to a Parquet table laid out by year.
+def _laid_out(rows: DataFrame, by: tuple[str, ...], several_years: bool) -> DataFrameWriter:
+    """One download holds one year, so its tasks can write side by side without a shuffle.
 
-    ``rebalance`` lets Spark split a year that is much larger than the others over several
-    tasks and keeps small years in few files.
+    Rows of several years would leave a file per task and year; ``rebalance`` gathers small
+    years in few files and lets Spark split a large one over several tasks.
     """
-    rows.hint("rebalance", *by).write.mode("append").partitionBy(*by).parquet(path)
+    return (rows.hint("rebalance", *by) if several_years else rows).write.partitionBy(*by)
 
 
-def replace_drop(rows: DataFrame, path: str, by: tuple[str, ...] = ("data_year",)) -> None:
-    """As ``append_drop``, but a year that is loaded again takes the place of its old rows."""
-    (
-        rows.hint("rebalance", *by)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*by)
-        .parquet(path)
-    )
+def append_drop(
+    rows: DataFrame, path: str, by: tuple[str, ...] = ("data_year",), several_years: bool = False
+) -> None:
+    """Add one drop to a Parquet table laid out by year."""
+    _laid_out(rows, by, several_years).mode("append").parquet(path)
 
 
-def load_drop(spark: SparkSession, folder: str, root: str, names: list[str] | None = None, **read_options) -> None:
+def replace_drop(
+    rows: DataFrame, path: str, by: tuple[str, ...] = ("data_year",), several_years: bool = False
+) -> None:
+    """As ``append_drop``, but a year that is loaded again takes the place of its old rows."""
+    writer = _laid_out(rows, by, several_years).mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def load_drop(
+    spark: SparkSession,
+    folder: str,
+    root: str,
+    names: list[str] | None = None,
+    encodings: dict[str, str] | None = None,
+    several_years: bool = False,
+) -> None:
     """Load the tables of one download folder into Parquet folders ``root/<table>``.
 
     Tables with a year replace that year and keep the others; code tables are replaced whole.
     References are not checked here: run ``validation_report`` on the loaded tables.
     """
-    drop = read_drop(spark, folder, **read_options)
+    drop = read_drop(spark, folder, encodings)
     for name in names or REGISTRY:
         if "data_year" in REGISTRY[name].columns:
-            replace_drop(drop[name], f"{root}/{name}")
+            replace_drop(drop[name], f"{root}/{name}", several_years=several_years)
         else:
             drop[name].write.mode("overwrite").parquet(f"{root}/{name}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from civicspan.plans import clearance, incidents, lookups, reconcile
+from micro import declared
 
 
 def rows(result, *columns):
@@ -50,6 +51,14 @@ def test_repeated_offense_codes_are_repeated_in_the_text(spark, micro):
     ]
 
 
+def test_offenses_without_a_name_are_counted_but_not_listed(spark, micro):
+    named = micro["nibrs_offense_type"].filter("offense_code <> '13B'")
+    unnamed = declared(spark, "nibrs_offense_type", ["offense_code", "offense_name"], [("13B", None)])
+    result = incidents.incident_offenses_aggregated(micro.replace(nibrs_offense_type=named.unionByName(unnamed)))
+    found = rows(result.filter("incident_id IN (101, 102)"), "incident_id", "offenses_count", "offenses")
+    assert sorted(found) == [(101, 1, None), (102, 2, "All Other Larceny")]
+
+
 def test_county_incident_arrests(micro):
     assert sorted(rows(clearance.county_incident_arrests(micro))) == [
         (101, "ALPHA", "Simple Assault", 2),
