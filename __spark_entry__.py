@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -284,8 +285,25 @@ def entry(spark: SparkSession) -> DataFrame:
     return queries()["county_clearance_rates"](spark, SMOKE_DIR)
 
 
+def _corpus() -> tuple[dict[str, Query], dict[str, str]]:
+    """The corpus queries and their SQL, if the subpackage and the pipeline are there."""
+    if not importlib.util.find_spec("civicspan.llm") or not importlib.util.find_spec("corpus_pipeline"):
+        return {}, {}
+    import corpus_pipeline
+    from civicspan.llm import queries as corpus
+
+    sql = corpus.oracle_sql()
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return {**corpus.queries(), "pipeline": corpus_pipeline.run}, sql
+
+
 def queries() -> dict[str, Query]:
     """Every registered query by name."""
+    return {**_library(), **_corpus()[0]}
+
+
+def _library() -> dict[str, Query]:
     return {
         "csv_roundtrip": csv_roundtrip,
         "header_drift": header_drift,
@@ -368,4 +386,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """For each query the same result in SQL over the raw tables."""
-    return oracle.statements()
+    return {**oracle.statements(), **_corpus()[1]}
