@@ -71,7 +71,9 @@ def propagate(labels: DataFrame, edges: DataFrame, shards: int, slack: float = 0
     preferred = votes.groupBy("line").agg(
         F.max_by("label", F.struct("votes", F.xxhash64("line", "label"))).alias("wish"), F.sum("votes").alias("all_votes"), F.max("votes").alias("most")
     )
-    pull = placed.join(preferred.select("line", "wish", (F.col("most") / F.col("all_votes")).alias("share")), "line")
+    # A table, so that a line in very many units is a skewed side that Spark splits.
+    preferred = written(preferred.select("line", "wish", (F.col("most") / F.col("all_votes")).alias("share")), "wishes")
+    pull = placed.join(preferred, "line")
     by_wish = pull.groupBy("unit", "label", "wish").agg(F.sum(F.col("weight") * F.col("share")).alias("pull"))
     best = by_wish.groupBy("unit", "label").agg(
         F.max_by("wish", F.struct("pull", "wish")).alias("wish"),
