@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicspan.llm.common import extended, small_batches, text_key, written
@@ -32,6 +32,8 @@ WINDOW = 10
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 PAIR_BITS = 22
+SPANS = "array<struct<first:bigint,stop:bigint>>"
+_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())]))
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -228,7 +230,7 @@ def find_contamination(
     block_words: int = 200_000,
 ) -> DataFrame:
     """Adds ``n_words``, ``n_hit``, ``n_items``, ``items`` (sorted ids, comma-joined) and ``spans``
-    (first word and end of each hit span, in turn)."""
+    (first word of each hit span, and the word after it)."""
     names = ["n_words", "n_hit", "n_items", "items", "spans"]
     docs = docs.drop(*names)
     blocks = [
@@ -249,10 +251,8 @@ def find_contamination(
     )
     counted = keyed.withColumn("n_words", F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")))
     joined = counted.join(merged, "_key", "left").drop("_key")
-    spans = F.coalesce("spans", F.array().cast("array<long>"))
-    ends = F.filter(spans, lambda _, i: i % 2 == 1)
-    begins = F.filter(spans, lambda _, i: i % 2 == 0)
-    size = F.aggregate(F.zip_with(ends, begins, lambda e, b: e - b), F.lit(0).cast("long"), lambda a, x: a + x)
+    spans = F.coalesce("spans", F.array().cast(SPANS))
+    size = F.aggregate(spans, F.lit(0).cast("long"), lambda total, s: total + s.getField("stop") - s.getField("first"))
     return joined.select(
         *docs.columns,
         F.col("n_words").cast("long").alias("n_words"),
@@ -263,20 +263,17 @@ def find_contamination(
     )
 
 
-def _united(spans):
-    """Spans of several blocks, as pairs in turn, with overlapping and touching ones made one."""
-    starts = F.sequence(F.lit(0), F.size(spans) / 2 - 1)
-    pairs = F.array_sort(
-        F.transform(starts, lambda i: F.struct(F.get(spans, (2 * i).cast("int")).alias("a"), F.get(spans, (2 * i + 1).cast("int")).alias("b")))
-    )
+def _united(spans: Column) -> Column:
+    """Spans of several blocks, with overlapping and touching ones made one."""
 
-    def add(done, span):
-        last = F.element_at(done, -1)
-        touching = (F.size(done) > 0) & (span.getField("a") <= F.get(done, F.size(done) - 1))
-        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.greatest(last, span.getField("b"))))
-        return F.when(touching, longer).otherwise(F.concat(done, F.array(span.getField("a"), span.getField("b"))))
+    def add(done: Column, span: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        longer = F.struct(last.getField("first").alias("first"), F.greatest(last.getField("stop"), span.getField("stop")).alias("stop"))
+        touching = (F.size(done) > 0) & (span.getField("first") <= last.getField("stop"))
+        others = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(touching, F.concat(others, F.array(longer))).otherwise(F.concat(done, F.array(span)))
 
-    return F.aggregate(pairs, F.array().cast("array<long>"), add)
+    return F.aggregate(F.array_sort(spans), F.array().cast(SPANS), add)
 
 
 def _through(docs: DataFrame, automaton, text: str) -> DataFrame:
@@ -292,12 +289,12 @@ def _through(docs: DataFrame, automaton, text: str) -> DataFrame:
                     pa.array([sum(e - b for b, e in spans) for _, spans, _ in results], pa.int64()),
                     pa.array([len(found) for _, _, found in results], pa.int64()),
                     pa.array([sorted(sa.names[i] for i in found) for _, _, found in results], pa.list_(pa.string())),
-                    pa.array([[x for span in spans for x in span] for _, spans, _ in results], pa.list_(pa.int64())),
+                    pa.array([[{"first": a, "stop": b} for a, b in spans] for _, spans, _ in results], _SPANS),
                 ],
                 names=[*batch.schema.names, "n_words", "n_hit", "n_items", "items", "spans"],
             )
 
-    added = "n_words long, n_hit long, n_items long, items array<string>, spans array<long>"
+    added = "n_words long, n_hit long, n_items long, items array<string>, spans " + SPANS
     return docs.mapInArrow(run, extended(docs.schema, added))
 
 
@@ -317,18 +314,19 @@ def decontaminate(
     kept = found.where(F.col("n_hit") <= most_coverage * F.col("n_words"))
     clean = kept.where(F.col("n_hit") == 0).select(docs.columns)
 
+    names = docs.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             texts = batch.column(text).to_pylist()
             spans = batch.column("spans").to_pylist()
             cleaned = [
-                remove_spans(t.encode(), [[a, b] for a, b in zip(s[::2], s[1::2], strict=True) if b - a >= least_span])
+                remove_spans(t.encode(), [[x["first"], x["stop"]] for x in s if x["stop"] - x["first"] >= least_span])
                 for t, s in zip(texts, spans, strict=True)
             ]
-            columns = [
-                pa.array([c.decode() for c in cleaned], pa.string()) if name == text else batch.column(name) for name in docs.columns
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            decoded = pa.array([c.decode() for c in cleaned], pa.string())
+            columns = [decoded if name == text else batch.column(name) for name in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     changed = kept.where(F.col("n_hit") > 0).mapInArrow(run, docs.schema)
     return clean.unionByName(changed)

@@ -60,23 +60,25 @@ def first_labels(units: DataFrame, shards: int) -> DataFrame:
     return units.withColumn("label", F.when(F.col("n") * 2 * shards > total, -1).otherwise(label).cast("int"))
 
 
-def propagate(labels: DataFrame, edges: DataFrame, shards: int, slack: float = 0.02) -> DataFrame:
-    """One round: ``unit, n, label`` after the moves that the quotas allow.
+def propagate(labels: DataFrame, edges: DataFrame, shards: int, turn: int = 0, slack: float = 0.05) -> DataFrame:
+    """One round, the number ``turn``: ``unit, n, label`` after the moves that the quotas allow.
 
     What is broadcast has at most one row a shard and step of gain.
     """
     movable = labels.where("label >= 0").drop("n")
     placed = edges.join(movable, "unit")
     votes = placed.groupBy("line", "label").agg(F.sum("n").alias("votes"))
+    # Of equally many votes all lines favour the same shard, another one each round: what two units share agrees.
+    favour = F.xxhash64("label", F.lit(turn))
     preferred = votes.groupBy("line").agg(
-        F.max_by("label", F.struct("votes", F.xxhash64("line", "label"))).alias("wish"), F.sum("votes").alias("all_votes"), F.max("votes").alias("most")
+        F.max_by("label", F.struct("votes", favour)).alias("wish"), F.sum("votes").alias("all_votes"), F.max("votes").alias("most")
     )
     # A table, so that a line in very many units is a skewed side that Spark splits.
     preferred = written(preferred.select("line", "wish", (F.col("most") / F.col("all_votes")).alias("share")), "wishes")
     pull = placed.join(preferred, "line")
     by_wish = pull.groupBy("unit", "label", "wish").agg(F.sum(F.col("weight") * F.col("share")).alias("pull"))
     best = by_wish.groupBy("unit", "label").agg(
-        F.max_by("wish", F.struct("pull", "wish")).alias("wish"),
+        F.max_by("wish", F.struct("pull", F.xxhash64("wish", F.lit(turn)))).alias("wish"),
         F.max("pull").alias("best"),
         F.coalesce(F.sum(F.when(F.col("wish") == F.col("label"), F.col("pull"))), F.lit(0.0)).alias("stay"),
         F.sum("pull").alias("all"),
@@ -179,7 +181,7 @@ def balanced_shards(docs: DataFrame, shards: int = 24, rounds: int = 3) -> DataF
     rows = written(prepare(docs), "shard-rows")
     units, edges = units_and_edges(rows)
     labels = written(first_labels(units, shards), "labels")
-    for _ in range(rounds):
-        labels = written(propagate(labels, edges, shards), "labels")
+    for turn in range(rounds):
+        labels = written(propagate(labels, edges, shards, turn), "labels")
     return lay_out(rows, labels, shards)
 
