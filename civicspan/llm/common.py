@@ -40,6 +40,16 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def bucketed(frame: DataFrame, name: str, column: str) -> DataFrame:
+    """The rows as a table in the shared folder, bucketed so that joins on ``column`` shuffle the other side only."""
+    spark = frame.sparkSession
+    path = fresh_path(spark, name)
+    listed = "_".join(path.rsplit("/", 1)[1].split("-"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    frame.write.bucketBy(buckets, column).option("path", path).saveAsTable(listed)
+    return spark.table(listed)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
     return F.transform(F.array(value), body).getItem(0)
