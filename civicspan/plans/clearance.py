@@ -232,11 +232,11 @@ def state_county_clearance_rates(t: Tables) -> DataFrame:
 
 
 def clearance_trend(t: Tables) -> DataFrame:
-    """Yearly clearance rates per county and offense and their change from the year before."""
+    """Yearly clearance rates per county and offense and their change from the year before, null if that year is missing."""
     rate = F.col("clearance_ratio_total_percent")
-    earlier = F.lag("clearance_ratio_total_percent").over(
-        Window.partitionBy("county_name", "offense_name").orderBy("data_year")
-    )
+    years = Window.partitionBy("county_name", "offense_name").orderBy("data_year")
+    follows = F.lag("data_year").over(years) == F.col("data_year") - 1
+    earlier = F.when(follows, F.lag("clearance_ratio_total_percent").over(years))
     return (
         with_rates(county_clearances(t, by_year=True))
         .select("county_name", "offense_name", "data_year", "offense_count", "clearances_total", rate)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -33,6 +34,10 @@ def csv_options(encoding: str = "UTF-8", multi_line: bool = False) -> dict:
     }
 
 
+#: Names the folders of a state's rows in loaded tables; it is no column of theirs.
+STATE_FOLDER = "drop_state"
+
+
 def file_schema(table: Table) -> StructType:
     """The declared schema, with the recoded columns still as text."""
     return StructType(
@@ -155,6 +160,20 @@ def replace_drop(
     writer.option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+def drop_state(drop: Tables) -> str:
+    """The state whose agencies the drop holds; ``unknown`` if it has no agencies file."""
+    try:
+        agencies = drop["agencies"]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return "unknown"
+    states = [state for (state,) in agencies.select("state_abbr").distinct().limit(2).collect()]
+    if len(states) != 1 or not states[0]:
+        raise ValueError("the drop's agencies are not of one state: name the state")
+    return states[0]
+
+
 def load_drop(
     spark: SparkSession,
     folder: str,
@@ -162,15 +181,20 @@ def load_drop(
     names: list[str] | None = None,
     encodings: dict[str, str] | None = None,
     several_years: bool = False,
+    state: str | None = None,
 ) -> None:
     """Load the tables of one download folder into Parquet folders ``root/<table>``.
 
-    Tables with a year replace that year and keep the others; code tables are replaced whole.
-    References are not checked here: run ``validation_report`` on the loaded tables.
+    A download is of one state, by default that of its agencies. Tables with a year replace the rows of
+    this state and year and keep all others; code tables are replaced whole. All files are looked for
+    before anything is written. References are not checked here: run ``validation_report`` on the loaded tables.
     """
     drop = read_drop(spark, folder, encodings)
-    for name in names or REGISTRY:
+    tables = {name: drop[name] for name in names or REGISTRY}
+    state = state or drop_state(drop)
+    for name, rows in tables.items():
         if "data_year" in REGISTRY[name].columns:
-            replace_drop(drop[name], f"{root}/{name}", several_years=several_years)
+            placed = rows.withColumn(STATE_FOLDER, F.lit(state))
+            replace_drop(placed, f"{root}/{name}", (STATE_FOLDER, "data_year"), several_years)
         else:
-            drop[name].write.mode("overwrite").parquet(f"{root}/{name}")
+            rows.write.mode("overwrite").parquet(f"{root}/{name}")

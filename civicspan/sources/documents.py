@@ -55,10 +55,16 @@ def read_acs(spark: SparkSession, path: str, columns: list[str], per_line: bool
             F.explode(F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0)))).alias("row"),
         )
         .select(F.map_from_arrays("header", "row").alias("row"))
-        .select([F.col("row")[name].alias(name) for name in columns])
+        .select([_named(name).alias(name) for name in columns])
     )
 
 
+def _named(name: str) -> F.Column:
+    """A row's value of a column; a column that the response doesn't have stops the job."""
+    absent = F.raise_error(F.lit(f"the response has no column {name}"))
+    return F.when(F.map_contains_key("row", name), F.col("row")[name]).otherwise(absent)
+
+
 def acs_from_rows(spark: SparkSession, response: list[list[str]]) -> DataFrame:
     """A response that the caller already holds as rows, header first."""
     header, *rows = response

@@ -408,14 +408,16 @@ QUERIES = {
             FROM {clearances("county_name, offense_name")} JOIN nibrs_offense_type USING (offense_name) GROUP BY ALL)""",
     ),
     "clearance_trend": f"""
-        SELECT county_name, offense_name, data_year, offense_count, clearances_total,
-          CAST(hundredths AS DOUBLE) / 100 AS clearance_ratio_total_percent,
-          CAST(hundredths - lag(hundredths) OVER (PARTITION BY county_name, offense_name ORDER BY data_year)
-            AS DOUBLE) / 100 AS percent_change
-        FROM (SELECT county_name, offense_name, data_year, offense_count,
-                clearances_normal + clearances_exceptional_total AS clearances_total,
-                {rounded("clearances_normal + clearances_exceptional_total", "offense_count")} AS hundredths
-              FROM {clearances("county_name, data_year, offense_name")})""",
+        WITH yearly AS (
+          SELECT county_name, offense_name, data_year, offense_count,
+            clearances_normal + clearances_exceptional_total AS clearances_total,
+            {rounded("clearances_normal + clearances_exceptional_total", "offense_count")} AS hundredths
+          FROM {clearances("county_name, data_year, offense_name")})
+        SELECT y.county_name, y.offense_name, y.data_year, y.offense_count, y.clearances_total,
+          CAST(y.hundredths AS DOUBLE) / 100 AS clearance_ratio_total_percent,
+          CAST(y.hundredths - e.hundredths AS DOUBLE) / 100 AS percent_change
+        FROM yearly y LEFT JOIN yearly e ON e.data_year = y.data_year - 1
+          AND e.county_name IS NOT DISTINCT FROM y.county_name AND e.offense_name IS NOT DISTINCT FROM y.offense_name""",
     "normal_clearance_report": f"""
         SELECT offense_name, county_name, offense_count, clearances_normal AS cleared_normally_count, arrests,
           CAST({rounded("clearances_normal", "offense_count")} AS DOUBLE) / 100 AS solved_crime_ratio

@@ -6,6 +6,7 @@ import datetime
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from civicspan.functions.text import recode_age, tract_key
@@ -125,6 +126,34 @@ def test_load_drop_finds_files_in_any_case_and_replaces_a_year(spark, tmp_path):
     assert tables["nibrs_victim_type"].count() == 1
 
 
+def agency_drop(folder, state, year, agency):
+    columns = REGISTRY["agencies"].columns
+    values = {"data_year": year, "agency_id": agency, "state_abbr": state}
+    lines = [",".join(columns), ",".join(str(values.get(c, "")) for c in columns)]
+    write(folder / "agencies.csv", "\n".join(lines) + "\n")
+    write(folder / "NIBRS_victim.csv", "\n".join([VICTIM_HEADER, victim_line(agency, "20", year)]) + "\n")
+
+
+def test_states_of_one_year_are_kept_side_by_side(spark, tmp_path):
+    root, names = str(tmp_path / "loaded"), ["agencies", "nibrs_victim"]
+    drops = [("MD", 2021, 1), ("VA", 2021, 2), ("MD", 2022, 3), ("MD", 2021, 4)]
+    for i, (state, year, agency) in enumerate(drops):
+        agency_drop(tmp_path / f"drop{i}", state, year, agency)
+        delimited.load_drop(spark, str(tmp_path / f"drop{i}"), root, names)
+    tables = parquet_tables(spark, root, names)
+    loaded = sorted((r.state_abbr, r.data_year, r.agency_id) for r in tables["agencies"].collect())
+    assert loaded == [("MD", 2021, 4), ("MD", 2022, 3), ("VA", 2021, 2)]
+    assert tables["agencies"].columns == REGISTRY["agencies"].columns
+    assert tables["nibrs_victim"].count() == 3
+
+
+def test_an_incomplete_drop_writes_nothing(spark, tmp_path):
+    agency_drop(tmp_path / "drop", "MD", 2021, 1)
+    with pytest.raises(AnalysisException):
+        delimited.load_drop(spark, str(tmp_path / "drop"), str(tmp_path / "loaded"), ["agencies", "nibrs_offense"])
+    assert not (tmp_path / "loaded").exists()
+
+
 def test_streamed_drops_load_each_file_once(spark, tmp_path):
     drops, loaded, progress = (str(tmp_path / name) for name in ("drops", "loaded", "progress"))
 
