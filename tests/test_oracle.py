@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -15,7 +17,7 @@ def connection(sf_dir):
     return compare.connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(SQL))
 def test_query_matches_sql(spark, sf_dir, connection, name):
     result = entry.queries()[name](spark, sf_dir)
     columns, found = compare.spark_rows(result)
@@ -26,7 +28,9 @@ def test_query_matches_sql(spark, sf_dir, connection, name):
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == set(entry.queries())
+    """Corpus queries that SQL can't express have brute-force tests of their own."""
+    library = {name for name in entry.queries() if not re.match(r"op\d+_|pipeline$", name)}
+    assert library <= set(SQL) <= set(entry.queries())
 
 
 def test_entry_runs(spark):
