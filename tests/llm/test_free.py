@@ -442,3 +442,23 @@ def test_scores_of_messy_rows(spark, messy, nothing):
     for row in rows:
         assert min(abs(row["base_score"] - b) for b in expected[tuple(row)[:5]]) < 1e-6 * abs(row["base_score"])
     assert gru_lm.score_documents(nothing).collect() == []
+
+
+def test_components_equal_union_find(spark):
+    random = np.random.default_rng(11)
+    for nodes, count in ((2, 1), (40, 25), (60, 90)):
+        parts = [[tuple(sorted(p)) for p in random.integers(0, nodes, (count, 2)).tolist() if p[0] != p[1]] or [(0, 1)] for _ in range(2)]
+        parts[0] += parts[0][:1] + [(i, i + 1) for i in range(100, 109)] + [(200, i) for i in range(201, 220)]
+        root = {n: n for part in parts for p in part for n in p}
+        classes = None
+        for part in parts:
+            before = {r["node"]: r["class"] for r in classes.collect()} if classes is not None else {}
+            of = [sorted(before.get(bytes([n]), bytes([n])) for n in p) for p in part]
+            links = spark.createDataFrame([p for p in of if p[0] != p[1]], "under binary, over binary")
+            classes = order_minhash.components(links, classes)
+            for a, b in part:
+                low, high = sorted((root[a], root[b]))
+                root = {n: low if r == high else r for n, r in root.items()}
+            linked = {n: r for n, r in root.items() if r != n or n in root.values() and list(root.values()).count(n) > 1}
+            got = [(r["node"][0], r["class"][0]) for r in classes.collect()]
+            assert sorted(got) == sorted(linked.items())
