@@ -19,7 +19,7 @@ from civicspan.operators import quality  # noqa: E402
 from civicspan.operators.cascade import cascade_delete  # noqa: E402
 from civicspan.operators.joins import decode  # noqa: E402
 from civicspan.operators.publish import publish  # noqa: E402
-from civicspan.plans import clearance, community, incidents, lookups, reconcile, samples, tracts  # noqa: E402
+from civicspan.plans import clearance, community, incidents, lookups, reconcile, samples, tracts, views  # noqa: E402
 from civicspan.session import fresh_path  # noqa: E402
 from civicspan.sources import delimited, documents  # noqa: E402
 from civicspan.sources.datasets import Tables  # noqa: E402
@@ -30,16 +30,6 @@ from civicspan.streaming.drops import load_new_drops  # noqa: E402
 SMOKE_DIR = "/root/testdata/sf0.001"
 ASIA_1996 = {"state": "ASIA", "year": 1996}
 BRAND_9 = {**ASIA_1996, "offense_code": "Brand#9"}
-LANDED_COLUMNS = [
-    "data_year",
-    "agency_id",
-    "incident_id",
-    "cargo_theft_flag",
-    "incident_date",
-    "incident_hour",
-    "incident_status",
-]
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -49,12 +39,9 @@ def plain(rows: DataFrame) -> DataFrame:
     return rows.withColumns({name: F.col(name).cast("double") for name in decimals}) if decimals else rows
 
 
-def on_tables(plan: Callable[..., DataFrame], *drop: str, **arguments) -> Query:
-    """A plan over the star tables, without the columns they cannot supply."""
-    return lambda spark, folder: plain(plan(star_tables(spark, folder), **arguments).drop(*drop))
-
-
-ABSENT = ("submission_date", "submitting_agency_name", "population_group_desc", "parent_pop_group_desc")
+def on_tables(plan: Callable[..., DataFrame], **arguments) -> Query:
+    """A plan over the star tables."""
+    return lambda spark, folder: plain(plan(star_tables(spark, folder), **arguments))
 
 
 # Sources: each writes star data in the file format concerned and reads it back.
@@ -67,6 +54,14 @@ def _declared_incidents(spark: SparkSession, folder: str) -> DataFrame:
         "data_year": F.year("o_orderdate"),
         "agency_id": F.col("o_custkey"),
         "incident_id": key,
+        "nibrs_month_id": F.expr("o_custkey * 1000 + (year(o_orderdate) - 1995) * 12 + month(o_orderdate)"),
+        "submission_date": F.expr("o_orderdate + INTERVAL 45 DAYS"),
+        "report_date_flag": F.when(key % 2 == 0, "R"),
+        "cleared_except_id": F.when(status == "F", F.substr("o_orderpriority", F.lit(1), F.lit(1))).otherwise("6"),
+        "cleared_except_date": F.when(status == "F", F.expr("o_orderdate + INTERVAL 90 MINUTES")),
+        "data_home": F.lit("C"),
+        "orig_format": F.lit("F"),
+        "did": key * 10,
         "cargo_theft_flag": F.when(key % 3 == 0, "Y  ").when(key % 3 == 1, ""),
         "incident_date": F.col("o_orderdate"),
         "incident_hour": key % 24,
@@ -74,24 +69,42 @@ def _declared_incidents(spark: SparkSession, folder: str) -> DataFrame:
         .when(key % 4 == 2, "  ")
         .when(key % 4 == 3, F.concat(F.lit('status "'), status, F.lit('", checked'))),
     }
-    fields = REGISTRY["nibrs_incident"].schema
-    nothing = F.lit(None)
     return Star(spark, folder).raw("orders").select(
-        [filled.get(f.name, nothing).cast(f.dataType).alias(f.name) for f in fields]
+        [filled[f.name].cast(f.dataType).alias(f.name) for f in REGISTRY["nibrs_incident"].schema]
     )
 
 
 def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "incident-csv")
     delimited.write_table(_declared_incidents(spark, folder), path)
-    return delimited.read_table(spark, "nibrs_incident", path).select(LANDED_COLUMNS)
+    return delimited.read_table(spark, "nibrs_incident", path)
+
+
+def csv_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    """Text outside ASCII in files of another encoding."""
+    path = fresh_path(spark, "latin-csv")
+    status = F.concat(F.lit("Clôturé "), (F.col("incident_id") % 10).cast("string"))
+    rows = _declared_incidents(spark, folder).withColumn("incident_status", status)
+    delimited.write_table(rows, path, encoding="ISO-8859-1")
+    return delimited.read_table(spark, "nibrs_incident", path, encoding="ISO-8859-1")
 
 
 def header_drift(spark: SparkSession, folder: str) -> DataFrame:
-    path = fresh_path(spark, "drifted-csv")
-    renamed = {"cargo_theft_flag": "cargo_flag", "incident_status": "status"}
-    delimited.write_table(_declared_incidents(spark, folder).withColumnsRenamed(renamed), path)
-    return delimited.header_drift(spark, "nibrs_incident", path)
+    """Clean files, and files with renamed columns, a surplus and a missing one, side by side."""
+    root = fresh_path(spark, "drifted-csv")
+    rows = _declared_incidents(spark, folder)
+    kinds = {
+        "clean": rows,
+        "renamed": rows.withColumnsRenamed({"cargo_theft_flag": "cargo_flag", "incident_status": "status"}),
+        "surplus": rows.withColumn("note", F.when(F.col("incident_id") % 5 == 0, "seen")),
+        "short": rows.drop("did"),
+    }
+    for i, (kind, shaped) in enumerate(kinds.items()):
+        delimited.write_table(shaped.filter(f"(incident_id div 4) % 4 = {i}"), f"{root}/{kind}")
+    drift = delimited.header_drift(spark, "nibrs_incident", f"{root}/*")
+    return drift.groupBy(
+        F.regexp_extract("file", "/([a-z]+)/[^/]+$", 1).alias("kind"), "position", "declared_name", "header_name"
+    ).agg(F.sum("filled_rows").alias("filled_rows"))
 
 
 def _yearly_drops(spark: SparkSession, folder: str) -> tuple[str, list[int]]:
@@ -107,7 +120,7 @@ def incremental_drop_load(spark: SparkSession, folder: str) -> DataFrame:
     loaded, checkpoint = fresh_path(spark, "loaded"), fresh_path(spark, "progress")
     for _ in range(2):  # the second run finds nothing new
         load_new_drops(spark, "nibrs_incident", f"{drops}/drop=*", loaded, checkpoint)
-    return spark.read.schema(REGISTRY["nibrs_incident"].schema).parquet(loaded).select(LANDED_COLUMNS)
+    return spark.read.schema(REGISTRY["nibrs_incident"].schema).parquet(loaded)
 
 
 def yearly_append(spark: SparkSession, folder: str) -> DataFrame:
@@ -115,7 +128,7 @@ def yearly_append(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "incidents-by-year")
     for year in years:
         delimited.append_drop(delimited.read_table(spark, "nibrs_incident", f"{drops}/drop={year}"), path)
-    return spark.read.schema(REGISTRY["nibrs_incident"].schema).parquet(path).select(LANDED_COLUMNS)
+    return spark.read.schema(REGISTRY["nibrs_incident"].schema).parquet(path)
 
 
 def publish_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,6 +163,13 @@ def acs_rows_parse(spark: SparkSession, folder: str) -> DataFrame:
     return documents.read_acs(spark, path, ["NAME", *ACS_VARIABLES, *ACS_GEOGRAPHY], per_line=True)
 
 
+def acs_whole_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Each response in a file of its own, as it is downloaded."""
+    path = fresh_path(spark, "acs-files")
+    Star(spark, folder).acs_documents().write.option("maxRecordsPerFile", 1).text(path)
+    return documents.read_acs(spark, path, ["NAME", *ACS_VARIABLES, *ACS_GEOGRAPHY])
+
+
 def acs_county_rows(spark: SparkSession, folder: str) -> DataFrame:
     return documents.county_rows(acs_rows_parse(spark, folder), state="3", county="3")
 
@@ -280,6 +300,17 @@ def arrest_top_offense(t: Tables) -> DataFrame:
     return reconcile.arrest_top_offense(t, t["nibrs_offense_type"].select("offense_code", rank.alias("rank")))
 
 
+def sql_views(t: Tables) -> DataFrame:
+    """Two of the views, joined in SQL."""
+    views.create_views(t)
+    return t["agencies"].sparkSession.sql(
+        """SELECT o.county_name, o.offense_name, o.offense_count, c.clearances_normal, c.clearances_exceptional_total
+           FROM county_offenses o JOIN county_incident_clearances_all_aggregated c
+             ON o.county_name = c.county_name AND o.offense_name = c.offense_name
+           WHERE o.offense_name ILIKE '%brand#1%'"""
+    )
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Clearance rates per county and offense."""
     return queries()["county_clearance_rates"](spark, SMOKE_DIR)
@@ -306,10 +337,12 @@ def queries() -> dict[str, Query]:
 def _library() -> dict[str, Query]:
     return {
         "csv_roundtrip": csv_roundtrip,
+        "csv_encoding": csv_encoding,
         "header_drift": header_drift,
         "manifest_tags": manifest_tags,
         "manifest_due": manifest_due,
         "acs_rows_parse": acs_rows_parse,
+        "acs_whole_documents": acs_whole_documents,
         "acs_county_rows": acs_county_rows,
         "acs_tract_key": acs_tract_key,
         "acs_income": acs_income,
@@ -336,10 +369,10 @@ def _library() -> dict[str, Query]:
         "code_lookup": on_tables(lookups.code_table, table="nibrs_location_type"),
         "arrests_filtered": on_tables(arrests_filtered),
         "victim_decode": on_tables(victim_decode),
-        "incident_offenses": on_tables(incidents.incident_offenses, *ABSENT),
-        "incident_offenses_aggregated": on_tables(incidents.incident_offenses_aggregated, *ABSENT),
-        "incident_offenses_single": on_tables(incidents.incident_offenses_single, *ABSENT),
-        "incident_offenses_multiple": on_tables(incidents.incident_offenses_multiple, *ABSENT),
+        "incident_offenses": on_tables(incidents.incident_offenses),
+        "incident_offenses_aggregated": on_tables(incidents.incident_offenses_aggregated),
+        "incident_offenses_single": on_tables(incidents.incident_offenses_single),
+        "incident_offenses_multiple": on_tables(incidents.incident_offenses_multiple),
         "county_offenses": on_tables(clearance.county_offenses),
         "county_incident_arrests": on_tables(clearance.county_incident_arrests),
         "county_arrests_agg": on_tables(clearance.county_incident_arrests_aggregated),
@@ -363,9 +396,9 @@ def _library() -> dict[str, Query]:
         "offense_count_distribution": on_tables(incidents.offense_count_distribution),
         "offense_totals": on_tables(incidents.offense_totals),
         "distinct_clearance_codes": on_tables(lookups.first_clearance_code),
-        "state_year_incidents": on_tables(samples.state_year_incidents, "submission_date", "did", **ASIA_1996),
+        "state_year_incidents": on_tables(samples.state_year_incidents, **ASIA_1996),
         "state_year_offense": on_tables(samples.state_year_offense, **BRAND_9),
-        "victim_demographics": on_tables(samples.victim_demographics, "age_num", **BRAND_9),
+        "victim_demographics": on_tables(samples.victim_demographics, **BRAND_9),
         "offense_locations": on_tables(samples.offense_locations, **BRAND_9),
         "agency_participation": on_tables(community.agency_participation, months=3),
         "cleared_without_arrest": on_tables(reconcile.cleared_without_arrest),
@@ -376,6 +409,10 @@ def _library() -> dict[str, Query]:
         "clearance_by_demographic": on_tables(
             community.clearance_by_demographic, codes="ref_race", key="race_id", column="race_code"
         ),
+        "clearance_by_offender": on_tables(
+            community.clearance_by_demographic, codes="ref_race", key="race_id", column="race_code", person="offender"
+        ),
+        "sql_views": on_tables(sql_views),
         "clearance_by_ethnicity": on_tables(
             community.clearance_by_demographic, codes="nibrs_ethnicity", key="ethnicity_id", column="ethnicity_code"
         ),

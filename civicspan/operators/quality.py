@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicspan.sources.schema import REFERENCES, REGISTRY, Reference, Table
+from civicspan.sources.schema import REFERENCES, REGISTRY, YEARLY_TABLES, Reference, Table
 
 # Documented codes by column.
 DOMAINS = {
@@ -45,15 +45,17 @@ def key_violations(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("rows_with_key")).filter("rows_with_key > 1")
 
 
-def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
+def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str, *shared: str) -> DataFrame:
     """Values of ``column`` without a parent, with their number of rows.
 
+    ``shared`` names columns, such as the year, that child and parent must have in common too.
+
     The child is counted by value first, so a value that fills a large part of the table
     reaches the join as one row.
     """
-    values = child.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("orphan_rows"))
-    known = parent.select(F.col(parent_column).alias(column)).distinct()
-    return values.join(known, column, "left_anti")
+    values = child.filter(F.col(column).isNotNull()).groupBy(column, *shared).agg(F.count("*").alias("orphan_rows"))
+    known = parent.select(F.col(parent_column).alias(column), *shared).distinct()
+    return values.join(known, [column, *shared], "left_anti")
 
 
 def cardinality_violations(child: DataFrame, parent_key: str, limit: int) -> DataFrame:
@@ -134,9 +136,9 @@ def table_checks(rows: DataFrame, table: Table) -> list[DataFrame]:
         **_domain_conditions({c: codes for c, codes in DOMAINS.items() if c in present}),
     }
     checks = [_one_pass(rows, conditions)] if conditions else []
-    if present.issuperset(table.key):
-        repeated = key_violations(rows, list(table.key))
-        checks.append(_single(repeated, "primary_key", ",".join(table.key), "count(*)"))
+    if present.issuperset(table.row_key):
+        repeated = key_violations(rows, list(table.row_key))
+        checks.append(_single(repeated, "primary_key", ",".join(table.row_key), "count(*)"))
     for limited, parent_key, limit in ROW_LIMITS:
         if limited == table.name and parent_key in present:
             over = cardinality_violations(rows, parent_key, limit)
@@ -162,6 +164,8 @@ def validation_report(
                 add(name, found)
     for ref in references:
         if ref.column in columns.get(ref.child, ()) and ref.parent_column in columns.get(ref.parent, ()):
-            lost = orphans(tables[ref.child], ref.column, tables[ref.parent], ref.parent_column)
-            add(ref.child, _single(lost, "foreign_key", f"{ref.column}->{ref.parent}", "sum(orphan_rows)"))
+            shared = ["data_year"] if ref.parent in YEARLY_TABLES and "data_year" in columns[ref.child] else []
+            lost = orphans(tables[ref.child], ref.column, tables[ref.parent], ref.parent_column, *shared)
+            detail = ",".join([ref.column, *shared])
+            add(ref.child, _single(lost, "foreign_key", f"{detail}->{ref.parent}", "sum(orphan_rows)"))
     return reduce(DataFrame.unionByName, checks)

@@ -13,7 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicspan.functions.numbers import count_where, percent
-from civicspan.plans.incidents import MATCH, agency_offense_counts, offense_groups, offense_names
+from civicspan.plans.incidents import (
+    AGENCY_KEY,
+    MATCH,
+    agencies,
+    agency_offense_counts,
+    offense_groups,
+    offense_names,
+)
 from civicspan.sources.datasets import Tables
 
 NOT_EXCEPTIONAL = 6
@@ -32,10 +39,6 @@ SUM_OF_REASONS = " + ".join(REASONS)
 COUNTS = ["offense_count", "clearances_normal", TOTAL, "arrests", *REASONS]
 
 
-def _county(t: Tables) -> DataFrame:
-    return t["agencies"].select("agency_id", "county_name")
-
-
 def arrest_groups(
     t: Tables,
     incident_id: int | None = None,
@@ -55,9 +58,9 @@ def county_offenses(t: Tables) -> DataFrame:
     """Offenses per county and offense."""
     return (
         agency_offense_counts(t)
-        .groupBy("agency_id", "offense_code")
+        .groupBy(*AGENCY_KEY, "offense_code")
         .agg(F.sum("offenses").alias("offenses"))
-        .join(_county(t), "agency_id")
+        .join(agencies(t, "county_name"), AGENCY_KEY)
         .join(offense_names(t), "offense_code")
         .groupBy("offense_name", "county_name")
         .agg(F.sum("offenses").alias("offense_count"))
@@ -72,8 +75,8 @@ def matched_arrests(
     **arrest_filters,
 ) -> DataFrame:
     """Arrests per incident, county and offense, where the arrest names one of its offenses."""
-    names, counties = offense_names(t), _county(t)
-    incidents = t["nibrs_incident"].select("incident_id", "agency_id", "cleared_except_id")
+    names, counties = offense_names(t), agencies(t, "county_name")
+    incidents = t["nibrs_incident"].select("incident_id", *AGENCY_KEY, "cleared_except_id")
     if offense_like is not None:
         names = names.filter(F.col("offense_name").ilike(offense_like))
     if county is not None:
@@ -85,9 +88,9 @@ def matched_arrests(
         .join(arrest_groups(t, **arrest_filters), MATCH)
         .join(names, "offense_code")
         .join(incidents, "incident_id")
-        .groupBy("incident_id", "agency_id", "offense_name")
+        .groupBy("incident_id", *AGENCY_KEY, "offense_name")
         .agg(F.sum(F.col("offenses") * F.col("arrests")).alias("count_arrests"))
-        .join(counties, "agency_id")
+        .join(counties, AGENCY_KEY)
         .select("incident_id", "county_name", "offense_name", "count_arrests")
     )
 
@@ -115,7 +118,7 @@ def _exceptional_counts(t: Tables, *keys: str) -> DataFrame:
         agency_offense_counts(t)
         .filter(exceptional)
         .join(t["nibrs_cleared_except"].select("cleared_except_id", "cleared_except_code"), "cleared_except_id")
-        .join(_county(t), "agency_id")
+        .join(agencies(t, "county_name"), AGENCY_KEY)
         .join(offense_names(t), "offense_code")
         .groupBy("county_name", "offense_name", *keys)
         .agg(*reasons)
@@ -144,16 +147,16 @@ def county_clearances_by_view(t: Tables) -> DataFrame:
     return joined.select("county_name", "offense_name", "offense_count", *zero_filled)
 
 
-def incident_clearances(t: Tables, *incident_columns: str) -> DataFrame:
+def incident_clearances(t: Tables) -> DataFrame:
     """Offense rows and matching arrests per incident and offense name."""
-    incidents = t["nibrs_incident"].select("incident_id", "agency_id", "cleared_except_id", *incident_columns)
+    incidents = t["nibrs_incident"].select("incident_id", *AGENCY_KEY, "cleared_except_id")
     matched = F.col("offenses") * F.coalesce(F.col("arrests"), F.lit(0))
     return (
         offense_groups(t)
         .join(arrest_groups(t), MATCH, "left")
         .join(offense_names(t), "offense_code")
         .join(incidents, "incident_id")
-        .groupBy("incident_id", "agency_id", "cleared_except_id", *incident_columns, "offense_name")
+        .groupBy("incident_id", *AGENCY_KEY, "cleared_except_id", "offense_name")
         .agg(F.sum("offenses").alias("offenses"), F.sum(matched).alias("arrests"))
     )
 
@@ -165,7 +168,8 @@ def county_clearances(
 ) -> DataFrame:
     """The counts of ``county_clearances_by_view`` in one pass over offenses and arrests.
 
-    ``place`` names the agency columns to group by and ``by_year`` adds the incident year.
+    ``place`` names the agency columns to group by and ``by_year`` adds the year. Incidents meet the agency
+    of their year.
     Incidents are counted before agencies are joined: what reaches the join are sums per
     agency and offense, however busy one agency is. Groups whose place or offense has no name
     keep their offenses but show no clearances, because the views match them by name.
@@ -183,16 +187,14 @@ def county_clearances(
         ],
     ]
     summed = ["offense_count", "clearances_normal", "arrests", *REASONS]
-    agencies = t["agencies"]
-    agency_key = ["agency_id", *(y for y in years if y in agencies.columns)]
     keys = [*place, *years, "offense_name"]
     named = " AND ".join(f"{key} IS NOT NULL" for key in keys)
     totals = (
-        incident_clearances(t, *years)
+        incident_clearances(t)
         .join(listed, "cleared_except_id", "left")
-        .groupBy("agency_id", *years, "offense_name")
+        .groupBy(*AGENCY_KEY, "offense_name")
         .agg(*sums)
-        .join(agencies.select(*agency_key, *place), agency_key)
+        .join(agencies(t, *place), AGENCY_KEY)
         .groupBy(*keys)
         .agg(*[F.sum(name).alias(name) for name in summed])
         .withColumn(TOTAL, F.expr(SUM_OF_REASONS))

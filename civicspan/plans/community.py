@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from civicspan.functions.numbers import count_where, percent
 from civicspan.plans.clearance import NOT_EXCEPTIONAL, arrest_groups
-from civicspan.plans.incidents import MATCH, offense_groups, offense_names
+from civicspan.plans.incidents import AGENCY_KEY, MATCH, agencies, offense_groups, offense_names
 from civicspan.sources.datasets import Tables
 
 
 def agency_participation(t: Tables, months: int = 12) -> DataFrame:
     """Agencies and years with a report or zero report in enough months.
 
-    An agency also takes part when the agency that covers it does.
+    An agency also takes part when the agency that covered it that year does.
     """
     reported = (
         t["nibrs_month"]
@@ -25,10 +25,10 @@ def agency_participation(t: Tables, months: int = 12) -> DataFrame:
         .agg(F.count("*").alias("months_reported"))
         .filter(F.col("months_reported") >= months)
     )
-    agencies = t["agencies"].select("agency_id", "legacy_ori", "covered_by_legacy_ori")
-    direct = reported.join(agencies.select("agency_id", "legacy_ori"), "agency_id")
+    direct = reported.join(agencies(t, "legacy_ori"), AGENCY_KEY)
     years_covered = direct.select(F.col("legacy_ori").alias("covered_by_legacy_ori"), "data_year").distinct()
-    covered = agencies.join(years_covered, "covered_by_legacy_ori").select("agency_id", "data_year")
+    covering = ["covered_by_legacy_ori", "data_year"]
+    covered = agencies(t, "covered_by_legacy_ori").join(years_covered, covering).select("agency_id", "data_year")
     both = direct.select("agency_id", "data_year", "months_reported", F.lit(0).alias("covered")).unionByName(
         covered.select("agency_id", "data_year", F.lit(0).cast("bigint").alias("months_reported"), F.lit(1).alias("covered"))
     )
@@ -114,13 +114,12 @@ def arrests_by_demographic(t: Tables, codes: str, key: str, column: str) -> Data
 
 
 def incidents_per_capita(t: Tables, per: int = 1000) -> DataFrame:
-    """Incidents per so many inhabitants of each county; agencies without incidents count too."""
-    incidents = t["nibrs_incident"].groupBy("agency_id").agg(F.count("*").alias("incidents"))
+    """Incidents per so many inhabitants of each county and year; agencies without incidents count too."""
+    incidents = t["nibrs_incident"].groupBy(*AGENCY_KEY).agg(F.count("*").alias("incidents"))
     counties = (
-        t["agencies"]
-        .select("agency_id", "county_name", "population")
-        .join(incidents, "agency_id", "left")
-        .groupBy("county_name")
+        agencies(t, "county_name", "population")
+        .join(incidents, AGENCY_KEY, "left")
+        .groupBy("county_name", "data_year")
         .agg(
             F.sum(F.coalesce("incidents", F.lit(0))).alias("incidents"),
             F.sum("population").alias("population"),

@@ -10,6 +10,8 @@ from civicspan.sources.datasets import Tables
 
 OFFENSE_SEPARATOR = ",,,,, "
 MATCH = ["incident_id", "offense_code"]
+#: An agency has a row for each year; an incident belongs to that of its own year.
+AGENCY_KEY = ["agency_id", "data_year"]
 INCIDENT_COLUMNS = ["incident_id", "incident_date", "submission_date", "cleared_except_id"]
 AGENCY_COLUMNS = [
     "pub_agency_name",
@@ -26,6 +28,11 @@ def offense_names(t: Tables) -> DataFrame:
     return t["nibrs_offense_type"].select("offense_code", "offense_name")
 
 
+def agencies(t: Tables, *columns: str) -> DataFrame:
+    """The yearly agencies' keys and the named columns, to be joined on ``AGENCY_KEY``."""
+    return t["agencies"].select(*AGENCY_KEY, *columns)
+
+
 def offense_groups(t: Tables) -> DataFrame:
     """Offense rows per incident and code. Counting first keeps every later join small."""
     return t["nibrs_offense"].groupBy(*MATCH).agg(F.count("*").alias("offenses"))
@@ -33,10 +40,10 @@ def offense_groups(t: Tables) -> DataFrame:
 
 def incident_offenses(t: Tables) -> DataFrame:
     """One row per offense, with incident, offense type and agency."""
-    incidents = t["nibrs_incident"].select(*INCIDENT_COLUMNS, "agency_id")
+    incidents = t["nibrs_incident"].select(*INCIDENT_COLUMNS, *AGENCY_KEY)
     offenses = t["nibrs_offense"].select("offense_id", *MATCH, "attempt_complete_flag")
     # Agencies join the incidents, which are fewer than the offenses.
-    placed = incidents.join(t["agencies"].select("agency_id", *AGENCY_COLUMNS), "agency_id")
+    placed = incidents.join(agencies(t, *AGENCY_COLUMNS), AGENCY_KEY)
     return (
         offenses.join(offense_names(t), "offense_code")
         .join(placed, "incident_id")
@@ -66,8 +73,8 @@ def incident_offenses_aggregated(t: Tables) -> DataFrame:
             joined_text("offense_name", "offenses", "offense_name", OFFENSE_SEPARATOR).alias("offenses"),
         )
     )
-    incidents = t["nibrs_incident"].select(*INCIDENT_COLUMNS, "agency_id")
-    placed = incidents.join(t["agencies"].select("agency_id", *AGENCY_COLUMNS), "agency_id")
+    incidents = t["nibrs_incident"].select(*INCIDENT_COLUMNS, *AGENCY_KEY)
+    placed = incidents.join(agencies(t, *AGENCY_COLUMNS), AGENCY_KEY)
     return per_incident.join(placed, "incident_id").select(
         *INCIDENT_COLUMNS, *AGENCY_COLUMNS, "offenses_count", "offenses"
     )
@@ -82,16 +89,16 @@ def incident_offenses_multiple(t: Tables) -> DataFrame:
 
 
 def agency_offense_counts(t: Tables) -> DataFrame:
-    """Offense rows per agency, clearance code and offense code.
+    """Offense rows per agency and year, clearance code and offense code.
 
     A busy agency arrives at the agency join as a few rows per code instead of one row for
     each of its offenses.
     """
-    incidents = t["nibrs_incident"].select("incident_id", "agency_id", "cleared_except_id")
+    incidents = t["nibrs_incident"].select("incident_id", *AGENCY_KEY, "cleared_except_id")
     return (
         offense_groups(t)
         .join(incidents, "incident_id")
-        .groupBy("agency_id", "cleared_except_id", "offense_code")
+        .groupBy(*AGENCY_KEY, "cleared_except_id", "offense_code")
         .agg(F.sum("offenses").alias("offenses"))
     )
 
@@ -100,7 +107,7 @@ def offense_totals(t: Tables) -> DataFrame:
     """Offenses by type over all places, most frequent first."""
     return (
         agency_offense_counts(t)
-        .join(t["agencies"].select("agency_id"), "agency_id")
+        .join(agencies(t), AGENCY_KEY)
         .groupBy("offense_code")
         .agg(F.sum("offenses").alias("offenses"))
         .join(offense_names(t), "offense_code")
@@ -119,12 +126,12 @@ def offense_count_distribution(t: Tables) -> DataFrame:
         .agg(F.sum("offenses").alias("offensecount"))
     )
     by_agency = (
-        sizes.join(t["nibrs_incident"].select("incident_id", "agency_id"), "incident_id")
-        .groupBy("agency_id", "offensecount")
+        sizes.join(t["nibrs_incident"].select("incident_id", *AGENCY_KEY), "incident_id")
+        .groupBy(*AGENCY_KEY, "offensecount")
         .agg(F.count("*").alias("incidents"))
     )
     counts = (
-        by_agency.join(t["agencies"].select("agency_id"), "agency_id")
+        by_agency.join(agencies(t), AGENCY_KEY)
         .groupBy("offensecount")
         .agg(F.sum("incidents").alias("thecount"))
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicspan.operators.joins import absent_from
@@ -12,10 +12,29 @@ from civicspan.plans.clearance import (
     county_incident_arrests,
     matched_arrests,
 )
-from civicspan.plans.incidents import MATCH, offense_groups, offense_names
+from civicspan.plans.incidents import AGENCY_KEY, MATCH, agencies, offense_groups, offense_names
 from civicspan.sources.datasets import Tables
 
 
+def matched_incidents(t: Tables, clearance: Column | None = None) -> DataFrame:
+    """Ids of placed incidents in which an arrest names a known offense of the incident.
+
+    The incidents of ``matched_arrests``; semi joins carry only ids and end hashed by incident.
+    """
+    incidents = t["nibrs_incident"]
+    if clearance is not None:
+        incidents = incidents.filter(clearance)
+    placed = incidents.select("incident_id", *AGENCY_KEY).join(agencies(t), AGENCY_KEY, "left_semi")
+    return (
+        offense_groups(t)
+        .select(*MATCH)
+        .join(t["nibrs_arrestee"].select(*MATCH), MATCH, "left_semi")
+        .join(offense_names(t), "offense_code", "left_semi")
+        .join(placed, "incident_id", "left_semi")
+        .select("incident_id")
+    )
+
+
 def unmatched_arrests(t: Tables, broad: bool = False, **arrest_filters) -> DataFrame:
     """Arrests, counted per incident and code, in incidents without any matching arrest.
 
@@ -24,7 +43,7 @@ def unmatched_arrests(t: Tables, broad: bool = False, **arrest_filters) -> DataF
     too. Both judge whole incidents: an arrest that matches nothing is not listed when another
     arrest of its incident does.
     """
-    matched = county_incident_arrests(t) if broad else matched_arrests(t)
+    matched = matched_incidents(t, F.col("cleared_except_id") == NOT_EXCEPTIONAL if broad else None)
     return absent_from(arrest_groups(t, **arrest_filters), matched, "incident_id")
 
 
@@ -39,15 +58,16 @@ def unmatched_arrests_by_code(t: Tables, **arrest_filters) -> DataFrame:
 
 
 def unmatched_arrests_by_agency(t: Tables, broad: bool = True, **arrest_filters) -> DataFrame:
-    """Unmatched arrests per agency and offense code. Agencies that share a name stay apart."""
+    """Unmatched arrests per agency and offense code. Agencies that share a name stay apart, and so do
+    the names that one agency had in different years."""
     per_agency = (
         unmatched_arrests(t, broad, **arrest_filters)
-        .join(t["nibrs_incident"].select("incident_id", "agency_id"), "incident_id")
-        .groupBy("agency_id", "offense_code")
+        .join(t["nibrs_incident"].select("incident_id", *AGENCY_KEY), "incident_id")
+        .groupBy(*AGENCY_KEY, "offense_code")
         .agg(F.sum("arrests").alias("arrests"))
     )
     return (
-        per_agency.join(t["agencies"].select("agency_id", "pub_agency_name"), "agency_id")
+        per_agency.join(agencies(t, "pub_agency_name"), AGENCY_KEY)
         .join(offense_names(t), "offense_code")
         .groupBy("agency_id", "pub_agency_name", "offense_code")
         .agg(F.max("offense_name").alias("offense_name"), F.sum("arrests").alias("arrests"))

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from civicspan.plans.incidents import AGENCY_KEY, agencies
 from civicspan.sources.datasets import Tables
 
 
 def _months(t: Tables, state: str, year: int) -> DataFrame:
     """Reporting months of a state's agencies. A month id that repeats repeats its incidents."""
-    months = t["nibrs_month"].filter(F.col("data_year") == year).select("nibrs_month_id", "agency_id")
-    agencies = t["agencies"].filter(F.col("state_abbr") == state).select("agency_id")
-    return months.join(agencies, "agency_id").select("nibrs_month_id")
+    months = t["nibrs_month"].filter(F.col("data_year") == year).select("nibrs_month_id", *AGENCY_KEY)
+    in_state = agencies(t, "state_abbr").filter(F.col("state_abbr") == state)
+    return months.join(in_state, AGENCY_KEY).select("nibrs_month_id")
 
 
 def state_year_incidents(t: Tables, state: str, year: int) -> DataFrame:

@@ -88,7 +88,7 @@ def read_drop(spark: SparkSession, folder: str, encodings: dict[str, str] | None
     return Tables({name: reader(name) for name in REGISTRY})
 
 
-def write_table(rows: DataFrame, path: str, folders: tuple[str, ...] = ()) -> None:
+def write_table(rows: DataFrame, path: str, folders: tuple[str, ...] = (), encoding: str = "UTF-8") -> None:
     """Write in the form that ``read_table`` reads, telling NULL and empty text apart.
 
     ``folders`` names columns that become subfolders instead of file columns.
@@ -97,6 +97,7 @@ def write_table(rows: DataFrame, path: str, folders: tuple[str, ...] = ()) -> No
     placed.write.partitionBy(*folders).csv(
         path,
         header=True,
+        encoding=encoding,
         escape='"',
         nullValue="",
         emptyValue='""',
@@ -105,35 +106,49 @@ def write_table(rows: DataFrame, path: str, folders: tuple[str, ...] = ()) -> No
     )
 
 
-def header_drift(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """Columns whose header differs from the declaration, with the rows that carry a value.
+def _headers(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """The header of each file, as an array of names."""
+    # A separator that no header holds keeps the line whole.
+    lines = spark.read.schema("line string").csv(path, sep="\u0001", quote="", encoding=encoding, maxCharsPerColumn=-1)
+    at_start = lines.filter("_metadata.file_block_start = 0").select(
+        F.col("_metadata.file_path").alias("file"), "line", F.monotonically_increasing_id().alias("at")
+    )
+    first = at_start.groupBy("file").agg(F.min_by("line", "at").alias("line"))
+    names = F.transform(F.split("line", ","), lambda name: F.regexp_replace(name, r'^\s*"?|"?\s*$', ""))
+    return first.select("file", names.alias("header"))
+
+
+def header_drift(
+    spark: SparkSession, name: str, path: str, encoding: str = "UTF-8", multi_line: bool = False
+) -> DataFrame:
+    """Positions at which a file's header differs from the declaration, with the file's rows that carry a value there.
 
-    Loading ignores header names, so this is a report and no error.
+    Each file is compared by itself, over the longer of the two: a surplus column has no declared name,
+    a missing one no header name. Loading ignores header names, so this is a report and no error.
     """
-    table = REGISTRY[name]
-    found = spark.read.csv(path, header=True).columns
-    pairs = [
-        (i, declared, header)
-        for i, (declared, header) in enumerate(zip(table.columns, found), start=1)
-        if declared != header
-    ]
-    if not pairs:
-        return spark.createDataFrame(
-            [], "position int, declared_name string, header_name string, filled_rows bigint"
+    declared = REGISTRY[name].columns
+    headers = _headers(spark, path, encoding)
+    width = max(len(declared), headers.agg(F.max(F.size("header"))).first()[0] or 0)
+    columns = [f"c{i}" for i in range(width)]
+    options = {**csv_options(encoding, multi_line), "mode": "PERMISSIVE"}
+    rows = spark.read.schema(", ".join(f"{c} string" for c in columns)).csv(path, **options)
+    filled = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.array(*[F.count(c) for c in columns]).alias("filled")
+    )
+    index = F.col("position") - 1
+    names = F.array(*[F.lit(column) for column in declared])
+    return (
+        headers.join(filled, "file", "left")
+        .withColumn("position", F.explode(F.sequence(F.lit(1), F.lit(width))))
+        .select(
+            "file",
+            "position",
+            F.get(names, index).alias("declared_name"),
+            F.get("header", index).alias("header_name"),
+            F.coalesce(F.get("filled", index), F.lit(0)).cast("bigint").alias("filled_rows"),
         )
-    filled = read_table(spark, name, path).agg(*[F.count(declared).alias(declared) for _, declared, _ in pairs])
-    report = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("position"),
-                F.lit(declared).alias("declared_name"),
-                F.lit(header).alias("header_name"),
-                F.col(declared).alias("filled_rows"),
-            )
-            for i, declared, header in pairs
-        ]
+        .filter(~F.col("declared_name").eqNullSafe(F.col("header_name")))
     )
-    return filled.select(F.inline(report))
 
 
 def _laid_out(rows: DataFrame, by: tuple[str, ...], several_years: bool) -> DataFrameWriter:

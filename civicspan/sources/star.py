@@ -20,6 +20,8 @@ ACS_VARIABLES = ["DP03_0062E", "DP03_0063E", "DP03_0066E", "DP03_0067E"]
 ACS_GEOGRAPHY = ["state", "county", "tract"]
 BRAND_NUMBER = "int(substr(p_brand, 7))"
 CODE_NUMBER = "int(substr(offense_code, 7))"
+# The first and last year of the orders.
+ORDER_YEARS = (1995, 2001)
 
 
 class Star:
@@ -50,6 +52,7 @@ class Star:
     def agencies(self) -> DataFrame:
         return self._placed_customers().selectExpr(
             "c_custkey AS agency_id",
+            "explode(sequence({}, {})) AS data_year".format(*ORDER_YEARS),
             "c_name AS pub_agency_name",
             "c_mktsegment AS agency_type_name",
             "n_name AS county_name",
@@ -57,9 +60,9 @@ class Star:
             "c_nationkey * 1000 + 500 AS population",
             "concat('ORI', c_custkey) AS legacy_ori",
             "CASE WHEN c_custkey % 10 = 0 THEN concat('ORI', c_custkey + 1) END AS covered_by_legacy_ori",
-            "CAST(NULL AS string) AS submitting_agency_name",
-            "CAST(NULL AS string) AS population_group_desc",
-            "CAST(NULL AS string) AS parent_pop_group_desc",
+            "concat('Submitting ', n_name) AS submitting_agency_name",
+            "elt(int(c_custkey % 3) + 1, 'Cities', 'Counties', 'State') AS population_group_desc",
+            "if(c_custkey % 2 = 0, 'All agencies', NULL) AS parent_pop_group_desc",
         )
 
     def nibrs_incident(self) -> DataFrame:
@@ -72,7 +75,7 @@ class Star:
             f"{month_id} AS nibrs_month_id",
             f"{month_id} AS did",
             "CASE WHEN o_orderstatus = 'F' THEN int(substr(o_orderpriority, 1, 1)) ELSE 6 END AS cleared_except_id",
-            "CAST(NULL AS timestamp_ntz) AS submission_date",
+            "o_orderdate + INTERVAL 45 DAYS AS submission_date",
         )
 
     def nibrs_month(self) -> DataFrame:
@@ -143,24 +146,42 @@ class Star:
             "location_id", "concat('L', location_id) AS location_code", "concat('Location ', location_id) AS location_name"
         )
 
+    def _people(self, return_flag: str, number: str) -> DataFrame:
+        """Order lines of one kind with a ``person_id`` for each order and ``number``.
+
+        People are counted within their order, of which an incident's documented limit of 999 leaves room
+        for all, so ids stay apart however large the numbers are.
+        """
+        within = f"dense_rank() OVER (PARTITION BY l_orderkey ORDER BY {number})"
+        lines = self.raw("lineitem").filter(F.col("l_returnflag") == return_flag)
+        return lines.selectExpr("l_orderkey", "l_suppkey", "l_partkey", f"l_orderkey * 1000 + {within} AS person_id")
+
     def nibrs_victim(self) -> DataFrame:
         supplier, nation = self.raw("supplier"), self.raw("nation")
         origin = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey)
-        pairs = self.raw("lineitem").filter("l_returnflag = 'A'").select("l_orderkey", "l_suppkey").distinct()
+        pairs = self._people("A", "l_suppkey").select("person_id", "l_orderkey", "l_suppkey").distinct()
         return pairs.join(origin, pairs.l_suppkey == origin.s_suppkey).selectExpr(
-            "l_orderkey * 100000 + l_suppkey AS victim_id",
+            "person_id AS victim_id",
             "l_orderkey AS incident_id",
             "n_regionkey AS race_id",
             "s_nationkey AS ethnicity_id",
             "l_suppkey % 100 AS age_id",
-            "CAST(NULL AS smallint) AS age_num",
+            "CAST(l_suppkey % 100 AS smallint) AS age_num",
         )
 
     def nibrs_victim_offense(self) -> DataFrame:
-        lines = self._branded_lines().filter("l_returnflag = 'A'")
-        return lines.selectExpr(
-            "l_orderkey * 100000 + l_suppkey AS victim_id", f"l_orderkey * 100 + {BRAND_NUMBER} AS offense_id"
-        ).distinct()
+        lines, part = self._people("A", "l_suppkey"), self.raw("part")
+        return (
+            lines.join(part, lines.l_partkey == part.p_partkey)
+            .selectExpr("person_id AS victim_id", f"l_orderkey * 100 + {BRAND_NUMBER} AS offense_id")
+            .distinct()
+        )
+
+    def nibrs_offender(self) -> DataFrame:
+        people = self._people("N", "l_partkey").select("person_id", "l_orderkey", "l_partkey").distinct()
+        return people.selectExpr(
+            "person_id AS offender_id", "l_orderkey AS incident_id", "l_partkey % 5 AS race_id"
+        )
 
     def ref_race(self) -> DataFrame:
         return self.raw("region").selectExpr("r_regionkey AS race_id", "r_name AS race_code")
@@ -248,6 +269,7 @@ STAR_TABLES = [
     "nibrs_location_type",
     "nibrs_victim",
     "nibrs_victim_offense",
+    "nibrs_offender",
     "ref_race",
     "nibrs_ethnicity",
     "nibrs_age",

@@ -8,9 +8,6 @@ from __future__ import annotations
 
 import re
 
-from civicspan.operators.quality import DOMAINS, ROW_LIMITS
-from civicspan.sources.schema import REFERENCES, REGISTRY
-
 BRAND = "CAST(substr(p_brand, 7) AS INT)"
 CODE_NUM = "CAST(substr(offense_code, 7) AS INT)"
 MONTH_ID = "o_custkey * 1000 + (year(o_orderdate) - 1995) * 12 + month(o_orderdate)"
@@ -21,15 +18,17 @@ PARTS = {
           n_name AS county_name, r_name AS state_abbr, c_nationkey * 1000 + 500 AS population,
           'ORI' || c_custkey AS legacy_ori,
           CASE WHEN c_custkey % 10 = 0 THEN 'ORI' || (c_custkey + 1) END AS covered_by_legacy_ori,
-          CAST(NULL AS VARCHAR) AS submitting_agency_name,
-          CAST(NULL AS VARCHAR) AS population_group_desc,
-          CAST(NULL AS VARCHAR) AS parent_pop_group_desc
-        FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""",
+          'Submitting ' || n_name AS submitting_agency_name,
+          CASE c_custkey % 3 WHEN 0 THEN 'Cities' WHEN 1 THEN 'Counties' ELSE 'State' END AS population_group_desc,
+          CASE WHEN c_custkey % 2 = 0 THEN 'All agencies' END AS parent_pop_group_desc,
+          CAST(y.data_year AS INT) AS data_year
+        FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey,
+          (SELECT DISTINCT year(o_orderdate) AS data_year FROM orders) y""",
     "nibrs_incident": f"""
         SELECT o_orderkey AS incident_id, o_custkey AS agency_id, o_orderdate AS incident_date,
           CAST(year(o_orderdate) AS INT) AS data_year, {MONTH_ID} AS nibrs_month_id, {MONTH_ID} AS did,
           CASE WHEN o_orderstatus = 'F' THEN CAST(left(o_orderpriority, 1) AS INT) ELSE 6 END
-            AS cleared_except_id
+            AS cleared_except_id, o_orderdate + INTERVAL 45 DAY AS submission_date
         FROM orders""",
     "nibrs_month": f"""
         SELECT DISTINCT {MONTH_ID} AS nibrs_month_id, {MONTH_ID} AS did, o_custkey AS agency_id,
@@ -63,13 +62,21 @@ PARTS = {
           'Location ' || (l_orderkey % 7) AS location_name
         FROM lineitem""",
     "nibrs_victim": """
-        SELECT DISTINCT l_orderkey * 100000 + l_suppkey AS victim_id, l_orderkey AS incident_id,
-          n_regionkey AS race_id, s_nationkey AS ethnicity_id, l_suppkey % 100 AS age_id
-        FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey
-        WHERE l_returnflag = 'A'""",
+        SELECT l_orderkey * 1000 + nth AS victim_id, l_orderkey AS incident_id,
+          n_regionkey AS race_id, s_nationkey AS ethnicity_id, l_suppkey % 100 AS age_id,
+          CAST(l_suppkey % 100 AS SMALLINT) AS age_num
+        FROM order_suppliers JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey""",
+    "order_suppliers": """
+        SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) AS nth
+        FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A')""",
+    "nibrs_offender": """
+        SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS offender_id,
+          l_orderkey AS incident_id, l_partkey % 5 AS race_id
+        FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'N')""",
     "nibrs_victim_offense": f"""
-        SELECT DISTINCT l_orderkey * 100000 + l_suppkey AS victim_id, l_orderkey * 100 + {BRAND} AS offense_id
-        FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'A'""",
+        SELECT DISTINCT s.l_orderkey * 1000 + s.nth AS victim_id, s.l_orderkey * 100 + {BRAND} AS offense_id
+        FROM lineitem l JOIN order_suppliers s ON s.l_orderkey = l.l_orderkey AND s.l_suppkey = l.l_suppkey
+          JOIN part ON p_partkey = l.l_partkey WHERE l.l_returnflag = 'A'""",
     "ref_race": "SELECT r_regionkey AS race_id, r_name AS race_code FROM region",
     "nibrs_ethnicity": "SELECT n_nationkey AS ethnicity_id, n_name AS ethnicity_code FROM nation",
     "nibrs_age": "SELECT DISTINCT l_suppkey % 100 AS age_id, 'A' || (l_suppkey % 100) AS age_code FROM lineitem",
@@ -97,12 +104,15 @@ PARTS = {
     "placed": """
         SELECT i.incident_id, o.offense_id, i.incident_date, i.cleared_except_id, o.offense_code,
           n.offense_name, o.attempt_complete_flag, a.agency_id, a.pub_agency_name, a.agency_type_name,
-          a.county_name, a.population, a.state_abbr, i.data_year
+          a.county_name, a.population, a.state_abbr, i.data_year, i.submission_date, a.submitting_agency_name,
+          a.population_group_desc, a.parent_pop_group_desc
         FROM nibrs_offense o JOIN nibrs_offense_type n USING (offense_code)
-          JOIN nibrs_incident i USING (incident_id) JOIN agencies a USING (agency_id)""",
+          JOIN nibrs_incident i USING (incident_id)
+          JOIN agencies a ON a.agency_id = i.agency_id AND a.data_year = i.data_year""",
     "per_incident": """
-        SELECT incident_id, incident_date, cleared_except_id, pub_agency_name, agency_type_name,
-          county_name, population, count(*) AS offenses_count,
+        SELECT incident_id, incident_date, submission_date, cleared_except_id, pub_agency_name, agency_type_name,
+          submitting_agency_name, county_name, population_group_desc, parent_pop_group_desc, population,
+          count(*) AS offenses_count,
           string_agg(offense_name, ',,,,, ' ORDER BY offense_name) AS offenses
         FROM placed GROUP BY ALL""",
     "hits": """
@@ -110,8 +120,8 @@ PARTS = {
           p.cleared_except_id, count(*) AS count_arrests
         FROM nibrs_arrestee r JOIN placed p USING (incident_id, offense_code) GROUP BY ALL""",
     "month_incidents": """
-        SELECT i.* FROM nibrs_month m JOIN agencies a USING (agency_id)
-          JOIN nibrs_incident i USING (nibrs_month_id)
+        SELECT i.* FROM nibrs_month m JOIN agencies a ON a.agency_id = m.agency_id AND a.data_year = m.data_year
+          JOIN nibrs_incident i ON i.nibrs_month_id = m.nibrs_month_id
         WHERE m.data_year = 1996 AND a.state_abbr = 'ASIA'""",
 }
 
@@ -173,12 +183,18 @@ def by_agency(matched: str) -> str:
         SELECT agency_id, pub_agency_name, u.offense_code, max(offense_name) AS offense_name,
           count(*) AS arrests
         FROM {unmatched(matched)} u JOIN nibrs_incident USING (incident_id)
-          JOIN agencies USING (agency_id) JOIN nibrs_offense_type n ON n.offense_code = u.offense_code
+          JOIN agencies USING (agency_id, data_year) JOIN nibrs_offense_type n ON n.offense_code = u.offense_code
         GROUP BY ALL)"""
 
 
 LANDED = """
     SELECT CAST(year(o_orderdate) AS INT) AS data_year, o_custkey AS agency_id, o_orderkey AS incident_id,
+      o_custkey * 1000 + (year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS nibrs_month_id,
+      o_orderdate + INTERVAL 45 DAY AS submission_date,
+      CASE WHEN o_orderkey % 2 = 0 THEN 'R' END AS report_date_flag,
+      CAST(CASE WHEN o_orderstatus = 'F' THEN left(o_orderpriority, 1) ELSE '6' END AS SMALLINT) AS cleared_except_id,
+      CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 90 MINUTE END AS cleared_except_date,
+      'C' AS data_home, 'F' AS orig_format, o_orderkey * 10 AS did,
       CASE o_orderkey % 3 WHEN 0 THEN 'Y' WHEN 1 THEN '' END AS cargo_theft_flag,
       o_orderdate AS incident_date, CAST(o_orderkey % 24 AS SMALLINT) AS incident_hour,
       CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 2 THEN '  ' WHEN 3 THEN 'status "' || o_orderstatus || '", checked'
@@ -203,6 +219,21 @@ def demographic(codes: str, key: str, column: str) -> str:
             GROUP BY ALL)"""
 
 
+def offender_clearance() -> str:
+    """Offenders are tied to every offense of their incident."""
+    return f"""
+      SELECT offense_name, race_code, people, cleared,
+        CAST({rounded("cleared", "people")} AS DOUBLE) / 100 AS cleared_percent
+      FROM (SELECT n.offense_name, c.race_code, count(*) AS people,
+              count(*) FILTER (i.cleared_except_id <> 6 OR r.incident_id IS NOT NULL) AS cleared
+            FROM nibrs_offender v JOIN nibrs_offense o ON o.incident_id = v.incident_id
+              JOIN nibrs_incident i ON i.incident_id = o.incident_id
+              JOIN nibrs_offense_type n ON n.offense_code = o.offense_code JOIN ref_race c USING (race_id)
+              LEFT JOIN (SELECT DISTINCT incident_id, offense_code FROM nibrs_arrestee) r
+                ON r.incident_id = o.incident_id AND r.offense_code = o.offense_code
+            GROUP BY ALL)"""
+
+
 def violations(source: str, conditions: dict[str, str]) -> str:
     return " UNION ALL ".join(
         f"SELECT '{name}' AS column_name, count(*) AS violations FROM {source} WHERE {condition}"
@@ -221,71 +252,126 @@ KEPT["nibrs_victim_offense"] = f"""nibrs_victim_offense
     WHERE victim_id IN (SELECT victim_id FROM nibrs_victim WHERE incident_id NOT IN {GONE})
       AND offense_id IN (SELECT offense_id FROM nibrs_offense WHERE incident_id NOT IN {GONE})"""
 
-COLUMNS = {
-    "agencies": "agency_id pub_agency_name agency_type_name county_name state_abbr population legacy_ori "
-    "covered_by_legacy_ori submitting_agency_name population_group_desc parent_pop_group_desc",
-    "nibrs_incident": "incident_id agency_id incident_date data_year nibrs_month_id did cleared_except_id",
-    "nibrs_month": "nibrs_month_id did agency_id data_year month_num reported_status",
-    "nibrs_offense": "offense_id incident_id offense_code attempt_complete_flag location_id",
-    "nibrs_offense_type": "offense_code offense_name crime_against offense_category_name",
-    "nibrs_arrestee": "incident_id offense_code arrest_date multiple_indicator race_id",
-    "nibrs_cleared_except": "cleared_except_id cleared_except_code cleared_except_name",
-    "nibrs_location_type": "location_id location_code location_name",
-    "nibrs_victim": "victim_id incident_id race_id ethnicity_id age_id",
-    "nibrs_victim_offense": "victim_id offense_id",
-    "ref_race": "race_id race_code",
-    "nibrs_ethnicity": "ethnicity_id ethnicity_code",
-    "nibrs_age": "age_id age_code",
-}
+# The declared checks of the columns that the star tables have, as table, kind of check, columns
+# and limit, codes or parent. References bear the name of the parent's key.
+CHECKS = """
+agencies primary_key agency_id,data_year
+agencies not_null agency_id
+agencies not_null data_year
+agencies length pub_agency_name 100
+agencies length agency_type_name 100
+agencies length county_name 100
+agencies length state_abbr 2
+agencies length legacy_ori 25
+agencies length covered_by_legacy_ori 25
+agencies length submitting_agency_name 200
+agencies length population_group_desc 100
+agencies length parent_pop_group_desc 100
+nibrs_incident primary_key incident_id
+nibrs_incident not_null incident_id
+nibrs_incident not_null agency_id
+nibrs_incident not_null nibrs_month_id
+nibrs_incident not_null cleared_except_id
+nibrs_month primary_key did
+nibrs_month not_null nibrs_month_id
+nibrs_month not_null did
+nibrs_month not_null agency_id
+nibrs_month not_null month_num
+nibrs_month length reported_status 10
+nibrs_month domain reported_status I,Z,U
+nibrs_offense primary_key offense_id
+nibrs_offense not_null offense_id
+nibrs_offense not_null incident_id
+nibrs_offense not_null offense_code
+nibrs_offense not_null location_id
+nibrs_offense length offense_code 5
+nibrs_offense length attempt_complete_flag 1
+nibrs_offense domain attempt_complete_flag A,C
+nibrs_offense row_limit incident_id 10
+nibrs_offense_type primary_key offense_code
+nibrs_offense_type not_null offense_code
+nibrs_offense_type length offense_code 5
+nibrs_offense_type length offense_name 100
+nibrs_offense_type length crime_against 100
+nibrs_offense_type length offense_category_name 100
+nibrs_arrestee not_null incident_id
+nibrs_arrestee not_null offense_code
+nibrs_arrestee not_null race_id
+nibrs_arrestee length offense_code 5
+nibrs_arrestee length multiple_indicator 1
+nibrs_cleared_except primary_key cleared_except_id
+nibrs_cleared_except not_null cleared_except_id
+nibrs_cleared_except length cleared_except_code 1
+nibrs_cleared_except length cleared_except_name 100
+nibrs_location_type primary_key location_id
+nibrs_location_type not_null location_id
+nibrs_location_type length location_code 2
+nibrs_location_type length location_name 100
+nibrs_victim primary_key victim_id
+nibrs_victim not_null victim_id
+nibrs_victim not_null incident_id
+nibrs_victim row_limit incident_id 999
+nibrs_victim_offense primary_key victim_id,offense_id
+nibrs_victim_offense not_null victim_id
+nibrs_victim_offense not_null offense_id
+nibrs_offender primary_key offender_id
+nibrs_offender not_null offender_id
+nibrs_offender not_null incident_id
+nibrs_offender row_limit incident_id 99
+ref_race primary_key race_id
+ref_race not_null race_id
+ref_race not_null race_code
+ref_race length race_code 2
+nibrs_ethnicity primary_key ethnicity_id
+nibrs_ethnicity not_null ethnicity_id
+nibrs_ethnicity length ethnicity_code 1
+nibrs_age primary_key age_id
+nibrs_age not_null age_id
+nibrs_age length age_code 2
+nibrs_month foreign_key agency_id,data_year agencies
+nibrs_incident foreign_key agency_id,data_year agencies
+nibrs_incident foreign_key cleared_except_id nibrs_cleared_except
+nibrs_incident foreign_key did nibrs_month
+nibrs_offender foreign_key incident_id nibrs_incident
+nibrs_offender foreign_key race_id ref_race
+nibrs_offense foreign_key incident_id nibrs_incident
+nibrs_offense foreign_key offense_code nibrs_offense_type
+nibrs_offense foreign_key location_id nibrs_location_type
+nibrs_arrestee foreign_key incident_id nibrs_incident
+nibrs_arrestee foreign_key offense_code nibrs_offense_type
+nibrs_arrestee foreign_key race_id ref_race
+nibrs_victim foreign_key incident_id nibrs_incident
+nibrs_victim foreign_key age_id nibrs_age
+nibrs_victim foreign_key race_id ref_race
+nibrs_victim foreign_key ethnicity_id nibrs_ethnicity
+nibrs_victim_offense foreign_key victim_id nibrs_victim
+nibrs_victim_offense foreign_key offense_id nibrs_offense
+"""
 
 
 def report() -> str:
-    """Every declared check of the columns that the star tables have."""
-    lines = []
-
-    def line(table: str, check: str, detail: str, count: str) -> None:
-        lines.append(
-            f"SELECT '{table}' AS table_name, '{check}' AS check_name, '{detail}' AS detail, "
+    """One row for each of ``CHECKS``."""
+    parts = []
+    for check in CHECKS.strip().splitlines():
+        table, kind, columns, limit = (check.split() + [""])[:4]
+        listed = columns.replace(",", ", ")
+        grouped = f"SELECT 1 FROM {table} GROUP BY {listed} HAVING count(*)"
+        codes = ", ".join(f"'{code}'" for code in limit.split(","))
+        first = columns.split(",")[0]
+        count = {
+            "primary_key": f"SELECT count(*) FROM ({grouped} > 1)",
+            "not_null": f"SELECT count(*) FROM {table} WHERE {columns} IS NULL",
+            "length": f"SELECT count(*) FROM {table} WHERE length(rtrim({columns})) > {limit}",
+            "domain": f"SELECT count(*) FROM {table} WHERE {columns} NOT IN ({codes})",
+            "row_limit": f"SELECT count(*) FROM ({grouped} > {limit})",
+            "foreign_key": f"SELECT count(*) FROM {table} ANTI JOIN {limit} USING ({listed}) WHERE {first} IS NOT NULL",
+        }[kind]
+        detail = f"{columns}->{limit}" if kind == "foreign_key" else columns
+        parts.append(
+            f"SELECT '{table}' AS table_name, '{kind}' AS check_name, '{detail}' AS detail, "
             f"CAST(({count}) AS BIGINT) AS violations"
         )
-
-    for name, text in COLUMNS.items():
-        table, present = REGISTRY[name], text.split()
-        if set(table.key) <= set(present):
-            key = ", ".join(table.key)
-            line(
-                name,
-                "primary_key",
-                ",".join(table.key),
-                f"SELECT count(*) FROM (SELECT 1 FROM {name} GROUP BY {key} HAVING count(*) > 1)",
-            )
-        for column in present:
-            if column in table.required():
-                line(name, "not_null", column, f"SELECT count(*) FROM {name} WHERE {column} IS NULL")
-            if column in table.lengths():
-                limit = table.lengths()[column]
-                line(name, "length", column, f"SELECT count(*) FROM {name} WHERE length(rtrim({column})) > {limit}")
-            if column in DOMAINS:
-                codes = ", ".join(f"'{code}'" for code in DOMAINS[column])
-                line(name, "domain", column, f"SELECT count(*) FROM {name} WHERE {column} NOT IN ({codes})")
-        for limited, parent, limit in ROW_LIMITS:
-            if limited == name and parent in present:
-                line(
-                    name,
-                    "row_limit",
-                    parent,
-                    f"SELECT count(*) FROM (SELECT 1 FROM {name} GROUP BY {parent} HAVING count(*) > {limit})",
-                )
-    for ref in REFERENCES:
-        if ref.column in COLUMNS.get(ref.child, "").split() and ref.parent in COLUMNS:
-            line(
-                ref.child,
-                "foreign_key",
-                f"{ref.column}->{ref.parent}",
-                f"SELECT count(*) FROM {ref.child} c ANTI JOIN {ref.parent} p "
-                f"ON p.{ref.parent_column} = c.{ref.column} WHERE c.{ref.column} IS NOT NULL",
-            )
-    return " UNION ALL ".join(lines)
+    return " UNION ALL ".join(parts)
 
 
 MANIFEST = """
@@ -298,11 +384,16 @@ MANIFEST = """
 
 QUERIES = {
     "csv_roundtrip": LANDED,
+    "csv_encoding": f"SELECT * REPLACE ('Clôturé ' || (incident_id % 10) AS incident_status) FROM ({LANDED})",
     "header_drift": f"""
-        SELECT CAST(position AS INT) AS position, declared_name, header_name, filled_rows FROM (
-          SELECT 5 AS position, 'cargo_theft_flag' AS declared_name, 'cargo_flag' AS header_name,
-            count(cargo_theft_flag) AS filled_rows FROM ({LANDED})
-          UNION ALL SELECT 12, 'incident_status', 'status', count(incident_status) FROM ({LANDED}))""",
+        SELECT kind, CAST(position AS INT) AS position, declared_name, header_name, filled_rows FROM (
+          SELECT 'renamed' AS kind, 5 AS position, 'cargo_theft_flag' AS declared_name, 'cargo_flag' AS header_name,
+            count(cargo_theft_flag) FILTER ((incident_id // 4) % 4 = 1) AS filled_rows FROM ({LANDED})
+          UNION ALL SELECT 'renamed', 12, 'incident_status', 'status',
+            count(incident_status) FILTER ((incident_id // 4) % 4 = 1) FROM ({LANDED})
+          UNION ALL SELECT 'surplus', 16, NULL, 'note',
+            count(*) FILTER ((incident_id // 4) % 4 = 2 AND incident_id % 5 = 0) FROM ({LANDED})
+          UNION ALL SELECT 'short', 15, 'did', NULL, 0)""",
     "manifest_tags": f"""
         SELECT name, type, source, date_added, last_fetched, path, ttl, key_column, description,
           tag_key, tag_value
@@ -316,6 +407,7 @@ QUERIES = {
           ELSE INTERVAL 1 MONTH END AS DATE) AS next_fetch FROM ({MANIFEST}))
         WHERE next_fetch < DATE '2024-01-01'""",
     "acs_rows_parse": "SELECT * FROM acs_rows",
+    "acs_whole_documents": "SELECT * FROM acs_rows",
     "acs_county_rows": "SELECT * FROM acs_rows WHERE state = '3' AND county = '3'",
     "acs_tract_key": 'SELECT "Census Tract" AS NAME, TRACT FROM income',
     "acs_income": "SELECT * FROM income",
@@ -379,7 +471,8 @@ QUERIES = {
         FROM nibrs_victim v LEFT JOIN ref_race r USING (race_id) LEFT JOIN nibrs_ethnicity e USING (ethnicity_id)""",
     "incident_offenses": """
         SELECT incident_id, offense_id, incident_date, cleared_except_id, offense_code, offense_name,
-          attempt_complete_flag, agency_id, pub_agency_name, agency_type_name, county_name, population
+          attempt_complete_flag, agency_id, pub_agency_name, agency_type_name, county_name, population,
+          submission_date, submitting_agency_name, population_group_desc, parent_pop_group_desc
         FROM placed""",
     "incident_offenses_aggregated": "SELECT * FROM per_incident",
     "incident_offenses_single": "SELECT * FROM per_incident WHERE offenses_count = 1",
@@ -442,12 +535,12 @@ QUERIES = {
         FROM per_incident GROUP BY offenses_count""",
     "offense_totals": "SELECT offense_name, count(*) AS offensecount FROM placed GROUP BY ALL",
     "distinct_clearance_codes": "SELECT DISTINCT cleared_except_id FROM nibrs_incident ORDER BY 1 LIMIT 1",
-    "state_year_incidents": """SELECT incident_id, agency_id, incident_date, data_year, nibrs_month_id,
-        cleared_except_id FROM month_incidents""",
+    "state_year_incidents": """SELECT incident_id, agency_id, incident_date, data_year, nibrs_month_id, did,
+        cleared_except_id, submission_date FROM month_incidents""",
     "state_year_offense": """SELECT o.* FROM nibrs_offense o JOIN month_incidents USING (incident_id)
         WHERE offense_code = 'Brand#9'""",
     "victim_demographics": """
-        SELECT r.race_code, g.age_code, e.ethnicity_code
+        SELECT r.race_code, g.age_code, v.age_num, e.ethnicity_code
         FROM nibrs_victim v JOIN nibrs_victim_offense vo USING (victim_id)
           JOIN nibrs_offense o ON o.offense_id = vo.offense_id AND o.offense_code = 'Brand#9'
           JOIN month_incidents i ON i.incident_id = v.incident_id
@@ -462,10 +555,11 @@ QUERIES = {
           WHERE reported_status IN ('I', 'Z') GROUP BY ALL HAVING count(DISTINCT month_num) >= 3),
         covered AS (
           SELECT DISTINCT a.agency_id, d.data_year FROM agencies a
-          JOIN agencies c ON c.legacy_ori = a.covered_by_legacy_ori JOIN direct d ON d.agency_id = c.agency_id)
+          JOIN agencies c ON c.legacy_ori = a.covered_by_legacy_ori AND c.data_year = a.data_year
+          JOIN direct d ON d.agency_id = c.agency_id AND d.data_year = c.data_year)
         SELECT agency_id, data_year, coalesce(months, 0) AS months_reported,
           CASE WHEN c.agency_id IS NULL THEN 0 ELSE 1 END AS covered
-        FROM (SELECT * FROM direct WHERE agency_id IN (SELECT agency_id FROM agencies)) d
+        FROM (SELECT * FROM direct SEMI JOIN agencies USING (agency_id, data_year)) d
           FULL JOIN covered c USING (agency_id, data_year)""",
     "cleared_without_arrest": """
         SELECT incident_id, offense_id, county_name, offense_name FROM placed p
@@ -486,12 +580,19 @@ QUERIES = {
               FROM nibrs_arrestee JOIN nibrs_offense_type USING (offense_code) JOIN ref_race USING (race_id)
               GROUP BY offense_name, race_code)""",
     "clearance_by_demographic": demographic("ref_race", "race_id", "race_code"),
+    "clearance_by_offender": offender_clearance(),
+    "sql_views": f"""
+        SELECT o.county_name, o.offense_name, o.offense_count, c.clearances_normal, c.clearances_exceptional_total
+        FROM (SELECT offense_name, county_name, count(*) AS offense_count FROM placed GROUP BY ALL) o
+          JOIN {clearances('county_name, offense_name')} c USING (county_name, offense_name)
+        WHERE offense_name ILIKE '%brand#1%'""",
     "clearance_by_ethnicity": demographic("nibrs_ethnicity", "ethnicity_id", "ethnicity_code"),
     "incidents_per_capita": """
-        SELECT county_name, CAST(sum(coalesce(n, 0)) AS BIGINT) AS incidents, CAST(sum(population) AS BIGINT) AS population,
+        SELECT county_name, data_year, CAST(sum(coalesce(n, 0)) AS BIGINT) AS incidents, CAST(sum(population) AS BIGINT) AS population,
           CAST(sum(coalesce(n, 0)) AS DOUBLE) * 1000 / CAST(sum(population) AS DOUBLE) AS incidents_per_capita
-        FROM agencies LEFT JOIN (SELECT agency_id, count(*) AS n FROM nibrs_incident GROUP BY ALL) USING (agency_id)
-        GROUP BY county_name""",
+        FROM agencies
+          LEFT JOIN (SELECT agency_id, data_year, count(*) AS n FROM nibrs_incident GROUP BY ALL) USING (agency_id, data_year)
+        GROUP BY county_name, data_year""",
     "arrest_top_offense": f"""
         SELECT top_code, count(*) AS arrests, count(*) FILTER (offense_code = top_code) AS arrests_for_top
         FROM nibrs_arrestee JOIN (

@@ -74,11 +74,15 @@ def declared(spark: SparkSession, name: str, columns: list[str], rows: list[tupl
     )
 
 
+def in_2021(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("data_year", F.lit(2021))
+
+
 def clearance_tables(spark: SparkSession, agencies, types, incidents, offenses, arrests, cleared=CLEARED) -> Tables:
     return Tables(
         {
-            "agencies": declared(
-                spark, "agencies", ["agency_id", "pub_agency_name", "agency_type_name", "county_name"], agencies
+            "agencies": in_2021(
+                declared(spark, "agencies", ["agency_id", "pub_agency_name", "agency_type_name", "county_name"], agencies)
             ),
             "nibrs_offense_type": declared(
                 spark, "nibrs_offense_type", ["offense_code", "offense_name", "crime_against"], types
@@ -86,8 +90,8 @@ def clearance_tables(spark: SparkSession, agencies, types, incidents, offenses,
             "nibrs_cleared_except": declared(
                 spark, "nibrs_cleared_except", ["cleared_except_id", "cleared_except_code"], cleared
             ),
-            "nibrs_incident": declared(
-                spark, "nibrs_incident", ["incident_id", "agency_id", "cleared_except_id"], incidents
+            "nibrs_incident": in_2021(
+                declared(spark, "nibrs_incident", ["incident_id", "agency_id", "cleared_except_id"], incidents)
             ),
             "nibrs_offense": declared(spark, "nibrs_offense", ["offense_id", "incident_id", "offense_code"], offenses),
             "nibrs_arrestee": declared(

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime
 
-from civicspan.plans import clearance, community, samples, views
+from pyspark.sql import functions as F
+
+from civicspan.plans import clearance, community, incidents, reconcile, samples, views
 from civicspan.sources.datasets import Tables
-from micro import CLEARED, OFFENSES, declared
+from micro import CLEARED, OFFENSES, declared, in_2021
 
 
 def test_views_answer_sql(spark, micro):
@@ -71,6 +73,23 @@ def test_rates_by_year_follow_the_agency_of_that_year(spark):
     assert sorted(tuple(r) for r in found) == [("A", 2020, 2, 1, 0), ("B", 2021, 4, 3, 2)]
 
 
+def test_several_years_count_each_offense_once(spark):
+    t = yearly_tables(spark)
+    assert incidents.incident_offenses(t).count() == 6
+    assert incidents.incident_offenses_aggregated(t).count() == 6
+    rates = clearance.county_clearance_rates(t).collect()
+    assert sorted((r.county_name, r.offense_count, r.clearances_normal, r.arrests) for r in rates) == [
+        ("A", 2, 0, 0),
+        ("B", 4, 1, 2),
+    ]
+    by_view = clearance.county_clearances_by_view(t).collect()
+    assert sorted((r.county_name, r.offense_count, r.arrests) for r in by_view) == [("A", 2, 0), ("B", 4, 2)]
+    per_year = sorted((r.county_name, r.data_year, r.incidents) for r in community.incidents_per_capita(t).collect())
+    assert per_year == [("A", 2020, 2), ("B", 2021, 4)]
+    assert clearance.county_incident_arrests(t).count() == 1
+    assert [tuple(r) for r in reconcile.matched_incidents(t).collect()] == [(3,)]
+
+
 def test_one_year_of_all_tables(spark):
     year = yearly_tables(spark).one_year(2021)
     rates = clearance.state_county_clearance_rates(year).collect()
@@ -82,7 +101,7 @@ def test_one_year_of_all_tables(spark):
 
 def test_trend_compares_with_the_year_before(spark):
     t = yearly_tables(spark)
-    stay = t["agencies"].drop("data_year").filter("county_name = 'B'").dropDuplicates(["agency_id"])
+    stay = t["agencies"].withColumn("county_name", F.lit("B"))
     trend = clearance.clearance_trend(t.replace(agencies=stay)).orderBy("data_year").collect()
     assert [(r.data_year, float(r.clearance_ratio_total_percent)) for r in trend] == [(2020, 50.0), (2021, 75.0)]
     assert [r.percent_change and float(r.percent_change) for r in trend] == [None, 25.0]
@@ -92,7 +111,9 @@ def test_incidents_per_capita(spark):
     kept = yearly_tables(spark).keep("nibrs_incident")
     assert kept["nibrs_incident"].storageLevel.useMemory
     rates = community.incidents_per_capita(yearly_tables(spark).one_year(2021), per=100).collect()
-    assert [(r.county_name, r.incidents, r.population, r.incidents_per_capita) for r in rates] == [("B", 4, 200, 2.0)]
+    assert [(r.county_name, r.data_year, r.incidents, r.population, r.incidents_per_capita) for r in rates] == [
+        ("B", 2021, 4, 200, 2.0)
+    ]
 
 
 def test_taxonomy_sums_offenses_of_a_category(spark, micro):
@@ -111,11 +132,13 @@ def test_taxonomy_sums_offenses_of_a_category(spark, micro):
 def test_participation_counts_zero_reports_and_covering_agencies(spark):
     t = Tables(
         {
-            "agencies": declared(
-                spark,
-                "agencies",
-                ["agency_id", "legacy_ori", "covered_by_legacy_ori"],
-                [(1, "ORI1", None), (2, "ORI2", "ORI1"), (3, "ORI3", "ORI2")],
+            "agencies": in_2021(
+                declared(
+                    spark,
+                    "agencies",
+                    ["agency_id", "legacy_ori", "covered_by_legacy_ori"],
+                    [(1, "ORI1", None), (2, "ORI2", "ORI1"), (3, "ORI3", "ORI2")],
+                )
             ),
             "nibrs_month": declared(
                 spark,
@@ -186,8 +209,5 @@ def test_month_ids_that_repeat_repeat_their_incidents(spark):
     incidents = declared(
         spark, "nibrs_incident", ["incident_id", "nibrs_month_id"], [(1, 7), (2, 8), (3, 9), (4, 10)]
     )
-    agencies = t["agencies"].filter("data_year = 2021")
-    found = samples.state_year_incidents(
-        t.replace(nibrs_month=months, nibrs_incident=incidents, agencies=agencies), "MD", 2021
-    )
+    found = samples.state_year_incidents(t.replace(nibrs_month=months, nibrs_incident=incidents), "MD", 2021)
     assert [r.incident_id for r in found.collect()] == [1, 1]

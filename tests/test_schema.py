@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import declared
 from civicspan.sources.schema import REFERENCES, REGISTRY
 
 
@@ -39,3 +40,20 @@ def test_keys_are_columns():
 def test_comments_are_kept():
     for name in ("nibrs_month", "nibrs_incident"):
         assert "flat file" in REGISTRY[name].schema["orig_format"].metadata["comment"]
+
+
+def test_every_column_type_length_key_and_reference():
+    lines = []
+    for table in REGISTRY.values():
+        for field in table.schema:
+            length = field.metadata.get("max_len")
+            text = "char" if field.metadata.get("padded") else "varchar"
+            line = f"{table.name}.{field.name} {f'{text}({length})' if length else field.dataType.simpleString()}"
+            line += " not null" if field.metadata.get("required") else ""
+            line += f" key {table.key.index(field.name) + 1}" if field.name in table.key else ""
+            lines.append(line)
+    assert lines == declared.COLUMNS.strip().splitlines()
+    references = [
+        f"{r.child}.{r.column} {r.parent}.{r.parent_column}{' cascade' if r.cascade else ''}" for r in REFERENCES
+    ]
+    assert references == declared.REFERENCES.strip().splitlines()

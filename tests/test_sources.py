@@ -57,7 +57,7 @@ def test_columns_bind_by_position_and_drift_is_reported(spark, tmp_path):
         (1, "A", 3, "Argument"),
         (2, "A", None, None),
     ]
-    drift = delimited.header_drift(spark, "nibrs_circumstances", path)
+    drift = delimited.header_drift(spark, "nibrs_circumstances", path).drop("file")
     assert [tuple(r) for r in drift.orderBy("position").collect()] == [
         (1, "circumstances_id", "id", 2),
         (2, "circumstances_type", "kind", 2),
@@ -67,6 +67,27 @@ def test_columns_bind_by_position_and_drift_is_reported(spark, tmp_path):
     assert delimited.header_drift(spark, "nibrs_offense_type", write(tmp_path / "y.csv", OFFENSE_TYPES)).count() == 0
 
 
+def test_drift_is_judged_file_by_file(spark, tmp_path):
+    columns = REGISTRY["nibrs_circumstances"].columns
+    (tmp_path / "in").mkdir()
+    for name, header, row in [
+        ("clean", columns, "1,A,3,x"),
+        ("renamed", [*columns[:3], "Étiquette"], '2,A,4,"é, y"'),
+        ("surplus", [*columns, '"note"'], "3,A,5,z,kept"),
+        ("short", columns[:3], "4,A,6"),
+        ("empty", columns, None),
+    ]:
+        text = "\n".join([",".join(header), *([row] if row else [])]) + "\n"
+        (tmp_path / "in" / f"{name}.csv").write_bytes(text.encode("ISO-8859-1"))
+    drift = delimited.header_drift(spark, "nibrs_circumstances", str(tmp_path / "in"), encoding="ISO-8859-1")
+    found = sorted((r.file.rsplit("/", 1)[1], *r[1:]) for r in drift.collect())
+    assert found == [
+        ("renamed.csv", 4, "circumstances_name", "Étiquette", 1),
+        ("short.csv", 4, "circumstances_name", None, 0),
+        ("surplus.csv", 5, None, "note", 1),
+    ]
+
+
 def test_coded_ages_become_numbers_only_for_victims(spark, tmp_path):
     lines = [VICTIM_HEADER, *(victim_line(i, age) for i, age in enumerate(["NS", "NN", "NB", "BB", "34", ""]))]
     path = write(tmp_path / "v.csv", "\n".join(lines) + "\n")
