@@ -62,7 +62,7 @@ class Star:
             "CASE WHEN c_custkey % 10 = 0 THEN concat('ORI', c_custkey + 1) END AS covered_by_legacy_ori",
             "concat('Submitting ', n_name) AS submitting_agency_name",
             "elt(int(c_custkey % 3) + 1, 'Cities', 'Counties', 'State') AS population_group_desc",
-            "if(c_custkey % 2 = 0, 'All agencies', NULL) AS parent_pop_group_desc",
+            "if(c_custkey % 2 = 0, 'All places', NULL) AS parent_pop_group_desc",
         )
 
     def nibrs_incident(self) -> DataFrame:

@@ -20,7 +20,7 @@ PARTS = {
           CASE WHEN c_custkey % 10 = 0 THEN 'ORI' || (c_custkey + 1) END AS covered_by_legacy_ori,
           'Submitting ' || n_name AS submitting_agency_name,
           CASE c_custkey % 3 WHEN 0 THEN 'Cities' WHEN 1 THEN 'Counties' ELSE 'State' END AS population_group_desc,
-          CASE WHEN c_custkey % 2 = 0 THEN 'All agencies' END AS parent_pop_group_desc,
+          CASE WHEN c_custkey % 2 = 0 THEN 'All places' END AS parent_pop_group_desc,
           CAST(y.data_year AS INT) AS data_year
         FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey,
           (SELECT DISTINCT year(o_orderdate) AS data_year FROM orders) y""",
