@@ -303,6 +303,24 @@ def test_large_groups_of_copies_and_chains(spark):
     assert sorted(r["doc_id"] for r in order_minhash.keep_one(docs).collect()) == [0, *range(1000, 1020)]
 
 
+def edited(some, words, edits):
+    """The words with so many of them, scattered, substituted."""
+    made = list(words)
+    for at in some.sample(range(len(made)), edits):
+        made[at] = f"e{some.randrange(10**9)}"
+    return made
+
+
+def test_links_behind_the_hubs_of_a_shared_passage(spark):
+    some = random.Random(11)
+    passage = [f"p{i}" for i in range(150)]
+    texts = [passage + [f"w{some.randrange(5000)}" for _ in range(50)] for _ in range(160)]
+    copies = [passage + edited(some, t[150:], 25) for t in texts[:40]]
+    rows = [(i, " ".join(t)) for i, t in enumerate([*texts, *copies])]
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - 160 if i >= 160 else i for i in got} and len(got) == 200
+
+
 def test_near_duplicates_of_messy_rows(messy, nothing):
     got = collections.Counter((r["doc_id"], r["class_id"]) for r in order_minhash.near_duplicates(messy).collect())
     assert got[(1, 1)] == 1 and got[(2, 1)] == 2
