@@ -321,6 +321,17 @@ def test_links_behind_the_hubs_of_a_shared_passage(spark):
     assert got == {i: i - 160 if i >= 160 else i for i in got} and len(got) == 200
 
 
+@pytest.mark.parametrize(("n", "edits"), [(200, 20), (200, 30), (200, 40), (20, 3), (20, 4), (10, 1), (10, 2), (5, 1)])
+def test_linked_pairs_meet(n, edits):
+    some = random.Random(n + edits)
+    met = 0
+    for _ in range(300):
+        words = [f"w{some.randrange(10**9)}" for _ in range(n)]
+        one, two = (set(order_minhash.keys_of(order_minhash.word_hashes(" ".join(x).encode())).tolist()) for x in (words, edited(some, words, edits)))
+        met += bool(one & two)
+    assert met >= 0.98 * 300
+
+
 def test_near_duplicates_of_messy_rows(messy, nothing):
     got = collections.Counter((r["doc_id"], r["class_id"]) for r in order_minhash.near_duplicates(messy).collect())
     assert got[(1, 1)] == 1 and got[(2, 1)] == 2
