@@ -23,17 +23,22 @@ from civicspan.llm.common import let, text_key, written
 MALE_TITLES = "Mr|Herr|Monsieur|Señor|Sr|Господин|г-н|Κύριος"
 FEMALE_TITLES = "Mrs|Miss|Ms|Frau|Madame|Mme|Señora|Sra|Госпожа|г-жа|Κυρία"
 NAME = "\\p{Lu}[\\p{L}'’-]+"
+SECRET_NAME = r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]"
+GROUPS = "(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?"
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 #: Patterns in the order in which they are tried at a place of the text.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
-    "secret": r"(?<![\p{L}\p{N}])(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
+    "secret": rf"(?<![\p{{L}}\p{{N}}]){SECRET_NAME}\s{{0,3}}[\"']?"
     r"[A-Za-z0-9+/_=-]{8,}+"
     r"|(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}"
     r"|(?=[0-9a-f]{0,40}[0-9])[0-9a-f]{32,})(?![\p{L}\p{N}])",
     "ipv4": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
-    "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"
+    # Shortened: a digit or four letters in a row, and seven groups at most.
+    r"|(?<![\p{L}\p{N}:.])(?=[0-9A-Fa-f:]*(?:[0-9]|[A-Fa-f]{4}))(?=(?::{0,2}[0-9A-Fa-f]{1,4}){1,7}(?:::)?(?![0-9A-Fa-f:]*[0-9A-Fa-f]))"
+    rf"{GROUPS}::{GROUPS}(?![\p{{L}}\p{{N}}]|:[0-9A-Fa-f:]|\.[0-9])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "phone": r"(?<![\p{L}\p{N}+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"
     r"|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}(?![0-9])",
@@ -42,7 +47,7 @@ PATTERNS = {
     "person": rf"(?<!\p{{L}})(?:{MALE_TITLES}|{FEMALE_TITLES})\.? {NAME}(?: {NAME}){{0,2}}",
 }
 #: A text in which this isn't found has no entity.
-HINT = rf"[0-9@]|(?:{MALE_TITLES}|{FEMALE_TITLES})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|::|(?:[A-Fa-f]{{1,4}}:){{7}}|{SECRET_NAME}|AKIA[A-Z]{{16}}|gh[pousr]_[A-Za-z]{{20}}|sk-[A-Za-z]{{20}}|(?:{MALE_TITLES}|{FEMALE_TITLES})\.? \p{{Lu}}"
 
 #: What of an entity is replaced; the rest is kept.
 ATOMS = {
@@ -158,12 +163,14 @@ def _surrogate(key: str) -> Column:
             letter = F.when(script == s, F.when(name, syllable).otherwise(anything)).otherwise(letter)
         return (
             F.when(hexadecimal, _nth("0123456789abcdef", number))
+            .when((kind == "ipv6") & c.rlike("[a-f]"), _nth("abcdef", number))
             .when(c.rlike("[0-9]"), _nth("0123456789", number))
             .when(c.rlike("\\p{L}"), letter)
             .otherwise(c)
         )
 
     source = F.when(name | (kind == "local") | (kind == "domain"), F.concat(norm, longer)).otherwise(norm)
+    source = F.when((kind == "ipv6") & (attempt >= DRAWS_A_LENGTH), F.regexp_replace(norm, "[0-9a-f]+", "a000")).otherwise(source)
     plain = F.array_join(F.transform(F.split(source, ""), drawn), "")
     digits = F.regexp_replace(plain, "[^0-9]", "")
 
