@@ -6,7 +6,8 @@ atom of the corpus gets one surrogate, drawn from a SHA-256 stream under the cal
 same person or number has the same surrogate in every document. Surrogates keep length, letter
 case, script, separators and what the type requires (octet ranges, Luhn's sum, IBAN check digits,
 gendered name endings). Atoms whose surrogates collide, with each other or with any atom that
-really occurs, draw again until all are distinct.
+really occurs, draw again until all are distinct. Cards, phone numbers and IBANs are the same with and
+without separators.
 
 Defined cases: a null text stays null and has no entities; texts without entities are returned as
 they are; equal texts get equal results; an empty table gives an empty result; other columns are
@@ -31,7 +32,7 @@ OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "secret": rf"(?<![\p{{L}}\p{{N}}]){SECRET_NAME}\s{{0,3}}[\"']?"
-    r"[A-Za-z0-9+/_=-]{8,}+"
+    r"(?=[+/_=-]*[A-Za-z0-9])[A-Za-z0-9+/_=-]{8,}+"
     r"|(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}"
     r"|(?=[0-9a-f]{0,40}[0-9])[0-9a-f]{32,})(?![\p{L}\p{N}])",
     "ipv4": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
@@ -49,11 +50,16 @@ PATTERNS = {
 #: A text in which this isn't found has no entity.
 HINT = rf"[0-9@]|::|(?:[A-Fa-f]{{1,4}}:){{7}}|{SECRET_NAME}|AKIA[A-Z]{{16}}|gh[pousr]_[A-Za-z]{{20}}|sk-[A-Za-z]{{20}}|(?:{MALE_TITLES}|{FEMALE_TITLES})\.? \p{{Lu}}"
 
+#: Country codes, which end by themselves where a number is written without separators.
+CODE = "(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+#: Kinds of which letters and digits alone say what they are: separators differ from text to text.
+BARE = ("card", "phone", "iban")
+
 #: What of an entity is replaced; the rest is kept.
 ATOMS = {
     "email": r"^[^@]+|(?<=@).+(?=\.[^.]+$)",
     "secret": r"(?<=[=:]\s{0,3}[\"']{0,1})[A-Za-z0-9+/_=-]{8,}$|^[A-Za-z0-9_-]+$",
-    "phone": r"(?<=^\+[0-9]{1,3}(?![0-9]))[^0-9]+.*|^(?!\+).*|(?<=^\+[0-9]{1})[0-9]{5,}.*",
+    "phone": r"(?<=^\+[0-9]{1,3}(?![0-9]))[^0-9]+.*|^(?!\+).*|(?<=^\+" + CODE + ")[0-9]{5,}.*",
     "person": rf"(?<= ){NAME}",
 }
 VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу", "greek": "αειου"}
@@ -66,7 +72,7 @@ GENDERED = {
     ("given_f", "cyrillic"): "а",
     ("given_f", "greek"): "α",
 }
-#: Draws after which a surrogate may be one character longer, so that small name spaces can't run out.
+#: Draws after which a surrogate may be one character longer, or an octet of any width, so that small spaces can't run out.
 DRAWS_A_LENGTH = 8
 
 
@@ -169,7 +175,7 @@ def _surrogate(key: str) -> Column:
             .otherwise(c)
         )
 
-    source = F.when(name | (kind == "local") | (kind == "domain"), F.concat(norm, longer)).otherwise(norm)
+    source = F.when(name | kind.isin("local", "domain", "secret"), F.concat(norm, longer)).otherwise(norm)
     source = F.when((kind == "ipv6") & (attempt >= DRAWS_A_LENGTH), F.regexp_replace(norm, "[0-9a-f]+", "a000")).otherwise(source)
     plain = F.array_join(F.transform(F.split(source, ""), drawn), "")
     digits = F.regexp_replace(plain, "[^0-9]", "")
@@ -183,7 +189,7 @@ def _surrogate(key: str) -> Column:
         stream = F.sha2(F.concat_ws("\u0000", F.lit(key), norm, attempt.cast("string"), F.lit("octet"), at), 256)
         number = F.conv(F.substring(stream, 1, 12), 16, 10).cast("long")
         size = F.length(old)
-        return F.when(size == 3, 100 + number % 156).when(size == 2, 10 + number % 90).otherwise(1 + number % 9)
+        return F.when(attempt >= DRAWS_A_LENGTH, 1 + number % 254).when(size == 3, 100 + number % 156).when(size == 2, 10 + number % 90).otherwise(1 + number % 9)
 
     def carded(fresh: Column) -> Column:
         """The first digit of the old number, drawn ones, and the digit that makes Luhn's sum right."""
@@ -271,14 +277,15 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     occurring = (
         split.select("_key", "at", "entity", "type", F.size("values").alias("parts"), F.posexplode_outer("values").alias("part", "value"))
         .withColumn("kind", F.when(F.col("value").isNotNull(), _atom_kind()))
-        .withColumn("norm", F.lower("value"))
+        .withColumn("norm", F.when(F.col("kind").isin(*BARE), F.regexp_replace(F.lower("value"), "[^\\p{L}0-9]", "")).otherwise(F.lower("value")))
     )
     occurring = written(occurring, "atoms")
     distinct = occurring.where(F.col("norm").isNotNull()).select("kind", "norm").distinct()
     surrogates = assign_surrogates(distinct, key)
 
     known = occurring.join(surrogates, ["kind", "norm"], "left")
-    piece = F.struct("part", _cased(F.col("value"), F.col("surrogate")).alias("new"))
+    fresh = F.when(F.col("kind").isin(*BARE), _onto(F.col("value"), F.col("surrogate"))).otherwise(F.col("surrogate"))
+    piece = F.struct("part", _cased(F.col("value"), fresh).alias("new"))
     whole = known.groupBy("_key", "at", "entity", "type").agg(
         F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), piece))).alias("news")
     )

@@ -225,6 +225,25 @@ def test_entities_of_letters_only_and_short_ipv6(spark):
     assert pii.replace_entities(clean, "key").first()["n_entities"] == 0
 
 
+def test_numbers_are_the_same_however_written(spark):
+    texts = ["4465758382889437", "4465 7583 8288 9437", "+44 20 7946 0958", "+442079460958", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"]
+    rows = spark.createDataFrame([(i, f"Use {t} now") for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.replace_entities(rows, "key").collect()}
+    for i in (0, 2, 4):
+        assert re.sub(r"[^A-Z0-9]", "", got[i]) == re.sub(r"[^A-Z0-9]", "", got[i + 1])
+        assert got[i] != f"Use {texts[i]} now" and re.sub(r"\w", "x", got[i + 1]) == re.sub(r"\w", "x", f"Use {texts[i + 1]} now")
+
+
+def test_atoms_that_cannot_change_end(spark):
+    lines = ["Password: ________", "Token: ==========", "Password: a_______"]
+    quads = [f"{a}.{b}.{c}.{d}" for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 10)]
+    rows = spark.createDataFrame([(0, "\n".join(lines)), (1, " ".join(quads))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.replace_entities(rows, "key").collect()}
+    assert got[0]["n_entities"] == 1 and got[0]["text"].splitlines()[:2] == lines[:2]
+    fresh = got[1]["text"].split(" ")
+    assert len(fresh) == len(set(fresh)) == len(quads) and not set(fresh) & set(quads)
+
+
 def test_surrogates_depend_on_the_key(spark):
     docs = spark.createDataFrame([(1, "mail jane@example.com")], "doc_id long, text string")
     one, again, other = (pii.replace_entities(docs, k).first()["text"] for k in ("a", "a", "b"))
