@@ -66,6 +66,13 @@ def repeated_words(of: Column, width: int = 5) -> Column:
     )
 
 
+def distinct_in_pieces(of: Column, width: int = 1000) -> Column:
+    """Distinct words of each ``width`` words, added up: their share does not fall with the length of the text."""
+    pieces = F.sequence(F.lit(0), F.floor((F.greatest(F.size(of), F.lit(1)) - 1) / width).cast("int"))
+    each = F.transform(pieces, lambda piece: F.size(F.array_distinct(F.slice(of, piece * width + 1, F.lit(width)))))
+    return F.aggregate(each, F.lit(0), lambda total, n: total + n)
+
+
 def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(SPACE_CHARACTERS)) != "")
 
@@ -75,7 +82,7 @@ WORD_SIGNALS: dict[str, Callable[[Column], Column]] = {
     "n_words": F.size,
     "word_chars": lambda of: F.char_length(F.array_join(of, "")),
     "n_repeat_words": repeated_words,
-    "n_distinct_words": lambda of: F.size(F.array_distinct(of)),
+    "n_distinct_words": lambda of: distinct_in_pieces(of),
 }
 #: From the text itself.
 TEXT_SIGNALS: dict[str, Callable[[Column], Column]] = {

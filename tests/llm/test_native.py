@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -69,6 +70,20 @@ def test_good_documents_stay_and_junk_goes(spark, sf_dir):
     assert counts.get((0, True), 0) <= 0.1 * max(1, counts.get((0, False), 0))
 
 
+def test_a_clean_book_stays_and_a_long_word_salad_goes(spark):
+    some = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    weights = [1 / (i + 3) for i in range(20_000)]
+    book = some.choices(vocabulary, weights, k=300_000)
+    salad = some.choices(vocabulary[:60], k=300_000)
+    assert len(set(book)) < 0.15 * len(book)
+    rows = spark.createDataFrame([(0, " ".join(book)), (1, " ".join(salad))], "doc_id long, text string")
+    variety = [r for r in quality_cascade.RULES if r.name == "variety"]
+    got = {r["doc_id"]: r["rejected_by"] for r in quality_cascade.apply_cascade(rows, variety).collect()}
+    assert got == {0: None, 1: "variety"}
+    assert [r["doc_id"] for r in quality_cascade.keep_good(rows).collect()] == [0]
+
+
 def test_the_order_of_rules_changes_no_verdict(messy):
     forward = quality_cascade.apply_cascade(messy, list(quality_cascade.RULES)).select("doc_id", F.isnull("rejected_by"))
     backward = quality_cascade.apply_cascade(messy, list(quality_cascade.RULES[::-1])).select("doc_id", F.isnull("rejected_by"))
