@@ -5,7 +5,7 @@ a codebook, which starts from the vectors with the smallest ids and is improved
 entry, and each entry moves to the mean of its parts, rounded down. Tasks only add up counts and sums for each entry.
 
 The nearest entry is found with a geometric near-neighbour access tree over the codebook. A node picks
-split points far from each other, deals the other entries to the nearest one, and keeps for each split point and each child the range
+split points far from each other out of some that are offered, deals the other entries to the nearest one, and keeps for each split point and each child the range
 of distances between the point and the child's entries. A query is measured against the split points. Where
 its distance to one of them, less or plus the best distance so far, lies strictly outside a child's range, the whole child
 is left out. Distances are square roots of integers: ranges are rounded outwards and query distances to the side that
@@ -80,13 +80,17 @@ def grow(points: np.ndarray, members: np.ndarray | None = None, degree: int = DE
     if len(members) <= degree:
         return Node(members)
     own = points[members]
+    offered = np.unique(np.linspace(0, len(members) - 1, 3 * degree).astype(np.int64))
     picked = [0]
-    least = squared_distances(own, own[:1])[:, 0]
+    least = squared_distances(own[offered], own[:1])[:, 0]
     while len(picked) < degree and least.max() > 0:
-        picked.append(int(least.argmax()))
-        least = np.minimum(least, squared_distances(own, own[picked[-1:]])[:, 0])
-    if len(picked) == 1:  # all are equal: the first is the nearest to anything
-        return Node(members[:1])
+        picked.append(int(offered[least.argmax()]))
+        least = np.minimum(least, squared_distances(own[offered], own[picked[-1:]])[:, 0])
+    if len(picked) == 1:  # all that were offered are equal
+        far = int(squared_distances(own, own[:1])[:, 0].argmax())
+        if (own[far] == own[0]).all():
+            return Node(members[:1])  # all are: the first is the nearest to anything
+        picked.append(far)
     apart = squared_distances(own, own[picked])
     home = apart.argmin(axis=1)
     home[picked] = -1
@@ -128,19 +132,21 @@ class Search:
         apart = self._measure(node, rows)
         if not node.children:
             return
+        home = apart.argmin(axis=1)
+        for c, child in enumerate(node.children):  # first where the best is likely, for a short reach
+            here = np.flatnonzero(home == c)
+            if child is not None and len(here):
+                self._visit(child, rows[here])
         under, over = _under(apart), _over(apart)
-        turns = apart.argsort(axis=1, kind="stable")
-        for turn in range(turns.shape[1]):  # each query goes to the child of its nearest split point first
-            for c, child in enumerate(node.children):
-                here = np.flatnonzero(turns[:, turn] == c)
-                if child is None or not len(here):
-                    continue
-                reach = _over(self.best[rows[here]])[:, None]
-                beyond = np.nextafter(under[here] - reach, -np.inf) > node.high[c]
-                within = np.nextafter(over[here] + reach, np.inf) < node.low[c]
-                here = here[~(beyond | within).any(axis=1)]
-                if len(here):
-                    self._visit(child, rows[here])
+        for c, child in enumerate(node.children):
+            if child is None:
+                continue
+            reach = _over(self.best[rows])[:, None]
+            beyond = np.nextafter(under - reach, -np.inf) > node.high[c]
+            within = np.nextafter(over + reach, np.inf) < node.low[c]
+            here = np.flatnonzero((home != c) & ~(beyond | within).any(axis=1))
+            if len(here):
+                self._visit(child, rows[here])
 
 
 @dataclass(frozen=True)
