@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -18,10 +17,11 @@ from civicspan.functions.text import recode_age, tract_key  # noqa: E402
 from civicspan.operators import quality  # noqa: E402
 from civicspan.operators.cascade import cascade_delete  # noqa: E402
 from civicspan.operators.joins import decode  # noqa: E402
-from civicspan.operators.publish import publish  # noqa: E402
-from civicspan.plans import clearance, community, incidents, lookups, reconcile, samples, tracts, views  # noqa: E402
-from civicspan.session import fresh_path  # noqa: E402
+from civicspan.operators.publish import publish, publish_version, read_published  # noqa: E402
+from civicspan.plans import clearance, community, incidents, lookups, reconcile, rollup, samples, tracts, views  # noqa: E402
+from civicspan.session import fresh_path, written  # noqa: E402
 from civicspan.sources import delimited, documents  # noqa: E402
+from civicspan.sources.buckets import bucketed_tables, save_bucketed  # noqa: E402
 from civicspan.sources.datasets import Tables  # noqa: E402
 from civicspan.sources.schema import REGISTRY  # noqa: E402
 from civicspan.sources.star import ACS_GEOGRAPHY, ACS_VARIABLES, Star, star_tables  # noqa: E402
@@ -138,6 +138,81 @@ def publish_summary(spark: SparkSession, folder: str) -> DataFrame:
     return plain(spark.read.parquet(path))
 
 
+def publish_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """All years, then one of them again from another source; readers see both in one version."""
+    path = fresh_path(spark, "versions")
+    summary = clearance.with_rates(clearance.county_clearances(star_tables(spark, folder), by_year=True))
+    summary = summary.withColumns({f.name: F.col(f.name).cast("double") for f in summary.schema if "percent" in f.name})
+    summary = written(summary, "summary")
+    publish_version(summary, path, source="orders", retrieved="2024-01-01")
+    publish_version(summary.filter("data_year = 1996"), path, source="orders again", retrieved="2024-02-01")
+    return read_published(spark, path)
+
+
+def quarantine_load(spark: SparkSession, folder: str) -> DataFrame:
+    """A file with values that fit no type and a line with too many fields; loaded and rejected lines."""
+    path = fresh_path(spark, "dirty-csv")
+    key = F.col("incident_id")
+    incidents = _declared_incidents(spark, folder)
+    dirty = incidents.select([F.col(c).cast("string").alias(c) for c in incidents.columns]).withColumns(
+        {
+            "data_year": F.when(key % 40 == 0, "?").otherwise(F.col("data_year")),
+            "incident_date": F.when(key % 40 == 1, "soon").otherwise(F.col("incident_date")),
+        }
+    )
+    surplus = F.when(key % 40 == 2, F.lit("surplus"))
+    delimited.write_table(dirty.filter(surplus.isNull()), f"{path}/plain")
+    delimited.write_table(dirty.filter(surplus.isNotNull()).withColumn("note", surplus), f"{path}/wide")
+    good, bad = delimited.read_table_with_rejects(spark, "nibrs_incident", f"{path}/*")
+    delimited.write_rejects(bad, f"{path}-rejects", "nibrs_incident", "drop")
+    rejected = delimited.read_rejects(spark, f"{path}-rejects").select(
+        F.get(F.split("line", ","), F.lit(REGISTRY["nibrs_incident"].columns.index("incident_id"))).cast("bigint").alias("incident_id"),
+        F.lit(None).cast("int").alias("data_year"),
+        "reason",
+    )
+    return good.select("incident_id", "data_year", F.lit("").alias("reason")).unionByName(rejected)
+
+
+def _bucketed(plan: Callable[..., DataFrame]) -> Query:
+    """A plan over facts that are laid out by incident."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        names = ["agencies", "nibrs_incident", "nibrs_offense", "nibrs_arrestee", "nibrs_offense_type", "nibrs_cleared_except"]
+        star, path = star_tables(spark, folder), fresh_path(spark, "bucketed")
+        save_bucketed({name: star[name] for name in names}, path, buckets=8)
+        return plain(plan(bucketed_tables(spark, path)))
+
+    return run
+
+
+def incremental_clearances(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of all drops but the last year's, then that year's are added; the report comes from the counts alone."""
+    t, root = star_tables(spark, folder), fresh_path(spark, "lake")
+    store = fresh_path(spark, "counts")
+    keys = t["nibrs_incident"].select(
+        "incident_id", "data_year", F.concat(F.lit("S"), F.col("agency_id") % 3).alias(delimited.STATE_FOLDER)
+    )
+    rows = {"nibrs_incident": t["nibrs_incident"].join(keys.drop("data_year"), "incident_id")}
+    rows |= {name: t[name].join(keys, "incident_id") for name in ("nibrs_offense", "nibrs_arrestee")}
+
+    def load(condition: str) -> None:
+        for name, facts in rows.items():
+            known = [f for f in REGISTRY[name].schema if f.name in facts.columns]
+            typed = facts.filter(condition).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in known], delimited.STATE_FOLDER)
+            delimited.append_drop(typed, f"{root}/{name}", (delimited.STATE_FOLDER, "data_year"), several_years=True)
+
+    for name in rollup.CODES:
+        known = [f for f in REGISTRY[name].schema if f.name in t[name].columns]
+        t[name].select([F.col(f.name).cast(f.dataType).alias(f.name) for f in known]).write.parquet(f"{root}/{name}")
+    last = keys.agg(F.max("data_year")).first()[0]
+    load(f"data_year < {last}")
+    rollup.refresh(spark, root, store)
+    load(f"data_year = {last}")
+    rollup.refresh(spark, root, store)
+    counts = rollup.stored_counts(spark, store)
+    return plain(clearance.with_rates(clearance.placed_clearances(counts, t, by_year=True)))
+
+
 def _landed(spark: SparkSession, lines: DataFrame, name: str) -> str:
     path = fresh_path(spark, name)
     lines.write.text(path)
@@ -205,6 +280,19 @@ def tract_value_layer(spark: SparkSession, folder: str) -> DataFrame:
     return tracts.tract_values(_features(spark, folder), acs_income(spark, folder))
 
 
+def local_tract_match(spark: SparkSession, folder: str) -> DataFrame:
+    """Order places, whose tract names are written in several ways, with the tracts that they mean."""
+    star = Star(spark, folder)
+    names = star.acs_rows().select(F.col("NAME").alias("name"), (F.col("tract").cast("bigint") - 7000).alias("o_custkey"))
+    written_as = """CASE o_orderkey % 8 WHEN 0 THEN name WHEN 1 THEN upper(name)
+        WHEN 2 THEN replace(name, 'Census', 'Cencus') WHEN 3 THEN replace(name, ', ', ' / ')
+        WHEN 4 THEN replace(name, 'Census Tract', 'Tract') WHEN 5 THEN replace(name, 'Census', 'Cesnus')
+        WHEN 6 THEN replace(name, 'Tract ', 'Tract 9') END"""
+    local = star.raw("orders").join(names, "o_custkey").selectExpr("o_orderkey", f"{written_as} AS place")
+    tracts_named = names.select(F.col("name").alias("Census Tract"), tract_key(F.col("name")).alias("TRACT"))
+    return tracts.local_tracts(local, tracts_named, "place")
+
+
 def tract_features_json(spark: SparkSession, folder: str) -> DataFrame:
     return tracts.feature_lines(tract_income_join(spark, folder), ["TRACT", "Median Income"])
 
@@ -300,6 +388,14 @@ def arrest_top_offense(t: Tables) -> DataFrame:
     return reconcile.arrest_top_offense(t, t["nibrs_offense_type"].select("offense_code", rank.alias("rank")))
 
 
+def agency_coverage_chains(t: Tables) -> DataFrame:
+    """Agencies in chains of up to six, each covered by the next, and in circles of two."""
+    number = F.col("agency_id") % 20
+    cover = F.when(number < 5, F.col("agency_id") + 1).when(number == 10, F.col("agency_id") + 1).when(number == 11, F.col("agency_id") - 1)
+    chained = t["agencies"].withColumn("covered_by_legacy_ori", F.concat(F.lit("ORI"), cover))
+    return community.agency_participation(t.replace(agencies=chained), months=3)
+
+
 def sql_views(t: Tables) -> DataFrame:
     """Two of the views, joined in SQL."""
     views.create_views(t)
@@ -317,11 +413,12 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def _corpus() -> tuple[dict[str, Query], dict[str, str]]:
-    """The corpus queries and their SQL, if the subpackage and the pipeline are there."""
-    if not importlib.util.find_spec("civicspan.llm") or not importlib.util.find_spec("corpus_pipeline"):
+    """The corpus queries and their SQL, if the subpackage, the pipeline and all that they need are there."""
+    try:
+        import corpus_pipeline
+        from civicspan.llm import queries as corpus
+    except ImportError:
         return {}, {}
-    import corpus_pipeline
-    from civicspan.llm import queries as corpus
 
     sql = corpus.oracle_sql()
     if corpus_pipeline.ORACLE_SQL:
@@ -354,6 +451,12 @@ def _library() -> dict[str, Query]:
         "yearly_append": yearly_append,
         "incremental_drop_load": incremental_drop_load,
         "publish_summary": publish_summary,
+        "publish_versions": publish_versions,
+        "quarantine_load": quarantine_load,
+        "bucketed_clearance_rates": _bucketed(clearance.county_clearance_rates),
+        "bucketed_unmatched_arrests": _bucketed(reconcile.unmatched_arrests),
+        "incremental_clearances": incremental_clearances,
+        "local_tract_match": local_tract_match,
         "pk_violations": pk_violations,
         "fk_orphans": on_tables(fk_orphans),
         "null_violations": on_tables(null_violations),
@@ -400,6 +503,9 @@ def _library() -> dict[str, Query]:
         "state_year_offense": on_tables(samples.state_year_offense, **BRAND_9),
         "victim_demographics": on_tables(samples.victim_demographics, **BRAND_9),
         "offense_locations": on_tables(samples.offense_locations, **BRAND_9),
+        "agency_coverage_chains": on_tables(agency_coverage_chains),
+        "arrest_survival": on_tables(community.arrest_survival, until="1998-06-30"),
+        "median_time_to_arrest": on_tables(community.median_time_to_arrest, until="1998-06-30"),
         "agency_participation": on_tables(community.agency_participation, months=3),
         "cleared_without_arrest": on_tables(reconcile.cleared_without_arrest),
         "time_to_arrest": on_tables(community.time_to_arrest),

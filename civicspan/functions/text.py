@@ -10,11 +10,19 @@ from pyspark.sql import functions as F
 AGE_CODES = {"NS": -1, "NN": -2, "NB": -3, "BB": -4}
 
 
+def _decoded_age(age: Column) -> Column:
+    text = F.trim(age)
+    return F.coalesce(*[F.when(text == code, F.lit(str(n))) for code, n in AGE_CODES.items()], text)
+
+
 def recode_age(age: Column) -> Column:
     """A coded age as a number. Any other text that is no number stops the job."""
-    text = F.trim(age)
-    recoded = F.coalesce(*[F.when(text == code, F.lit(str(n))) for code, n in AGE_CODES.items()], text)
-    return recoded.cast("smallint")
+    return _decoded_age(age).cast("smallint")
+
+
+def try_recode_age(age: Column) -> Column:
+    """As ``recode_age``, but null for text that is no number."""
+    return _decoded_age(age).try_cast("smallint")
 
 
 def drop_padding(column: Column) -> Column:

@@ -147,34 +147,26 @@ def county_clearances_by_view(t: Tables) -> DataFrame:
     return joined.select("county_name", "offense_name", "offense_count", *zero_filled)
 
 
-def incident_clearances(t: Tables) -> DataFrame:
-    """Offense rows and matching arrests per incident and offense name."""
-    incidents = t["nibrs_incident"].select("incident_id", *AGENCY_KEY, "cleared_except_id")
+def incident_clearances(t: Tables, *also: str) -> DataFrame:
+    """Offense rows and matching arrests per incident and offense name; ``also`` names further incident columns."""
+    incidents = t["nibrs_incident"].select("incident_id", *AGENCY_KEY, "cleared_except_id", *also)
     matched = F.col("offenses") * F.coalesce(F.col("arrests"), F.lit(0))
     return (
         offense_groups(t)
         .join(arrest_groups(t), MATCH, "left")
         .join(offense_names(t), "offense_code")
         .join(incidents, "incident_id")
-        .groupBy("incident_id", *AGENCY_KEY, "cleared_except_id", "offense_name")
+        .groupBy("incident_id", *AGENCY_KEY, "cleared_except_id", *also, "offense_name")
         .agg(F.sum("offenses").alias("offenses"), F.sum(matched).alias("arrests"))
     )
 
 
-def county_clearances(
-    t: Tables,
-    place: tuple[str, ...] = ("county_name",),
-    by_year: bool = False,
-) -> DataFrame:
-    """The counts of ``county_clearances_by_view`` in one pass over offenses and arrests.
+def agency_clearances(t: Tables, *also: str) -> DataFrame:
+    """The counts per agency, year and offense name, before agencies are known.
 
-    ``place`` names the agency columns to group by and ``by_year`` adds the year. Incidents meet the agency
-    of their year.
-    Incidents are counted before agencies are joined: what reaches the join are sums per
-    agency and offense, however busy one agency is. Groups whose place or offense has no name
-    keep their offenses but show no clearances, because the views match them by name.
+    Incidents are counted before agencies are joined: what reaches that join are sums per
+    agency and offense, however busy one agency is.
     """
-    years = ["data_year"] if by_year else []
     plain = f"cleared_except_id = {NOT_EXCEPTIONAL}"
     listed = t["nibrs_cleared_except"].select("cleared_except_id", F.lit(True).alias("listed"))
     sums = [
@@ -186,21 +178,46 @@ def county_clearances(
             for code, name in EXCEPTIONS.items()
         ],
     ]
-    summed = ["offense_count", "clearances_normal", "arrests", *REASONS]
-    keys = [*place, *years, "offense_name"]
-    named = " AND ".join(f"{key} IS NOT NULL" for key in keys)
-    totals = (
-        incident_clearances(t)
+    return (
+        incident_clearances(t, *also)
         .join(listed, "cleared_except_id", "left")
-        .groupBy(*AGENCY_KEY, "offense_name")
+        .groupBy(*also, *AGENCY_KEY, "offense_name")
         .agg(*sums)
-        .join(agencies(t, *place), AGENCY_KEY)
+    )
+
+
+def placed_clearances(
+    totals: DataFrame, t: Tables, place: tuple[str, ...] = ("county_name",), by_year: bool = False
+) -> DataFrame:
+    """The counts of ``agency_clearances``, wherever they come from, per place and offense.
+
+    Groups whose place or offense has no name keep their offenses but show no clearances, because the views match
+    them by name.
+    """
+    keys = [*place, *(["data_year"] if by_year else []), "offense_name"]
+    named = " AND ".join(f"{key} IS NOT NULL" for key in keys)
+    summed = ["offense_count", "clearances_normal", "arrests", *REASONS]
+    placed = (
+        totals.join(agencies(t, *place), AGENCY_KEY)
         .groupBy(*keys)
         .agg(*[F.sum(name).alias(name) for name in summed])
         .withColumn(TOTAL, F.expr(SUM_OF_REASONS))
     )
     shown = [f"if({named}, {name}, 0L) AS {name}" for name in COUNTS[1:]]
-    return totals.selectExpr(*keys, "offense_count", *shown)
+    return placed.selectExpr(*keys, "offense_count", *shown)
+
+
+def county_clearances(
+    t: Tables,
+    place: tuple[str, ...] = ("county_name",),
+    by_year: bool = False,
+) -> DataFrame:
+    """The counts of ``county_clearances_by_view`` in one pass over offenses and arrests.
+
+    ``place`` names the agency columns to group by and ``by_year`` adds the year. Incidents meet the agency
+    of their year.
+    """
+    return placed_clearances(agency_clearances(t), t, place, by_year)
 
 
 def with_rates(counts: DataFrame) -> DataFrame:

@@ -8,13 +8,34 @@ from pyspark.sql import functions as F
 from civicspan.functions.numbers import count_where, percent
 from civicspan.plans.clearance import NOT_EXCEPTIONAL, arrest_groups
 from civicspan.plans.incidents import AGENCY_KEY, MATCH, agencies, offense_groups, offense_names
+from civicspan.session import written
 from civicspan.sources.datasets import Tables
 
 
+def covered_agencies(yearly: DataFrame, taking: DataFrame) -> DataFrame:
+    """Agencies and years whose covering agency takes part, itself or because another one covers it, and so on.
+
+    ``taking`` has the ``legacy_ori`` and year of agencies that take part by themselves. Each round finds the agencies that
+    those found last cover and takes them out, so that chains of any length end, and circles do that no agency with
+    reports is in. The number of rounds is the longest chain; a round shuffles agencies, never reports.
+    """
+    by_cover = ["covered_by_legacy_ori", "data_year"]
+    waiting = yearly.select(*AGENCY_KEY, "legacy_ori", "covered_by_legacy_ori").filter("covered_by_legacy_ori IS NOT NULL")
+    found, last = None, taking
+    while True:
+        last = last.select(F.col("legacy_ori").alias(by_cover[0]), "data_year").distinct()
+        last = written(waiting.join(last, by_cover, "left_semi"), "covered")
+        if last.isEmpty():
+            return waiting.limit(0).select(*AGENCY_KEY) if found is None else found
+        reached = last.select(*AGENCY_KEY).distinct()
+        found = reached if found is None else found.unionByName(reached)
+        waiting = waiting.join(reached, AGENCY_KEY, "left_anti")
+
+
 def agency_participation(t: Tables, months: int = 12) -> DataFrame:
     """Agencies and years with a report or zero report in enough months.
 
-    An agency also takes part when the agency that covered it that year does.
+    An agency also takes part when the agency that covered it that year does, or is covered by one that does.
     """
     reported = (
         t["nibrs_month"]
@@ -26,9 +47,7 @@ def agency_participation(t: Tables, months: int = 12) -> DataFrame:
         .filter(F.col("months_reported") >= months)
     )
     direct = reported.join(agencies(t, "legacy_ori"), AGENCY_KEY)
-    years_covered = direct.select(F.col("legacy_ori").alias("covered_by_legacy_ori"), "data_year").distinct()
-    covering = ["covered_by_legacy_ori", "data_year"]
-    covered = agencies(t, "covered_by_legacy_ori").join(years_covered, covering).select("agency_id", "data_year")
+    covered = covered_agencies(agencies(t, "legacy_ori", "covered_by_legacy_ori"), direct.select("legacy_ori", "data_year"))
     both = direct.select("agency_id", "data_year", "months_reported", F.lit(0).alias("covered")).unionByName(
         covered.select("agency_id", "data_year", F.lit(0).cast("bigint").alias("months_reported"), F.lit(1).alias("covered"))
     )
@@ -62,6 +81,67 @@ def time_to_arrest(t: Tables) -> DataFrame:
     )
 
 
+def arrest_survival(t: Tables, until: str) -> DataFrame:
+    """Per offense and day after the incident: the share of offenses still without an arrest, with open cases.
+
+    An offense is an incident and code. It ends with its first arrest, or is followed until the day ``until`` without
+    one; both kinds count as at risk up to their day, so that open cases lengthen the times as they should (the
+    product-limit estimate). Arrests before the incident count as day 0. Offenses of incidents without a day, or later than
+    ``until``, are left out, and so are arrests later than ``until``, whose offenses are still open then.
+
+    Offenses are counted per day before days are put in order, so that the windows hold as many rows as
+    there are days.
+    """
+    last = F.to_date(F.lit(until))
+    first = (
+        t["nibrs_arrestee"]
+        .select(*MATCH, F.to_date("arrest_date").alias("day"))
+        .filter(F.col("day") <= last)
+        .groupBy(*MATCH)
+        .agg(F.min("day").alias("arrest_day"))
+    )
+    incidents = t["nibrs_incident"].select("incident_id", F.to_date("incident_date").alias("incident_day"))
+    followed = (
+        offense_groups(t)
+        .select(*MATCH)
+        .join(first, MATCH, "left")
+        .join(incidents.filter(F.col("incident_day") <= last), "incident_id")
+        .withColumn("days", F.greatest(F.datediff(F.coalesce("arrest_day", last), "incident_day"), F.lit(0)))
+    )
+    by_days = (
+        followed.groupBy("offense_code", "days")
+        .agg(F.count("arrest_day").alias("arrested"), F.count("*").alias("ended"))
+        .join(offense_names(t), "offense_code")
+        .groupBy("offense_name", "days")
+        .agg(F.sum("arrested").alias("arrested"), F.sum("ended").alias("ended"))
+    )
+    later = Window.partitionBy("offense_name").orderBy("days").rowsBetween(0, Window.unboundedFollowing)
+    so_far = Window.partitionBy("offense_name").orderBy("days").rowsBetween(Window.unboundedPreceding, 0)
+    # Where all at risk are arrested the logarithm is null, and nobody is left.
+    left = 1 - F.col("arrested") / F.col("at_risk")
+    none_left = F.max(F.when(F.col("arrested") == F.col("at_risk"), 1)).over(so_far)
+    share = F.when(none_left.isNull(), F.exp(F.sum(F.ln(left)).over(so_far))).otherwise(0.0)
+    return by_days.withColumn("at_risk", F.sum("ended").over(later)).select(
+        "offense_name",
+        "days",
+        "at_risk",
+        "arrested",
+        (F.col("ended") - F.col("arrested")).alias("still_open"),
+        F.round(share, 6).alias("without_arrest"),
+    )
+
+
+def median_time_to_arrest(t: Tables, until: str) -> DataFrame:
+    """Per offense: offenses, those with an arrest, and the first day on which half of them or fewer have none (null if
+    more than half stay open)."""
+    half = F.min(F.when(F.col("without_arrest") <= 0.5, F.col("days")))
+    return (
+        arrest_survival(t, until)
+        .groupBy("offense_name")
+        .agg(F.max("at_risk").alias("offenses"), F.sum("arrested").alias("arrested"), half.alias("median_days"))
+    )
+
+
 def clearance_by_demographic(t: Tables, codes: str, key: str, column: str, person: str = "victim") -> DataFrame:
     """Offenses suffered per offense and group, and the percentage of them cleared.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicspan.functions.text import tract_key
+from civicspan.operators.matching import match_names
 
 # Census variables and the names they get.
 INCOME_COLUMNS = {
@@ -45,6 +46,14 @@ def tract_values(tracts: DataFrame, income: DataFrame, value: str = "Median Inco
     return tracts.select("TRACT", "geometry").join(income.select("TRACT", value), "TRACT", "left")
 
 
+def local_tracts(local: DataFrame, tracts: DataFrame, place: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """Local rows with the tract that their place name means, as far as one can be told from the others.
+
+    ``tracts`` has ``Census Tract`` and ``TRACT``, such as the result of ``acs_income``; ``within`` names columns that must agree too.
+    """
+    return match_names(local, tracts, place, "Census Tract", "TRACT", within)
+
+
 def feature_lines(joined: DataFrame, properties: list[str]) -> DataFrame:
     """One JSON feature per row, ready for ``write.text``. The geometry is placed as it is."""
     named = F.to_json(F.struct(*[F.col(name) for name in properties]), {"ignoreNullFields": "false"})

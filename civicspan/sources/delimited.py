@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from civicspan.functions.text import drop_padding, recode_age
+from civicspan.functions.text import drop_padding, recode_age, try_recode_age
+from civicspan.sources.buckets import save_bucketed
 from civicspan.sources.datasets import Tables
 from civicspan.sources.schema import REGISTRY, Table
 
@@ -77,6 +78,33 @@ def read_table(
     return clean(rows, table)
 
 
+def read_table_with_rejects(
+    spark: SparkSession, name: str, path: str, encoding: str = "UTF-8", multi_line: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """The table's rows, and as ``file, line, reason`` the lines that are none.
+
+    A line is rejected if a value doesn't fit its type or if it has another number of fields, and then all of it is. Of rows with an
+    age that is neither a number nor a known code the line is written anew from its fields. Every line is in one of the two results.
+    """
+    table = REGISTRY[name]
+    raw = "rejected line"
+    options = {**csv_options(encoding, multi_line), "mode": "PERMISSIVE", "columnNameOfCorruptRecord": raw}
+    rows = spark.read.schema(file_schema(table).add(raw, StringType())).options(**options).csv(path)
+    rows = rows.withColumn("file", F.col("_metadata.file_path"))
+    bad_age = F.lit(False)
+    for column in table.columns:
+        if (name, column) in RECODED:
+            bad_age = bad_age | (F.col(column).isNotNull() & try_recode_age(F.col(column)).isNull())
+    fields = F.to_csv(F.struct(*table.columns), {"emptyValue": '""', "nullValue": ""})
+    reason = F.when(F.col(raw).isNotNull(), "type or number of fields").when(bad_age, "age")
+    # Always true, but Spark doesn't know: so every field is parsed, and found wrong, whichever columns a job uses.
+    whole = F.pmod(F.xxhash64(*table.columns), F.lit(1)) == 0
+    judged = rows.filter(whole).withColumn("reason", reason)
+    good = clean(judged.filter("reason IS NULL"), table)
+    bad = judged.filter("reason IS NOT NULL").select("file", F.coalesce(F.col(raw), fields).alias("line"), "reason")
+    return good, bad
+
+
 def read_drop(spark: SparkSession, folder: str, encodings: dict[str, str] | None = None) -> Tables:
     """All declared tables of one download folder; a glob such as ``drops/*`` reads them all."""
     encodings = encodings or {}
@@ -189,6 +217,16 @@ def drop_state(drop: Tables) -> str:
     return states[0]
 
 
+def write_rejects(bad: DataFrame, rejects: str, name: str, drop: str) -> None:
+    """Keep a drop's rejected lines of one table; loading the drop again takes their place."""
+    bad.write.mode("overwrite").parquet(f"{rejects}/table_name={name}/drop={drop}")
+
+
+def read_rejects(spark: SparkSession, rejects: str) -> DataFrame:
+    """``file, line, reason, table_name, drop`` of all rejected lines."""
+    return spark.read.schema("file string, line string, reason string, table_name string, drop string").parquet(rejects)
+
+
 def load_drop(
     spark: SparkSession,
     folder: str,
@@ -197,19 +235,41 @@ def load_drop(
     encodings: dict[str, str] | None = None,
     several_years: bool = False,
     state: str | None = None,
+    rejects: str | None = None,
+    drop: str | None = None,
+    buckets: int | None = None,
 ) -> None:
     """Load the tables of one download folder into Parquet folders ``root/<table>``.
 
     A download is of one state, by default that of its agencies. Tables with a year replace the rows of
     this state and year and keep all others; code tables are replaced whole. All files are looked for
     before anything is written. References are not checked here: run ``validation_report`` on the loaded tables.
+
+    A value that does not fit its type stops the load, unless ``rejects`` names a folder: then lines with such values go there,
+    under the table and the name of the drop (``drop``, by default the last part of ``folder``), and all others are loaded.
+    With ``buckets``, tables with an incident are laid out in so many buckets of it (see ``buckets.py``).
     """
-    drop = read_drop(spark, folder, encodings)
-    tables = {name: drop[name] for name in names or REGISTRY}
-    state = state or drop_state(drop)
-    for name, rows in tables.items():
-        if "data_year" in REGISTRY[name].columns:
-            placed = rows.withColumn(STATE_FOLDER, F.lit(state))
-            replace_drop(placed, f"{root}/{name}", (STATE_FOLDER, "data_year"), several_years)
+    encodings = encodings or {}
+    names = list(names or REGISTRY)
+    if rejects:
+        paths = {name: f"{folder}/{any_case(name + '.csv')}" for name in names}
+        both = {name: read_table_with_rejects(spark, name, paths[name], encodings.get(name, "UTF-8")) for name in names}
+        tables = {name: good for name, (good, _) in both.items()}
+        for name, (_, bad) in both.items():
+            write_rejects(bad, rejects, name, drop or folder.rstrip("/").rsplit("/", 1)[-1])
+    else:
+        whole = read_drop(spark, folder, encodings)
+        tables = {name: whole[name] for name in names}
+    state = state or drop_state(read_drop(spark, folder, encodings))
+    placed = {
+        name: rows.withColumn(STATE_FOLDER, F.lit(state)) if "data_year" in REGISTRY[name].columns else rows
+        for name, rows in tables.items()
+    }
+    if buckets:
+        save_bucketed(placed, root, buckets, (STATE_FOLDER, "data_year"))
+        return
+    for name, rows in placed.items():
+        if STATE_FOLDER in rows.columns:
+            replace_drop(rows, f"{root}/{name}", (STATE_FOLDER, "data_year"), several_years)
         else:
             rows.write.mode("overwrite").parquet(f"{root}/{name}")

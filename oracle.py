@@ -382,6 +382,20 @@ MANIFEST = """
       c_mktsegment AS description, n_name
     FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey"""
 
+SURVIVAL = """
+    SELECT offense_name, days, CAST(sum(ended) OVER (PARTITION BY offense_name ORDER BY days DESC) AS BIGINT) AS at_risk,
+      arrested, ended - arrested AS still_open
+    FROM (
+      SELECT offense_name, CAST(greatest(date_diff('day', begun, coalesce(arrested_at, DATE '1998-06-30')), 0) AS INT) AS days,
+        count(arrested_at) AS arrested, count(*) AS ended
+      FROM (SELECT o.incident_id, n.offense_name, CAST(i.incident_date AS DATE) AS begun,
+              (SELECT min(CAST(r.arrest_date AS DATE)) FROM nibrs_arrestee r WHERE r.incident_id = o.incident_id
+                 AND r.offense_code = o.offense_code AND CAST(r.arrest_date AS DATE) <= DATE '1998-06-30') AS arrested_at
+            FROM (SELECT DISTINCT incident_id, offense_code FROM nibrs_offense) o JOIN nibrs_incident i USING (incident_id)
+              JOIN nibrs_offense_type n USING (offense_code)
+            WHERE CAST(i.incident_date AS DATE) <= DATE '1998-06-30')
+      GROUP BY ALL)"""
+
 QUERIES = {
     "csv_roundtrip": LANDED,
     "csv_encoding": f"SELECT * REPLACE ('Clôturé ' || (incident_id % 10) AS incident_status) FROM ({LANDED})",
@@ -425,6 +439,45 @@ QUERIES = {
     "publish_summary": f"""
         SELECT *, 'orders' AS source, '2024-01-01' AS retrieved
         FROM ({rates("county_name, data_year, offense_name", clearances("county_name, data_year, offense_name"))})""",
+    "publish_versions": f"""
+        SELECT *, CASE data_year WHEN 1996 THEN 'orders again' ELSE 'orders' END AS source,
+          CASE data_year WHEN 1996 THEN '2024-02-01' ELSE '2024-01-01' END AS retrieved
+        FROM ({rates("county_name, data_year, offense_name", clearances("county_name, data_year, offense_name"))})""",
+    "quarantine_load": """
+        SELECT o_orderkey AS incident_id, CASE WHEN o_orderkey % 40 > 2 THEN CAST(year(o_orderdate) AS INT) END AS data_year,
+          CASE WHEN o_orderkey % 40 > 2 THEN '' ELSE 'type or number of fields' END AS reason FROM orders""",
+    "bucketed_clearance_rates": rates("county_name, offense_name", clearances("county_name, offense_name")),
+    "bucketed_unmatched_arrests": f"""
+        SELECT incident_id, offense_code, count(*) AS arrests FROM {unmatched('true')} GROUP BY ALL""",
+    "incremental_clearances": rates(
+        "county_name, data_year, offense_name", clearances("county_name, data_year, offense_name")
+    ),
+    "local_tract_match": r"""
+        WITH known AS (
+          SELECT NAME AS name, CAST(tract AS BIGINT) - 7000 AS o_custkey,
+            CASE WHEN contains(number, '.') THEN number ELSE number || '.00' END AS TRACT
+          FROM (SELECT *, regexp_extract(NAME, '^[^,]* ([^ ,]+)', 1) AS number FROM acs_rows)
+        ), local AS (
+          SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN name WHEN 1 THEN upper(name)
+            WHEN 2 THEN replace(name, 'Census', 'Cencus') WHEN 3 THEN replace(name, ', ', ' / ')
+            WHEN 4 THEN replace(name, 'Census Tract', 'Tract') WHEN 5 THEN replace(name, 'Census', 'Cesnus')
+            WHEN 6 THEN replace(name, 'Tract ', 'Tract 9') END AS place
+          FROM orders JOIN known USING (o_custkey)
+        ), names AS (SELECT DISTINCT place AS name, NULL AS TRACT FROM local UNION ALL SELECT name, TRACT FROM known),
+        read AS (
+          SELECT name, TRACT, list_transform(regexp_extract_all(name, '\d+(?:\.\d+)?'), lambda n: regexp_replace(n, '\.0+$', ''))
+            AS numbers, trim(regexp_replace(regexp_replace(lower(name), '\d+(?:\.\d+)?', ' ', 'g'), '[^\p{L}]+', ' ', 'g')) AS words
+          FROM names
+        ), pairs AS (
+          SELECT a.name, k.TRACT, levenshtein(a.words, k.words) AS edits
+          FROM read a JOIN read k ON a.TRACT IS NULL AND k.TRACT IS NOT NULL AND a.numbers = k.numbers
+          WHERE levenshtein(a.words, k.words) <= least(2, length(a.words) // 5)
+        ), best AS (
+          SELECT name, edits, min(TRACT) AS TRACT, count(DISTINCT TRACT) AS rivals FROM pairs p
+          WHERE edits = (SELECT min(edits) FROM pairs q WHERE q.name = p.name) GROUP BY ALL)
+        SELECT o_orderkey, place, CASE WHEN rivals = 1 THEN TRACT END AS TRACT, CAST(edits AS INT) AS edits,
+          CASE WHEN rivals IS NULL THEN 'none' WHEN rivals > 1 THEN 'ambiguous' WHEN edits = 0 THEN 'exact' ELSE 'near' END AS match
+        FROM local LEFT JOIN best ON best.name = place""",
     "pk_violations": """SELECT l_orderkey, l_linenumber, count(*) AS rows_with_key FROM lineitem
         GROUP BY ALL HAVING count(*) > 1""",
     "fk_orphans": """SELECT incident_id, count(*) AS orphan_rows FROM nibrs_arrestee
@@ -549,6 +602,29 @@ QUERIES = {
         SELECT location_code, location_name, count(*) AS offenses
         FROM nibrs_offense o JOIN month_incidents USING (incident_id) JOIN nibrs_location_type USING (location_id)
         WHERE offense_code = 'Brand#9' GROUP BY ALL""",
+    "agency_coverage_chains": """
+        WITH RECURSIVE chained AS (
+          SELECT agency_id, data_year, legacy_ori, 'ORI' || CASE WHEN agency_id % 20 < 5 OR agency_id % 20 = 10 THEN agency_id + 1
+            WHEN agency_id % 20 = 11 THEN agency_id - 1 END AS covered_by FROM agencies
+        ), direct AS (
+          SELECT agency_id, data_year, count(DISTINCT month_num) AS months FROM nibrs_month
+          WHERE reported_status IN ('I', 'Z') GROUP BY ALL HAVING count(DISTINCT month_num) >= 3
+        ), taking AS (
+          SELECT data_year, legacy_ori, 0 AS covered, agency_id FROM chained SEMI JOIN direct USING (agency_id, data_year)
+          UNION
+          SELECT c.data_year, c.legacy_ori, 1, c.agency_id
+          FROM chained c JOIN taking t ON t.legacy_ori = c.covered_by AND t.data_year = c.data_year)
+        SELECT agency_id, data_year, coalesce(max(months), 0) AS months_reported, max(covered) AS covered
+        FROM taking LEFT JOIN direct USING (agency_id, data_year) GROUP BY ALL""",
+    "arrest_survival": f"""
+        WITH counted AS ({SURVIVAL})
+        SELECT offense_name, days, at_risk, arrested, still_open,
+          round(product(1 - arrested / at_risk) OVER (PARTITION BY offense_name ORDER BY days), 6) AS without_arrest FROM counted""",
+    "median_time_to_arrest": f"""
+        WITH counted AS ({SURVIVAL}), shares AS (
+          SELECT *, round(product(1 - arrested / at_risk) OVER (PARTITION BY offense_name ORDER BY days), 6) AS without_arrest FROM counted)
+        SELECT offense_name, max(at_risk) AS offenses, CAST(sum(arrested) AS BIGINT) AS arrested,
+          min(days) FILTER (without_arrest <= 0.5) AS median_days FROM shares GROUP BY ALL""",
     "agency_participation": """
         WITH direct AS (
           SELECT agency_id, data_year, count(DISTINCT month_num) AS months FROM nibrs_month
