@@ -47,7 +47,9 @@ def bucketed(frame: DataFrame, name: str, column: str) -> DataFrame:
     listed = "_".join(path.rsplit("/", 1)[1].split("-"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     frame.write.bucketBy(buckets, column).option("path", path).saveAsTable(listed)
-    return spark.table(listed)
+    made = spark.table(listed)
+    spark.sql(f"DROP TABLE {listed}")  # only the name: the files stay, and the plan has found them
+    return made
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

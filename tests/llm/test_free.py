@@ -230,6 +230,11 @@ def test_banded_alignment_equals_plain_one(a, b, most):
     assert got == (edit_distance(a, b) <= most)
 
 
+def test_no_edits_and_the_same_words_in_another_order():
+    a, b = np.array([0, 0, 0, 1], np.uint32), np.array([0, 0, 1, 0], np.uint32)
+    assert not order_minhash.edits_within(a, b, 0) and order_minhash.edits_within(a, a, 0)
+
+
 @settings(max_examples=300, deadline=None)
 @given(sequences.filter(bool), st.lists(st.tuples(st.integers(0, 40), st.integers(0, 2), st.integers(0, 3)), max_size=8), st.integers(1, 10))
 def test_alignment_of_edited_copies(a, edits, most):
@@ -239,7 +244,7 @@ def test_alignment_of_edited_copies(a, edits, most):
         b[at : at + (kind != 1)] = [value] if kind != 2 else []
     distance = edit_distance(a, b)
     assert order_minhash.edits_within(np.array(a, np.uint32), np.array(b, np.uint32), most) == (distance <= most)
-    if a and b and len(a) > most and abs(len(a) - len(b)) <= most and len(a) <= len(b):
+    if a and b and most and len(a) > most and abs(len(a) - len(b)) <= most and len(a) <= len(b):
         assert (order_minhash._banded(a, b, most) <= most) == (distance <= most)
 
 
