@@ -29,6 +29,18 @@ def extended(schema: StructType, columns: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(columns).fields])
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with blanks behind them as long as a column is called so."""
+    taken = {c.lower() for c in columns}
+
+    def free(name: str) -> str:
+        while name.lower() in taken:
+            name += " "
+        return name
+
+    return [free(name) for name in names]
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicspan.llm.common import extended, small_batches, text_key, written
+from civicspan.llm.common import extended, small_batches, text_key, unused, written
 
 WINDOW = 10
 #: Lower-cases A to Z and turns what is not in a word into spaces, byte by byte.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+#: The same words in an expression; letters in either case.
+SQL_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 PAIR_BITS = 22
 SPANS = "array<struct<first:bigint,stop:bigint>>"
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())]))
@@ -214,7 +216,7 @@ def item_blocks(items: DataFrame, block_words: int, item: str, text: str) -> Ite
         F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"),
         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"),
     )
-    size = F.size(F.split(F.col("text").cast("string"), " "))
+    size = F.regexp_count(F.col("text").cast("string"), F.lit(SQL_WORD))
     blocks = -(-(rows.agg(F.sum(size)).first()[0] or 0) // block_words) or 1
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
     for block in range(blocks):
@@ -239,18 +241,19 @@ def find_contamination(
     ]
     if len(blocks) == 1:
         return _through(docs, blocks[0], text).withColumn("items", F.array_join("items", ","))
-    keyed = docs.withColumn("_key", text_key(F.col(text)))
+    (of_key,) = unused(docs.columns, "_key")
+    keyed = docs.withColumn(of_key, text_key(F.col(text)))
     hits = None
     for block in blocks:
         hit = _through(docs.select(F.col(text)), block, text).where("n_hit > 0")
-        part = written(hit.select(text_key(F.col(text)).alias("_key"), "items", "spans").distinct(), "block-hits")
+        part = written(hit.select(text_key(F.col(text)).alias(of_key), "items", "spans").distinct(), "block-hits")
         hits = part if hits is None else hits.unionByName(part)
-    merged = hits.groupBy("_key").agg(
+    merged = hits.groupBy(of_key).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         _united(F.flatten(F.collect_list("spans"))).alias("spans"),
     )
-    counted = keyed.withColumn("n_words", F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")))
-    joined = counted.join(merged, "_key", "left").drop("_key")
+    counted = keyed.withColumn("n_words", F.regexp_count(F.coalesce(text, F.lit("")), F.lit(SQL_WORD)))
+    joined = counted.join(merged, of_key, "left")
     spans = F.coalesce("spans", F.array().cast(SPANS))
     size = F.aggregate(spans, F.lit(0).cast("long"), lambda total, s: total + s.getField("stop") - s.getField("first"))
     return joined.select(
@@ -310,24 +313,23 @@ def decontaminate(
 ) -> DataFrame:
     """The documents without their hit spans of ``least_span`` words or more, and without those documents
     of which more than ``most_coverage`` was hit. Clean documents are returned as they are. Columns stay as they were."""
-    found = find_contamination(docs, items, text, item, window, block_words)
-    kept = found.where(F.col("n_hit") <= most_coverage * F.col("n_words"))
-    clean = kept.where(F.col("n_hit") == 0).select(docs.columns)
-
+    outputs = [c for c in docs.columns if c in ("n_words", "n_hit", "n_items", "items", "spans")]
+    aside = dict(zip(outputs, unused(docs.columns, *(f"own {c}" for c in outputs)), strict=True))
+    docs = docs.withColumnsRenamed(aside)
     names = docs.columns
+    found = find_contamination(docs, items, text, item, window, block_words)
+    kept = found.where(F.col("n_hit") <= most_coverage * F.col("n_words")).select(*names, "n_hit", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
+            if not any(batch.column("n_hit").to_pylist()):
+                yield batch.select(names)
+                continue
             texts = batch.column(text).to_pylist()
-            spans = batch.column("spans").to_pylist()
-            cleaned = [
-                remove_spans(t.encode(), [[x["first"], x["stop"]] for x in s if x["stop"] - x["first"] >= least_span])
-                for t, s in zip(texts, spans, strict=True)
-            ]
-            decoded = pa.array([c.decode() for c in cleaned], pa.string())
+            spans = [[[x["first"], x["stop"]] for x in s if x["stop"] - x["first"] >= least_span] for s in batch.column("spans").to_pylist()]
+            cleaned = [remove_spans(t.encode(), s).decode() if s else t for t, s in zip(texts, spans, strict=True)]
+            decoded = pa.array(cleaned, pa.string())
             columns = [decoded if name == text else batch.column(name) for name in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    changed = kept.where(F.col("n_hit") > 0).mapInArrow(run, docs.schema)
-    return clean.unionByName(changed)
-
+    return kept.mapInArrow(run, docs.schema).withColumnsRenamed({put: c for c, put in aside.items()})

@@ -29,7 +29,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from civicspan.llm.common import small_batches, written
 
@@ -320,13 +319,60 @@ def _numbers(lex: Lexicon) -> _Numbers:
     return _Numbers((word, i) for i, word in enumerate(lex.words))
 
 
-def _documents(batch: pa.RecordBatch, column: str, numbers: _Numbers) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    lookup, end = numbers.__getitem__, numbers[END]
-    for t in batch.column(column).to_pylist():
-        words = words_of((t or "").encode())
-        ids = list(map(lookup, words))
-        ids.append(end)
-        yield words, np.array(ids, dtype=np.int32)
+def numbered(docs: DataFrame, lex, rounds: int, key: str, text: str) -> DataFrame:
+    """A row of each document, written: ``row, doc_id, held, part, n_tokens, n_known, known_logs, ids, rare, times``.
+
+    Texts are cut into words here only; training and scoring read ``ids``, the numbers of the known words (-1: rare) as
+    little-endian 32-bit bytes. ``rare`` has the other words and ``times`` how often each occurs."""
+    held, part = held_out(F.col(key)), F.pmod(F.xxhash64(key), F.lit(rounds)).cast("int")
+    rows = docs.select(F.col(key).alias("doc_id"), held.alias("held"), part.alias("part"), F.col(text).alias("text"))
+    kind = docs.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon_ = lex.value
+        numbers = _numbers(lexicon_)
+        lookup, end = numbers.__getitem__, numbers[END]
+        logs, seen = np.log10(lexicon_.counts + ADDED), lexicon_.counts > 0
+        row = TaskContext.get().partitionId() << 33
+        for batch in small_batches(batches):
+            made, rare, known = [], [], []
+            for t in batch.column("text").to_pylist():
+                words = words_of((t or "").encode())
+                ids = list(map(lookup, words))
+                ids.append(end)
+                made.append(np.array(ids, dtype="<i4"))
+                rare.append(Counter(words[i] for i in np.flatnonzero(made[-1] < 0)))
+                known.append(made[-1][made[-1] >= 0])
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(range(row, row + n), pa.int64()),
+                    *(batch.column(c) for c in ("doc_id", "held", "part")),
+                    pa.array([len(ids) for ids in made], pa.int64()),
+                    pa.array([int(seen[k].sum()) for k in known], pa.int64()),
+                    pa.array([float(logs[k].sum()) for k in known], pa.float64()),
+                    pa.array([ids.tobytes() for ids in made], pa.binary()),
+                    pa.array([list(r) for r in rare], pa.list_(pa.binary())),
+                    pa.array([list(r.values()) for r in rare], pa.list_(pa.int64())),
+                ],
+                names=["row", "doc_id", "held", "part", "n_tokens", "n_known", "known_logs", "ids", "rare", "times"],
+            )
+            row += n
+
+    return written(
+        rows.mapInArrow(
+            run,
+            f"row long, doc_id {kind.simpleString()}, held boolean, part int, n_tokens long, n_known long, known_logs double, "
+            "ids binary, rare array<binary>, times array<long>",
+        ),
+        "numbered",
+    )
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in small_batches(batches):
+        for ids in batch.column("ids").to_pylist():
+            yield np.frombuffer(ids, "<i4")
 
 
 def _packs(documents: Iterator, size) -> Iterator[list]:
@@ -342,21 +388,18 @@ def _packs(documents: Iterator, size) -> Iterator[list]:
         yield pack
 
 
-def train_round(docs: DataFrame, lex, weights: dict[str, np.ndarray], text: str, rate: float) -> dict[str, np.ndarray]:
-    """The mean of the weights that all partitions reach from the same start, weighed by their words.
+def train_round(docs: DataFrame, lex, weights: dict[str, np.ndarray], rate: float) -> dict[str, np.ndarray]:
+    """The mean of the weights that all partitions of numbered documents reach from the same start, weighed by their words.
 
     Weights are averaged by Spark, in two steps and in parts; the driver gets one set of weights.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon_ = lex.value
-        numbers = _numbers(lexicon_)
         network = Network(shared.value, rate)
         words = 0
-        documents = (ids for batch in small_batches(batches) for _, ids in _documents(batch, text, numbers))
-        for pack in _packs(documents, len):
-            network.run(pack, lexicon_, learn=True)
+        for pack in _packs(_documents(batches), len):
+            network.run(pack, lex.value, learn=True)
             words += sum(map(len, pack))
         if words:
             names = list(network.w)
@@ -382,7 +425,7 @@ def train_round(docs: DataFrame, lex, weights: dict[str, np.ndarray], text: str,
 
     kinds, columns = [pa.string(), pa.int32(), pa.float64(), pa.binary()], ["name", "part", "words", "value"]
     schema = "name string, part int, words double, value binary"
-    trained = docs.select(text).mapInArrow(run, schema)
+    trained = docs.select("ids").mapInArrow(run, schema)
     means = trained.groupBy("name", "part").applyInArrow(mean, schema).groupBy("name").applyInArrow(mean, schema)
     result = dict(weights)
     for row in means.collect():
@@ -390,12 +433,11 @@ def train_round(docs: DataFrame, lex, weights: dict[str, np.ndarray], text: str,
     return result
 
 
-def train(docs: DataFrame, lex, rounds: int = 3, key: str = "doc_id", text: str = "text", rate: float = 0.2) -> dict[str, np.ndarray]:
-    """Weights after ``rounds`` rounds, each over another part of the documents."""
+def train(documents: DataFrame, lex, rounds: int = 3, rate: float = 0.2) -> dict[str, np.ndarray]:
+    """Weights after ``rounds`` rounds over numbered documents, each over another part of those that aren't held out."""
     weights = first_weights(lex.value)
-    part = F.pmod(F.xxhash64(key), F.lit(rounds))
     for i in range(rounds):
-        weights = train_round(docs.where(part == i), lex, weights, text, rate)
+        weights = train_round(documents.where(~F.col("held") & (F.col("part") == i)), lex, weights, rate)
     return weights
 
 
@@ -405,54 +447,27 @@ def score_documents(docs: DataFrame, head_words: int = 1 << 18, rounds: int = 3,
     ``base_score`` is by counts only: the sum of ``log10((c + 0.1) / (N + 0.1 * (V + 1)))``.
     """
     context = docs.sparkSession.sparkContext
-    training = docs.where(~held_out(F.col(key))).select(key, text)
-    counts = written(count_words(training, text), "word-counts")
+    counts = written(count_words(docs.where(~held_out(F.col(key))), text), "word-counts")
     head = lexicon(counts, head_words)
     lex = context.broadcast(head)
-    weights = context.broadcast(train(training, lex, rounds, key, text))
+    documents = numbered(docs, lex, rounds, key, text)
+    weights = context.broadcast(train(documents, lex, rounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon_ = lex.value
-        numbers = _numbers(lexicon_)
         network = Network(weights.value)
-        logs = np.log10(lexicon_.counts + ADDED)
-        seen = lexicon_.counts > 0
-        row = TaskContext.get().partitionId() << 33
 
         def rows():
             for batch in small_batches(batches):
-                keys = batch.column(key).to_pylist()
-                for own, (words, ids) in zip(keys, _documents(batch, text, numbers), strict=True):
-                    rare = Counter(words[i] for i in np.flatnonzero(ids < 0))
-                    yield own, rare, ids
-
-        for pack in _packs(rows(), lambda r: len(r[2])):
-            scores = network.run([ids for _, _, ids in pack], lexicon_, learn=False) / math.log(10)
-            known = [ids[ids >= 0] for _, _, ids in pack]
-            n = len(pack)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(range(row, row + n), pa.int64()),
-                    pa.array([own for own, _, _ in pack]).cast(key_type),
-                    pa.array([len(ids) for _, _, ids in pack], pa.int64()),
-                    pa.array([int(seen[k].sum()) for k in known], pa.int64()),
-                    pa.array([float(logs[k].sum()) for k in known], pa.float64()),
-                    pa.array(scores, pa.float64()),
-                    pa.array([list(rare) for _, rare, _ in pack], pa.list_(pa.binary())),
-                    pa.array([list(rare.values()) for _, rare, _ in pack], pa.list_(pa.int64())),
-                ],
-                names=["row", key, "n_tokens", "n_known", "known_logs", "partial", "rare", "times"],
-            )
-            row += n
+                for row, ids in zip(batch.column("row").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                    yield row, np.frombuffer(ids, "<i4")
 
-    key_type = to_arrow_type(docs.schema[key].dataType)
-    kind = docs.schema[key].dataType.simpleString()
-    scored = docs.select(key, text).mapInArrow(
-        run,
-        f"row long, {key} {kind}, n_tokens long, n_known long, known_logs double, partial double, rare array<binary>, times array<long>",
-    )
-    scored = written(scored, "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", "r.rare", "r.times")
+        for pack in _packs(rows(), lambda r: len(r[1])):
+            scores = network.run([ids for _, ids in pack], lex.value, learn=False) / math.log(10)
+            made = [pa.array([row for row, _ in pack], pa.int64()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(made, names=["row", "partial"])
+
+    scored = documents.select("row", "ids").mapInArrow(run, "row long, partial double")
+    rare = documents.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", "r.rare", "r.times")
     others = counts.where((F.col("n") < head.least) | (F.octet_length("word") > LONGEST_HEAD_WORD)).where(F.col("word") != F.lit(END))
     n = F.coalesce("n", F.lit(0))
     found = rare.join(others, rare["rare"] == others["word"], "left").groupBy("row").agg(
@@ -464,9 +479,10 @@ def score_documents(docs: DataFrame, head_words: int = 1 << 18, rounds: int = 3,
     in_class = math.log10(head.mass[-1])
     zero = F.lit(0.0)
     logs = F.coalesce("rare_logs", zero)
-    return scored.drop("rare", "times").join(found, "row", "left").select(
-        F.col(key).alias("doc_id"),
-        held_out(F.col(key)).alias("held_out"),
+    each = documents.select("row", "doc_id", "held", "n_tokens", "n_known", "known_logs").join(scored, "row")
+    return each.join(found, "row", "left").select(
+        "doc_id",
+        F.col("held").alias("held_out"),
         "n_tokens",
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(head.tokens).cast("long").alias("train_tokens"),

@@ -7,7 +7,8 @@ same person or number has the same surrogate in every document. Surrogates keep
 case, script, separators and what the type requires (octet ranges, Luhn's sum, IBAN check digits,
 gendered name endings). Atoms whose surrogates collide, with each other or with any atom that
 really occurs, draw again until all are distinct. Cards, phone numbers and IBANs are the same with and
-without separators.
+without separators. Names are found after a title; where they stand by themselves elsewhere in the same document, they are
+replaced too (these are not counted as entities).
 
 Defined cases: a null text stays null and has no entities; texts without entities are returned as
 they are; equal texts get equal results; an empty table gives an empty result; other columns are
@@ -16,10 +17,10 @@ passed through, and a column that has the name of an output is replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicspan.llm.common import let, text_key, written
+from civicspan.llm.common import let, text_key, unused, written
 
 MALE_TITLES = "Mr|Herr|Monsieur|Señor|Sr|Господин|г-н|Κύριος"
 FEMALE_TITLES = "Mrs|Miss|Ms|Frau|Madame|Mme|Señora|Sra|Госпожа|г-жа|Κυρία"
@@ -74,6 +75,8 @@ GENDERED = {
 }
 #: Draws after which a surrogate may be one character longer, or an octet of any width, so that small spaces can't run out.
 DRAWS_A_LENGTH = 8
+#: Draws after which a surrogate may be a value that occurs: only a space that is nearly full gets there.
+LAST_DRAWS = 64
 
 
 def _nth(letters: str, number: Column) -> Column:
@@ -176,6 +179,8 @@ def _surrogate(key: str) -> Column:
         )
 
     source = F.when(name | kind.isin("local", "domain", "secret"), F.concat(norm, longer)).otherwise(norm)
+    digits_more = F.repeat(F.lit("0"), F.floor(attempt / DRAWS_A_LENGTH).cast("int"))
+    source = F.when(kind.isin("phone", "ssn"), F.concat(norm, digits_more)).otherwise(source)
     source = F.when((kind == "ipv6") & (attempt >= DRAWS_A_LENGTH), F.regexp_replace(norm, "[0-9a-f]+", "a000")).otherwise(source)
     plain = F.array_join(F.transform(F.split(source, ""), drawn), "")
     digits = F.regexp_replace(plain, "[^0-9]", "")
@@ -214,7 +219,7 @@ def _surrogate(key: str) -> Column:
 
 
 def _onto(shape: Column, characters: Column) -> Column:
-    """The characters in place of the letters and digits of ``shape``, whose separators stay."""
+    """The characters in place of the letters and digits of ``shape``, whose separators stay; what is left over follows."""
 
     def placed(before: Column, c: Column) -> Column:
         used, made = before.getField("used"), before.getField("made")
@@ -223,7 +228,11 @@ def _onto(shape: Column, characters: Column) -> Column:
         return F.struct((used + taken).alias("used"), F.concat(made, put).alias("made"))
 
     start = F.struct(F.lit(0).alias("used"), F.lit("").alias("made"))
-    return F.aggregate(F.split(shape, ""), start, placed, lambda end: end.getField("made"))
+    return F.aggregate(F.split(shape, ""), start, placed, _with_rest(characters))
+
+
+def _with_rest(characters: Column):
+    return lambda end: F.concat(end.getField("made"), F.substr(characters, end.getField("used") + 1))
 
 
 def _cased(value: Column, surrogate: Column) -> Column:
@@ -238,24 +247,41 @@ def _cased(value: Column, surrogate: Column) -> Column:
 
 def assign_surrogates(atoms: DataFrame, key: str) -> DataFrame:
     """``kind, norm, surrogate`` for distinct atoms ``kind, norm``: different atoms get different surrogates,
-    and none is an atom that occurs. Each round settles all but the few that collide."""
-    spark = atoms.sparkSession
-    real = atoms.select("kind", F.col("norm").alias("surrogate")).withColumn("occurs", F.lit(True))
-    state = atoms.select("kind", "norm").withColumns({"attempt": F.lit(0), "settled": F.lit(False)})
+    and none is an atom that occurs. Each round settles all but the few that collide, and writes only those it had.
+
+    Kinds that may grow become longer after some draws, so that their space can't be full. Those that may not, such as cards, may
+    at last take a value that occurs, so that every round finds free values until the space itself is used up."""
+    real = atoms.select("kind", F.col("norm").alias("surrogate"))
+    waiting = atoms.select("kind", "norm").withColumn("attempt", F.lit(0))
+    settled = None
     while True:
-        drawn = state.withColumn("surrogate", _surrogate(key))
-        first = Window.partitionBy("kind", "surrogate").orderBy(F.desc("settled"), "norm")
-        judged = drawn.join(real, ["kind", "surrogate"], "left").withColumn("place", F.row_number().over(first))
-        good = (F.col("place") == 1) & F.col("occurs").isNull()
-        state = written(
-            judged.select(
-                "kind", "norm", "surrogate", F.when(good, F.col("attempt")).otherwise(F.col("attempt") + 1).alias("attempt"),
-                good.alias("settled"),
-            ),
-            "surrogates",
-        )
-        if state.where(~F.col("settled")).isEmpty():
-            return state.select("kind", "norm", "surrogate")
+        drawn = waiting.withColumn("surrogate", _surrogate(key))
+        early = drawn.where(F.col("attempt") < LAST_DRAWS).join(real, ["kind", "surrogate"], "left_anti")
+        free = early.unionByName(drawn.where(F.col("attempt") >= LAST_DRAWS))
+        if settled is not None:
+            free = free.join(settled, ["kind", "surrogate"], "left_anti")
+        first = free.groupBy("kind", "surrogate").agg(F.min("norm").alias("norm"))
+        chosen = written(first.select("kind", "norm", "surrogate"), "surrogates")
+        settled = chosen if settled is None else settled.unionByName(chosen)
+        left = waiting.join(chosen, ["kind", "norm"], "left_anti").withColumn("attempt", F.col("attempt") + 1)
+        waiting = written(left, "waiting")
+        if waiting.isEmpty():
+            return settled
+
+
+def _names_again(piece: Column, names: Column) -> Column:
+    """Text between entities, with names that entities of the document have found replaced wherever they stand as words,
+    as they were written there or in capitals, also with a genitive's ending."""
+    words = F.regexp_extract_all(piece, F.lit("\\p{L}[\\p{L}'’-]*|[^\\p{L}]+"), F.lit(0))
+
+    def replaced(word: Column) -> Column:
+        stem = F.regexp_replace(word, "['’]s$", "")
+        same = F.get(F.filter(names, lambda n: n["value"].isin(word, stem)), F.lit(0))["new"]
+        capitals = F.get(F.filter(names, lambda n: F.upper(n["value"]).isin(word, stem)), F.lit(0))["new"]
+        new = F.coalesce(same, F.upper(capitals))
+        return F.coalesce(F.concat(new, F.substr(word, F.char_length(stem) + 1)), word)
+
+    return F.array_join(F.transform(words, replaced), "")
 
 
 def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -265,17 +291,18 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     share is worked out once.
     """
     docs = docs.drop("n_entities", "entity_types")
+    of_key, of_made, of_n, of_types, of_names = unused(docs.columns, "_key", "_made", "_n", "_types", "_names")
     likely = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
-    some = docs.where(likely).withColumn("_key", text_key(F.col(text)))
-    found = some.select("_key", find_entities(F.col(text)).alias("entities")).where(F.size("entities") > 0)
-    entities = written(found.groupBy("_key").agg(F.max("entities").alias("entities")), "entities")
+    some = docs.where(likely).withColumn(of_key, text_key(F.col(text)))
+    found = some.select(F.col(of_key).alias("key"), find_entities(F.col(text)).alias("entities")).where(F.size("entities") > 0)
+    entities = written(found.groupBy("key").agg(F.max("entities").alias("entities")), "entities")
 
-    each = entities.select("_key", F.posexplode("entities").alias("at", "entity"))
+    each = entities.select("key", F.posexplode("entities").alias("at", "entity"))
     typed = each.withColumn("type", entity_type(F.col("entity")))
     parts = F.regexp_extract_all("entity", _atom_pattern(F.col("type")), F.lit(0))
     split = typed.withColumn("values", F.when(F.col("type").isNotNull(), parts).otherwise(F.array().cast("array<string>")))
     occurring = (
-        split.select("_key", "at", "entity", "type", F.size("values").alias("parts"), F.posexplode_outer("values").alias("part", "value"))
+        split.select("key", "at", "entity", "type", F.size("values").alias("parts"), F.posexplode_outer("values").alias("part", "value"))
         .withColumn("kind", F.when(F.col("value").isNotNull(), _atom_kind()))
         .withColumn("norm", F.when(F.col("kind").isin(*BARE), F.regexp_replace(F.lower("value"), "[^\\p{L}0-9]", "")).otherwise(F.lower("value")))
     )
@@ -285,9 +312,11 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
 
     known = occurring.join(surrogates, ["kind", "norm"], "left")
     fresh = F.when(F.col("kind").isin(*BARE), _onto(F.col("value"), F.col("surrogate"))).otherwise(F.col("surrogate"))
-    piece = F.struct("part", _cased(F.col("value"), fresh).alias("new"))
-    whole = known.groupBy("_key", "at", "entity", "type").agg(
-        F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), piece))).alias("news")
+    known = known.withColumn("new", _cased(F.col("value"), fresh))
+    is_name = F.col("kind").isin("given_m", "given_f", "family")
+    whole = known.groupBy("key", "at", "entity", "type").agg(
+        F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("part", "new")))).alias("news"),
+        F.collect_list(F.when(is_name, F.struct("value", "new"))).alias("names"),
     )
     kept = F.split("entity", _atom_pattern(F.col("type")), -1)
     woven = F.flatten(
@@ -298,29 +327,31 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
         )
     )
     made = whole.select(
-        "_key", "at", "type", F.when(F.size("news") > 0, F.array_join(woven, "")).otherwise(F.col("entity")).alias("made")
+        "key", "at", "type", "names", F.when(F.size("news") > 0, F.array_join(woven, "")).otherwise(F.col("entity")).alias("made")
     )
-    of_text = made.groupBy("_key").agg(
-        F.array_sort(F.collect_list(F.struct("at", "made"))).alias("_made"),
-        F.count("type").alias("_n"),
-        F.array_join(F.array_sort(F.collect_set("type")), ",").alias("_types"),
+    of_text = made.groupBy(F.col("key").alias(of_key)).agg(
+        F.array_sort(F.collect_list(F.struct("at", "made"))).alias(of_made),
+        F.count("type").alias(of_n),
+        F.array_join(F.array_sort(F.collect_set("type")), ",").alias(of_types),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias(of_names),
     )
     between = F.split(F.col(text), WHOLE, -1)
+    between = F.when(F.size(of_names) > 0, F.transform(between, lambda piece: _names_again(piece, F.col(of_names)))).otherwise(between)
     rebuilt = F.array_join(
         F.flatten(
             F.zip_with(
                 between,
-                F.col("_made"),
+                F.col(of_made),
                 lambda old, new: F.array(F.coalesce(old, F.lit("")), F.coalesce(new.getField("made"), F.lit(""))),
             )
         ),
         "",
     )
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    changed = some.join(of_text, "_key", "left").select(
-        *[F.when(F.col("_n").isNull(), c).otherwise(rebuilt).alias(text) if n == text else c for n, c in zip(docs.columns, columns, strict=True)],
-        F.coalesce("_n", F.lit(0)).cast("long").alias("n_entities"),
-        F.coalesce("_types", F.lit("")).alias("entity_types"),
+    changed = some.join(of_text, of_key, "left").select(
+        *[F.when(F.col(of_n).isNull(), c).otherwise(rebuilt).alias(text) if n == text else c for n, c in zip(docs.columns, columns, strict=True)],
+        F.coalesce(of_n, F.lit(0)).cast("long").alias("n_entities"),
+        F.coalesce(of_types, F.lit("")).alias("entity_types"),
     )
     rest = docs.where(~likely).select(
         *columns, F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("entity_types")

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicspan.llm.common import let, written
+from civicspan.llm.common import let, unused, written
 
 SPACES = "[ \\t-\\r]+"
 SPACE_CHARACTERS = " \t\n\x0b\x0c\r"
@@ -117,9 +117,10 @@ def with_signals(docs: DataFrame, names: list[str], text: str = "text") -> DataF
     of_words = [name for name in names if name in WORD_SIGNALS]
     shared = let(words(source), lambda of: F.struct(*[WORD_SIGNALS[name](of).alias(name) for name in of_words]))
     kept = docs.drop(*names)
-    rows = kept.withColumn("_signals", shared) if of_words else kept
+    (all_,) = unused(docs.columns, "_signals")
+    rows = kept.withColumn(all_, shared) if of_words else kept
     columns = [
-        F.col(f"_signals.{name}") if name in WORD_SIGNALS else TEXT_SIGNALS[name](source) for name in names
+        F.col(all_)[name] if name in WORD_SIGNALS else TEXT_SIGNALS[name](source) for name in names
     ]
     return rows.select(*kept.columns, *[c.cast("long").alias(name) for c, name in zip(columns, names, strict=True)])
 

@@ -5,9 +5,10 @@ Rows with equal texts form one unit. Units are linked through the lines they sha
 a line is a node, so a line in a third of all documents has as many edges as documents, never
 their square. Each round every line takes the shard that most of its rows are in, and every unit
 wants the shard that its lines prefer, a line counting by the inverse of its rows. Wishes are
-granted, best gain first, as far as the wanted shard's quota allows. At last the units are laid
-out in the order of their shards and the row of units is cut into equal pieces: row counts differ by at
-most one and at most one unit is cut at each border.
+granted, best gain first, as far as the wanted shard's quota allows. Row counts of the shards differ by at
+most one: units larger than half a shard fill the first shards one after the other, the labels of all others are the numbers of the
+shards that are left, and only what a label has beyond its shard's room moves to shards that have room left, texts without links
+first. Lines of fewer than ``least_line`` characters (20) make no link: they say little of what two texts have in common.
 
 Defined cases: a null text counts as eight bytes and has crc32 0, as the empty one; null and empty texts are one
 unit; equal rows get different slots; units larger than a shard fill shards of their own; an empty table gives an
@@ -16,6 +17,9 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +34,10 @@ GAIN_STEPS, TIE_STEPS = 32, 64
 LEAST_LINE = 20
 
 
-def prepare(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def prepare(docs: DataFrame, key: str = "doc_id", text: str = "text", least_line: int = LEAST_LINE) -> DataFrame:
     """A row of each document without its text: id, size, crc32, its unit, and the hashes of its lines."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(whole, "\n"), lambda line: F.length(line) >= LEAST_LINE)
+    lines = F.filter(F.split(whole, "\n"), lambda line: F.length(line) >= least_line)
     return docs.select(
         F.col(key).alias("doc_id"),
         (F.octet_length(whole) + 8).cast("long").alias("size"),
@@ -49,18 +53,46 @@ def units_and_edges(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     units = written(units, "units")
     pairs = units.select("unit", "n", F.explode("lines").alias("line"))
     shared = pairs.groupBy("line").agg(F.count("*").alias("units"), F.sum("n").alias("rows")).where("units > 1")
+    # A table, so that a line in very many units is a skewed side that Spark splits.
+    shared = written(shared, "shared-lines")
     edges = pairs.join(shared, "line").select("unit", "line", "n", (1.0 / F.col("rows")).alias("weight"))
     return units.select("unit", "n"), written(edges, "edges")
 
 
-def first_labels(units: DataFrame, shards: int) -> DataFrame:
-    """Labels from 0 by hash; a unit larger than half a shard gets the label -1 and stays out of the rounds."""
+def _begin(shard: int, total: int, shards: int) -> int:
+    """The first row of a shard, if all rows are in a line."""
+    return -(-shard * total // shards)
+
+
+@dataclass(frozen=True)
+class Room:
+    """``free`` gives for each shard that large units leave room in how many rows they leave; ``large`` is the rows of these units."""
+
+    total: int
+    large: int
+    shards: int
+
+    @property
+    def free(self) -> dict[int, int]:
+        ends = {k: (_begin(k, self.total, self.shards), _begin(k + 1, self.total, self.shards)) for k in range(self.shards)}
+        left = {k: end - max(begin, self.large) for k, (begin, end) in ends.items()}
+        return {k: n for k, n in left.items() if n > 0}
+
+
+def first_labels(units: DataFrame, shards: int) -> tuple[DataFrame, Room]:
+    """Labels by hash, the number of a shard, as often as the shard has room; and the room. A unit larger than half a shard gets the
+    label -1 and stays out of the rounds."""
     total = units.agg(F.sum("n")).first()[0] or 0
-    label = F.pmod(F.xxhash64("unit", F.lit(1)), F.lit(shards))
-    return units.withColumn("label", F.when(F.col("n") * 2 * shards > total, -1).otherwise(label).cast("int"))
+    is_large = F.col("n") * 2 * shards > total
+    room = Room(total, units.where(is_large).agg(F.sum("n")).first()[0] or 0, shards)
+    ends = list(accumulate(room.free.values()))
+    place = F.pmod(F.xxhash64("unit", F.lit(1)), F.lit(max(total - room.large, 1)))
+    passed = F.size(F.filter(F.array(*[F.lit(end).cast("long") for end in ends or [1]]), lambda end: end <= place))
+    label = F.get(F.array(*[F.lit(k) for k in room.free or [0]]), passed)
+    return units.withColumn("label", F.when(is_large, -1).otherwise(label).cast("int")), room
 
 
-def propagate(labels: DataFrame, edges: DataFrame, shards: int, turn: int = 0, slack: float = 0.05) -> DataFrame:
+def propagate(labels: DataFrame, edges: DataFrame, room: Room, turn: int = 0, slack: float = 0.05) -> DataFrame:
     """One round, the number ``turn``: ``unit, n, label`` after the moves that the quotas allow.
 
     What is broadcast has at most one row a shard and step of gain.
@@ -91,7 +123,7 @@ def propagate(labels: DataFrame, edges: DataFrame, shards: int, turn: int = 0, s
 
     sizes = now.groupBy("label").agg(F.sum("n").alias("size"))
     asked = now.where("wish is not null").groupBy("label", "wish", "rank").agg(F.sum("n").alias("n"))
-    plan = _grant(sizes.collect(), asked.collect(), shards, slack)  # at most shards ** 2 * steps rows
+    plan = _grant(sizes.collect(), asked.collect(), room.free, slack)  # at most shards ** 2 * steps rows
     granted = labels.sparkSession.createDataFrame(plan, "label int, wish int, least long")
     moved = now.join(F.broadcast(granted), ["label", "wish"], "left").select(
         "unit", "n", F.when(F.col("rank") >= F.col("least"), F.col("wish")).otherwise(F.col("label")).cast("int").alias("label")
@@ -99,11 +131,11 @@ def propagate(labels: DataFrame, edges: DataFrame, shards: int, turn: int = 0, s
     return moved.unionByName(labels.where("label < 0"))
 
 
-def _grant(sizes: list, asked: list, shards: int, slack: float) -> list[tuple[int, int, int]]:
+def _grant(sizes: list, asked: list, free: dict[int, int], slack: float) -> list[tuple[int, int, int]]:
     """For each pair of shards the least rank that may move: best ranks first, while the target keeps its quota."""
-    size = dict.fromkeys(range(shards), 0)
+    size = dict.fromkeys(free, 0)
     size.update({row["label"]: row["size"] for row in sizes})
-    quota = sum(size.values()) / shards * (1 + slack)
+    quota = {label: n * (1 + slack) for label, n in free.items()}
     least: dict[tuple[int, int], int] = {}
     waiting = sorted(asked, key=lambda row: (-row["rank"], row["label"], row["wish"]))
     closed: set[tuple[int, int]] = set()
@@ -113,7 +145,7 @@ def _grant(sizes: list, asked: list, shards: int, slack: float) -> list[tuple[in
         blocked = set(closed)
         for row in waiting:
             pair = (row["label"], row["wish"])
-            if pair in blocked or size[row["wish"]] + row["n"] > quota:
+            if pair in blocked or size[row["wish"]] + row["n"] > quota[row["wish"]]:
                 blocked.add(pair)
                 turned_down.append(row)
                 continue
@@ -133,55 +165,69 @@ def cut_weight(labels: DataFrame, edges: DataFrame) -> float:
     return 1.0 - row["main"] / row["all"] if row["all"] else 0.0
 
 
-def lay_out(rows: DataFrame, labels: DataFrame, shards: int) -> DataFrame:
-    """``doc_id, size, text_crc32, shard, slot``: the rows in the order of labels and units, cut into equal pieces.
+def lay_out(rows: DataFrame, labels: DataFrame, edges: DataFrame, room: Room) -> DataFrame:
+    """``doc_id, size, text_crc32, shard, slot``: rows in the shards of their labels, what is too much in others.
 
-    Positions are counted in three steps, each over bounded groups: a row among the rows of its part of
-    a unit, a unit's part among a range of units of a label, the ranges among all.
+    Positions in a label are counted in three steps, each over bounded groups: a row among the rows of its part of
+    a unit, a unit's part among a range of units of a label, the ranges among the label's.
     """
     part = F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(PARTS)).cast("int")
     rows = rows.select("doc_id", "size", "text_crc32", "unit", part.alias("part"))
     counts = rows.groupBy("unit", "part").agg(F.count("*").alias("rows"))
-    ranges = RANGES + (labels.agg(F.sum("n")).first()[0] or 0) // ROWS_A_RANGE
+    ranges = RANGES + room.total // ROWS_A_RANGE
     spread = F.pmod(F.xxhash64("unit", F.lit(3)), F.lit(ranges)).cast("int")
-    # Units of several rows keep to the middle ranges of a label, away from the cuts.
-    middle = F.when(F.col("n") > 1, F.lit(ranges // 4) + spread / 2).otherwise(spread).cast("int")
-    placed = counts.join(labels, "unit").withColumn("range", middle).drop("n")
+    # What has copies or links comes first in a label, far from the rows that may have to leave it.
+    linked = edges.select("unit").distinct().withColumn("linked", F.lit(True))
+    held = (F.col("n") > 1) | F.col("linked").isNotNull()
+    placed = counts.join(labels.join(linked, "unit", "left"), "unit")
+    placed = placed.withColumn("range", F.when(held, spread).otherwise(spread + ranges)).drop("n", "linked")
     # Within a large unit the parts differ, so that the order inside a range is by unit and part.
     placed = written(placed, "places")
     filled = placed.groupBy("label", "range").agg(F.sum("rows").alias("rows")).orderBy("label", "range")
-    offsets, total = [], 0
-    for row in filled.collect():  # at most (shards + 1) * ranges rows
-        offsets.append((row["label"], row["range"], total))
-        total += row["rows"]
-    if not total:
-        offsets = [(0, 0, 0)]
+    offsets, size = [], {}
+    for row in filled.collect():  # at most (shards + 1) * 2 * ranges rows
+        before = size.get(row["label"], 0)
+        offsets.append((row["label"], row["range"], before))
+        size[row["label"]] = before + row["rows"]
     spark = rows.sparkSession
-    starts = F.broadcast(spark.createDataFrame(offsets, "label int, range int, range_start long"))
+    starts = F.broadcast(spark.createDataFrame(offsets or [(0, 0, 0)], "label int, range int, range_start long"))
     before = Window.partitionBy("label", "range").orderBy("unit", "part").rowsBetween(Window.unboundedPreceding, -1)
     parts = placed.withColumn("inside", F.coalesce(F.sum("rows").over(before), F.lit(0)))
     parts = parts.join(starts, ["label", "range"]).select(
-        "unit", "part", (F.col("range_start") + F.col("inside")).alias("start")
+        "unit", "part", "label", (F.col("range_start") + F.col("inside")).alias("start")
     )
     order = Window.partitionBy("unit", "part").orderBy("doc_id")
     numbered = rows.withColumn("row", F.row_number().over(order) - 1).join(parts, ["unit", "part"])
-    position = F.col("start") + F.col("row")
-    # Shard i begins at ceil(i * total / shards).
-    shard = F.expr(f"(start + row) * {shards}L div {max(total, 1)}L").cast("int")
-    begin = F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")
-    return (
-        numbered.withColumn("position", position)
-        .withColumn("shard", shard)
-        .withColumn("slot", (F.col("position") - begin).cast("long"))
-        .select("doc_id", "size", "text_crc32", "shard", "slot")
+    at = numbered.withColumn("position", F.col("start") + F.col("row"))
+
+    total, shards, free = room.total, room.shards, room.free
+    first = {k: max(_begin(k, total, shards), room.large) - _begin(k, total, shards) for k in free}
+    keeps = [(k, n, first[k]) for k, n in free.items()]
+    too_many = [max(size.get(k, 0) - n, 0) for k, n in free.items()]
+    too_few = [max(n - size.get(k, 0), 0) for k, n in free.items()]
+    outs = [sum(too_many[:i]) for i in range(len(keeps))]
+    ins = [(sum(too_few[:i]), sum(too_few[: i + 1]), k, first[k] + size.get(k, 0)) for i, k in enumerate(free) if too_few[i]]
+    plan = [(k, n, slot, out) for (k, n, slot), out in zip(keeps, outs, strict=True)] + [(-1, total, 0, 0)]
+    known = F.broadcast(spark.createDataFrame(plan, "label int, room long, first_slot long, surplus_start long"))
+    at = at.join(known, "label")
+    gaps = F.array(*[F.struct(*[F.lit(v).cast("long").alias(c) for c, v in zip(("a", "b", "shard", "slot"), g, strict=True)]) for g in ins or [(0, 0, 0, 0)]])
+    surplus = F.col("surplus_start") + F.col("position") - F.col("room")
+    gap = F.get(F.filter(gaps, lambda g: (g["a"] <= surplus) & (surplus < g["b"])), F.lit(0))
+    of_large = F.expr(f"position * {shards}L div {max(total, 1)}L")
+    shard = F.when(F.col("label") < 0, of_large).when(F.col("position") < F.col("room"), F.col("label")).otherwise(gap["shard"])
+    slot = (
+        F.when(F.col("label") < 0, F.col("position") - F.expr(f"(position * {shards}L div {max(total, 1)}L * {total}L + {shards - 1}) div {shards}"))
+        .when(F.col("position") < F.col("room"), F.col("first_slot") + F.col("position"))
+        .otherwise(gap["slot"] + surplus - gap["a"])
     )
+    return at.select("doc_id", "size", "text_crc32", shard.cast("int").alias("shard"), slot.cast("long").alias("slot"))
 
 
-def balanced_shards(docs: DataFrame, shards: int = 24, rounds: int = 3) -> DataFrame:
-    rows = written(prepare(docs), "shard-rows")
+def balanced_shards(docs: DataFrame, shards: int = 24, rounds: int = 3, least_line: int = LEAST_LINE) -> DataFrame:
+    rows = written(prepare(docs, least_line=least_line), "shard-rows")
     units, edges = units_and_edges(rows)
-    labels = written(first_labels(units, shards), "labels")
+    labels, room = first_labels(units, shards)
+    labels = written(labels, "labels")
     for turn in range(rounds):
-        labels = written(propagate(labels, edges, shards, turn), "labels")
-    return lay_out(rows, labels, shards)
-
+        labels = written(propagate(labels, edges, room, turn), "labels")
+    return lay_out(rows, labels, edges, room)

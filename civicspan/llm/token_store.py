@@ -13,6 +13,7 @@ an empty table gives an empty store; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -135,16 +136,28 @@ def _block(shard: int, block: int, keys: list[int | None], ids: list[bytes], wid
     }
 
 
+def id_width(content: str, end_id: int) -> int:
+    """The bytes that hold every id of a vocabulary, and the end: 2 or 4."""
+    held = json.loads(content)
+    ids = [*held["model"]["vocab"].values(), *(token["id"] for token in held.get("added_tokens", [])), end_id]
+    return 2 if max(ids) < 1 << 16 else 4
+
+
 def write_store(
-    docs: DataFrame, vocabulary: str, end_id: int = 2, width: int = 2, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, vocabulary: str, end_id: int = 2, width: int | None = None, key: str = "doc_id", text: str = "text"
 ) -> str:
     """Encodes the documents, each followed by ``end_id``, and writes the blocks; returns the store's path.
 
-    Texts are dealt to ranges of document ids before they are encoded, as they are smaller than
+    Ids are ``width`` bytes wide, by default as wide as the vocabulary needs; fewer raise ValueError. Texts are dealt to ranges of document ids before they are encoded, as they are smaller than
     their ids; a block is full at 2**20 ids, and a longer document has one for itself.
     """
     spark = docs.sparkSession
-    content = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
+    vocabulary_json = read_vocabulary(vocabulary)
+    needed = id_width(vocabulary_json, end_id)
+    width = width or needed
+    if width < needed:
+        raise ValueError(f"ids of this vocabulary need {needed} bytes")
+    content = spark.sparkContext.broadcast(vocabulary_json)
     path = fresh_path(spark, "token-store")
     end = np.array([end_id], "<u4").tobytes()
 
@@ -196,7 +209,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         for batch in small_batches(batches, 1):
             row = batch.to_pylist()[0]
             ids = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4")
-            bounds = EliasFano.from_bytes(row["bounds"]).values().astype(np.int64)
+            boundaries = EliasFano.from_bytes(row["bounds"])
+            bounds = np.array([boundaries[i] for i in range(boundaries.n)], np.int64)  # each by its select
             keys = [None] * row["nulls"]
             keys += [row["first"] + int(k) for k in EliasFano.from_bytes(row["doc_ids"]).values()]
             n = row["n_docs"]

@@ -289,6 +289,8 @@ def test_classes_equal_brute_force(spark, sf_dir):
     got = {r["doc_id"]: r["class_id"] for r in queries.op6_order_minhash(spark, sf_dir).collect()}
     wrong = [i for i in docs if got[i] != root(i)]
     assert len(wrong) <= 0.002 * len(docs)
+    linked = [(a, b) for a, b in pairs if docs[a] != docs[b] and order_minhash.similar(hashed[a], hashed[b])]
+    assert linked and sum(got[a] == got[b] for a, b in linked) >= 0.95 * len(linked)
 
 
 def test_large_groups_of_copies_and_chains(spark):
@@ -316,6 +318,25 @@ def edited(some, words, edits):
     return made
 
 
+@pytest.mark.parametrize(
+    ("passage", "own", "edits", "words"),
+    [(150, 60, 30, 100_000), (100, 100, 40, 5000), (160, 50, 40, 20_000), (155, 45, 36, 20_000)],
+)
+def test_recall_of_links_among_texts_with_a_passage(spark, passage, own, edits, words):
+    """Of pairs in a crowd of 400 texts that share a passage and are no links; down to the similarity of 0.81."""
+    some = random.Random(passage + edits)
+    shared = [f"p{i}" for i in range(passage)]
+    texts = [shared + [f"w{some.randrange(words)}" for _ in range(own)] for _ in range(300)]
+    copies = [shared + edited(some, t[passage:], edits) for t in texts[:100]]
+    rows = [(i, " ".join(t)) for i, t in enumerate([*texts, *copies])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(docs).collect()}
+    hashed = {i: order_minhash.word_hashes(t.encode()) for i, t in rows}
+    linked = [(i, i + 300) for i in range(100) if order_minhash.similar(hashed[i], hashed[i + 300])]
+    assert len(linked) >= 95 and sum(got[a] == got[b] for a, b in linked) >= 0.9 * len(linked)
+    assert all(got[i] == i for i in range(300) if not any(order_minhash.similar(hashed[i], hashed[j]) for j in range(i)))
+
+
 def test_links_behind_the_hubs_of_a_shared_passage(spark):
     some = random.Random(11)
     passage = [f"p{i}" for i in range(150)]
@@ -326,7 +347,7 @@ def test_links_behind_the_hubs_of_a_shared_passage(spark):
     assert got == {i: i - 160 if i >= 160 else i for i in got} and len(got) == 200
 
 
-@pytest.mark.parametrize(("n", "edits"), [(200, 20), (200, 30), (200, 40), (20, 3), (20, 4), (10, 1), (10, 2), (5, 1)])
+@pytest.mark.parametrize(("n", "edits"), [(200, 20), (200, 30), (200, 40), (150, 30), (100, 20), (80, 16), (65, 13), (64, 12), (40, 8), (20, 3), (20, 4), (10, 1), (10, 2), (5, 1)])
 def test_linked_pairs_meet(n, edits):
     some = random.Random(n + edits)
     met = 0
@@ -337,6 +358,36 @@ def test_linked_pairs_meet(n, edits):
     assert met >= 0.98 * 300
 
 
+def test_ids_over_16_bits_are_kept(spark, tmp_path):
+    """A vocabulary with an added token of a large number."""
+    import json
+
+    content = json.loads(bpe.read_vocabulary(queries.vocabulary_path()))
+    content["added_tokens"].append(
+        {"id": 70_000, "content": "<far>", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+    )
+    path = tmp_path / "far.json"
+    path.write_text(json.dumps(content))
+    docs = spark.createDataFrame([(1, "<far> a"), (2, "b")], "doc_id long, text string")
+    assert token_store.id_width(path.read_text(), 2) == 4 and token_store.id_width(bpe.read_vocabulary(queries.vocabulary_path()), 2) == 2
+    read = token_store.read_documents(spark, token_store.write_store(docs, str(path))).collect()
+    expected = Tokenizer.from_file(str(path))
+    for row in read:
+        text = {1: "<far> a", 2: "b"}[row["doc_id"]]
+        assert np.frombuffer(row["ids"], "<u4").tolist() == [*expected.encode(text, add_special_tokens=False).ids, 2]
+    with pytest.raises(ValueError, match="need 4 bytes"):
+        token_store.write_store(docs, str(path), width=2)
+    wide = token_store.read_documents(spark, token_store.write_store(docs, queries.vocabulary_path(), end_id=70_000)).collect()
+    assert all(np.frombuffer(r["ids"], "<u4")[-1] == 70_000 for r in wide)
+
+
+def test_items_are_counted_by_words_whatever_separates_them(spark):
+    items = [(f"i{k}", "\n".join(f"w{k}x{j}" for j in range(50))) for k in range(20)]
+    frame = spark.createDataFrame(items, "item_id string, text string")
+    blocks = list(decontamination.item_blocks(frame, 100, "item_id", "text"))
+    assert len(blocks) == 10 and sum(map(len, blocks)) == 20
+
+
 def test_near_duplicates_of_messy_rows(messy, nothing):
     got = collections.Counter((r["doc_id"], r["class_id"]) for r in order_minhash.near_duplicates(messy).collect())
     assert got[(1, 1)] == 1 and got[(2, 1)] == 2
