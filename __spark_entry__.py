@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from functools import reduce
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -14,7 +15,7 @@ from pyspark.sql.types import DecimalType  # noqa: E402
 
 import oracle  # noqa: E402
 from civicspan.functions.text import recode_age, tract_key  # noqa: E402
-from civicspan.operators import quality  # noqa: E402
+from civicspan.operators import cascade, quality  # noqa: E402
 from civicspan.operators.cascade import cascade_delete  # noqa: E402
 from civicspan.operators.joins import decode  # noqa: E402
 from civicspan.operators.publish import publish, publish_version, read_published  # noqa: E402
@@ -263,6 +264,16 @@ def geo_features_scan(spark: SparkSession, folder: str) -> DataFrame:
     return features.withColumn("place", F.col("properties")["NAME"]).drop("properties")
 
 
+def geo_features_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Each collection in a file of its own, with further members and line breaks, as it is downloaded."""
+    path = fresh_path(spark, "feature-files")
+    spread = F.regexp_replace("value", r'"features":\[', '"crs": {"type": "name", "properties": {"name": "}]{"}},\n"features" : [\n')
+    lines = Star(spark, folder).feature_documents().select(F.regexp_replace(spread, r"\},\{", "},\n  {"))
+    lines.write.option("maxRecordsPerFile", 1).text(path)
+    features = documents.read_features(spark, path)
+    return features.withColumn("place", F.col("properties")["NAME"]).drop("properties")
+
+
 def _features(spark: SparkSession, folder: str) -> DataFrame:
     features = Star(spark, folder).geo_features().drop("properties")
     return features.withColumn("TRACT", F.col("GEODESC"))
@@ -356,6 +367,28 @@ def cascade_subset(t: Tables) -> DataFrame:
     return cascade_delete(t, "nibrs_month", F.col("data_year") == 1996)["nibrs_victim_offense"]
 
 
+def cascade_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows that are left of tables laid out by state and year, after a cascading removal in place."""
+    t, root, journal = star_tables(spark, folder), fresh_path(spark, "lake"), fresh_path(spark, "journal")
+    drop = t["nibrs_incident"].select(
+        "incident_id", "data_year", F.concat(F.lit("S"), F.col("agency_id") % 3).alias(delimited.STATE_FOLDER)
+    )
+    state = F.concat(F.lit("S"), F.col("agency_id") % 3).alias(delimited.STATE_FOLDER)
+    of_victim = t["nibrs_victim"].select("victim_id", "incident_id").join(drop, "incident_id").drop("incident_id")
+    rows = {name: t[name].select("*", state) for name in ("nibrs_month", "nibrs_incident")}
+    rows |= {name: t[name].join(drop, "incident_id") for name in ("nibrs_offense", "nibrs_arrestee", "nibrs_victim")}
+    rows["nibrs_victim_offense"] = t["nibrs_victim_offense"].join(of_victim, "victim_id")
+    for name, facts in rows.items():
+        delimited.append_drop(facts, f"{root}/{name}", tuple(cascade.FOLDERS), several_years=True)
+    cascade.prepare_stored_delete(spark, root, list(rows), "nibrs_month", F.col("data_year") == 1996, journal)
+    cascade.finish_stored_delete(spark, root, journal)
+    counts = [
+        spark.read.parquet(f"{root}/{name}").agg(F.count("*").alias("kept_rows")).select(F.lit(name).alias("table_name"), "kept_rows")
+        for name in CASCADED
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def cascade_counts(t: Tables) -> DataFrame:
     kept = cascade_delete(t, "nibrs_month", F.col("data_year") == 1996)
     counts = [
@@ -444,6 +477,7 @@ def _library() -> dict[str, Query]:
         "acs_tract_key": acs_tract_key,
         "acs_income": acs_income,
         "geo_features_scan": geo_features_scan,
+        "geo_features_whole": geo_features_whole,
         "geo_county_tracts": geo_county_tracts,
         "tract_income_join": tract_income_join,
         "tract_value_layer": tract_value_layer,
@@ -467,6 +501,7 @@ def _library() -> dict[str, Query]:
         "validation_report": on_tables(quality.validation_report),
         "age_recode": age_recode,
         "cascade_subset": on_tables(cascade_subset),
+        "cascade_stored": cascade_stored,
         "cascade_counts": on_tables(cascade_counts),
         "point_lookup": on_tables(lookups.rows_where, table="nibrs_arrestee", column="offense_code", value="Brand#9"),
         "code_lookup": on_tables(lookups.code_table, table="nibrs_location_type"),

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
-from civicspan.sources.datasets import Tables
+from civicspan.sources.datasets import Tables, read_laid_out
+from civicspan.sources.delimited import STATE_FOLDER
 from civicspan.sources.schema import REFERENCES, Reference
 
 
@@ -26,17 +29,10 @@ def _parents_first(root: str, references: list[Reference]) -> list[str]:
     return ordered
 
 
-def cascade_delete(
-    tables: Mapping[str, DataFrame],
-    root: str,
-    condition: Column,
-    references: list[Reference] = REFERENCES,
-) -> Tables:
-    """The tables without the root rows that meet the condition and without their dependents.
-
-    Rows whose reference is NULL or already had no parent depend on nothing and stay, as a
-    cascading delete leaves them.
-    """
+def _split(
+    tables: Mapping[str, DataFrame], root: str, condition: Column, references: list[Reference]
+) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """The kept and the removed rows of the root and of every table below it, parents first."""
     links = [
         r
         for r in references
@@ -66,4 +62,89 @@ def cascade_delete(
         for more in gone[1:]:
             lost = lost.unionByName(more)
         removed[name] = lost
+    return kept, removed
+
+
+def cascade_delete(
+    tables: Mapping[str, DataFrame],
+    root: str,
+    condition: Column,
+    references: list[Reference] = REFERENCES,
+) -> Tables:
+    """The tables without the root rows that meet the condition and without their dependents.
+
+    Rows whose reference is NULL or already had no parent depend on nothing and stay, as a
+    cascading delete leaves them.
+    """
+    kept, _ = _split(tables, root, condition, references)
     return Tables({**{name: tables[name] for name in tables}, **kept})
+
+
+FOLDERS = {STATE_FOLDER: StringType(), "data_year": IntegerType()}
+STEP = f"table string, {STATE_FOLDER} string, data_year int, rows bigint"
+
+
+def _staged(spark: SparkSession, journal: str) -> list:
+    """The folders that a prepared removal replaces, or nothing."""
+    try:
+        return spark.read.schema(STEP).json(f"{journal}/steps").collect()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
+def prepare_stored_delete(
+    spark: SparkSession,
+    tables_at: str,
+    names: list[str],
+    root: str,
+    condition: Column,
+    journal: str,
+    references: list[Reference] = REFERENCES,
+) -> None:
+    """Work out a cascading removal from tables laid out by state and year, and write it down in the folder ``journal``.
+
+    Staged are the rows that stay of every folder that loses some, and last the list of these folders. The tables
+    themselves are not touched yet. A journal that is complete is left as it is.
+    """
+    if _staged(spark, journal):
+        return
+    tables = {name: read_laid_out(spark, f"{tables_at}/{name}", FOLDERS) for name in names}
+    kept, removed = _split(tables, root, condition, references)
+    steps = []
+    for name, lost in removed.items():
+        touched = lost.groupBy(*FOLDERS).agg(F.count("*").alias("removed"))
+        touched = touched.collect()  # folders: a state and year each
+        if not touched:
+            continue
+        wanted = spark.createDataFrame([(r[STATE_FOLDER], r["data_year"]) for r in touched], f"{STATE_FOLDER} string, data_year int")
+        rest = kept[name].join(F.broadcast(wanted), list(FOLDERS), "left_semi").select(tables[name].columns)
+        rest.write.mode("overwrite").partitionBy(*FOLDERS).parquet(f"{journal}/rows/{name}")
+        left = {}
+        if any(rest.take(1)):
+            staged = read_laid_out(spark, f"{journal}/rows/{name}", FOLDERS)
+            left = {(r[STATE_FOLDER], r["data_year"]): r["n"] for r in staged.groupBy(*FOLDERS).agg(F.count("*").alias("n")).collect()}
+        steps += [(name, r[STATE_FOLDER], r["data_year"], left.get((r[STATE_FOLDER], r["data_year"]), 0)) for r in touched]
+    if steps:
+        spark.createDataFrame(steps, STEP).coalesce(1).write.mode("overwrite").json(f"{journal}/steps")
+
+
+def finish_stored_delete(spark: SparkSession, tables_at: str, journal: str) -> list[tuple[str, str, int, int]]:
+    """Put the staged rows in place of the folders of a prepared removal; returns these with the rows that stay.
+
+    Each folder is replaced from the journal alone, so that a run that was cut short is finished by another one. The
+    folders that lose nothing are not written."""
+    steps = [tuple(r) for r in _staged(spark, journal)]
+    for name in dict.fromkeys(step[0] for step in steps):
+        own = [step for step in steps if step[0] == name]
+        if any(rows for *_, rows in own):
+            staged = read_laid_out(spark, f"{journal}/rows/{name}", FOLDERS)
+            writer = staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy(*FOLDERS).parquet(f"{tables_at}/{name}")
+        for _, state, year, rows in own:
+            if not rows:
+                folder = f"{tables_at}/{name}/{STATE_FOLDER}={state}/data_year={year}"
+                empty = read_laid_out(spark, f"{tables_at}/{name}", FOLDERS).drop(*FOLDERS)
+                spark.createDataFrame([], empty.schema).write.mode("overwrite").parquet(folder)
+    return steps

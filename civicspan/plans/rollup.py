@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
 
 from civicspan.plans.clearance import agency_clearances
-from civicspan.sources.datasets import Tables
+from civicspan.sources.datasets import Tables, read_laid_out
 from civicspan.sources.delimited import STATE_FOLDER
 from civicspan.sources.fingerprints import input_files, mark_of
 from civicspan.sources.schema import REGISTRY
@@ -98,6 +98,5 @@ def refresh(spark: SparkSession, root: str, store: str) -> list[tuple[str, int]]
 def stored_counts(spark: SparkSession, store: str) -> DataFrame:
     """The counts per state, agency, year and offense name of all drops that are still there."""
     live = _marks(spark, store).filter("mark IS NOT NULL").select(*DROP)
-    found = spark.read.parquet(f"{store}/counts").schema
-    named = StructType([f for f in found if f.name not in DROP]).add(STATE_FOLDER, StringType()).add("data_year", IntegerType())
-    return spark.read.schema(named).parquet(f"{store}/counts").join(live, DROP, "left_semi")
+    counts = read_laid_out(spark, f"{store}/counts", {STATE_FOLDER: StringType(), "data_year": IntegerType()})
+    return counts.join(live, DROP, "left_semi")

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from civicspan.sources.schema import REGISTRY
 
@@ -63,3 +64,10 @@ def parquet_tables(spark: SparkSession, root: str, names: list[str] | None = Non
         return lambda: spark.read.schema(schema).parquet(f"{root}/{name}").select(schema.fieldNames())
 
     return Tables({name: reader(name) for name in names or REGISTRY})
+
+
+def read_laid_out(spark: SparkSession, path: str, folders: Mapping[str, DataType]) -> DataFrame:
+    """A Parquet table whose subfolders are named by columns, which get these types and not those that Spark would guess."""
+    found = spark.read.parquet(path).schema
+    fields = [f for f in found if f.name not in folders] + [StructField(name, kind) for name, kind in folders.items()]
+    return spark.read.schema(StructType(fields)).parquet(path)

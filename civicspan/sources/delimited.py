@@ -251,16 +251,18 @@ def load_drop(
     """
     encodings = encodings or {}
     names = list(names or REGISTRY)
+    whole = read_drop(spark, folder, encodings)
+    bad: dict[str, DataFrame] = {}
     if rejects:
         paths = {name: f"{folder}/{any_case(name + '.csv')}" for name in names}
         both = {name: read_table_with_rejects(spark, name, paths[name], encodings.get(name, "UTF-8")) for name in names}
-        tables = {name: good for name, (good, _) in both.items()}
-        for name, (_, bad) in both.items():
-            write_rejects(bad, rejects, name, drop or folder.rstrip("/").rsplit("/", 1)[-1])
+        tables = {name: rows for name, (rows, _) in both.items()}
+        bad = {name: lines for name, (_, lines) in both.items()}
     else:
-        whole = read_drop(spark, folder, encodings)
         tables = {name: whole[name] for name in names}
-    state = state or drop_state(read_drop(spark, folder, encodings))
+    state = state or drop_state(whole)
+    for name, lines in bad.items():
+        write_rejects(lines, rejects, name, drop or folder.rstrip("/").rsplit("/", 1)[-1])
     placed = {
         name: rows.withColumn(STATE_FOLDER, F.lit(state)) if "data_year" in REGISTRY[name].columns else rows
         for name, rows in tables.items()

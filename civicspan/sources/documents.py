@@ -1,12 +1,13 @@
 """JSON inputs: the source manifest, census income responses and tract features.
 
 Each reader takes either files that hold one document each (as they are downloaded) or,
-with ``per_line=True``, files with one document per line, which Spark can split.
+with ``per_line=True``, files with one document per line, which Spark can split. Feature collections are read in
+splits in both forms.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MANIFEST_SCHEMA = """
@@ -76,10 +77,116 @@ def county_rows(rows: DataFrame, state: str, county: str) -> DataFrame:
     return rows.filter((F.col("state") == state) & (F.col("county") == county))
 
 
+def _count(text: F.Column, character: str) -> F.Column:
+    return F.char_length(text) - F.char_length(F.replace(text, F.lit(character), F.lit("")))
+
+
+def _outside_strings(text: F.Column, inside: bool) -> F.Column:
+    """What of a text without escapes is outside its strings, if it begins ``inside`` one or not."""
+    begun = F.regexp_replace(text, '(?s)^[^"]*("|$)', "") if inside else text
+    return F.regexp_replace(begun, '(?s)"[^"]*("|$)', "")
+
+
+def feature_texts(spark: SparkSession, path: str) -> DataFrame:
+    """``file, feature``: the JSON text of every member of the files' feature arrays, whole files of any size.
+
+    A file is read in splits, cut at closing braces; no task holds more of it than a feature. Which braces are within strings and how
+    deep they are follows from what comes before, so it is added up twice: within each split, for both cases of
+    whether the split begins within a string, and over the splits of each file, a row each. A piece after which one brace
+    and one bracket are open ends a member of the array.
+    """
+    pieces = spark.read.text(path, lineSep="}").select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        F.col("value").alias("piece"),
+    )
+    bare = F.regexp_replace("piece", r"(?s)\\.", "")
+    # Within a split, in the order of the file.
+    order = Window.partitionBy("file", "block").orderBy("at")
+    before, up_to = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    counted = pieces.withColumn("bare", bare).withColumn("quotes", _count(F.col("bare"), '"'))
+    counted = counted.withColumn("quotes_before", F.coalesce(F.sum("quotes").over(before), F.lit(0)))
+    for start in (0, 1):
+        inside = (F.col("quotes_before") + start) % 2 == 1
+        outside = F.when(inside, _outside_strings(F.col("bare"), True)).otherwise(_outside_strings(F.col("bare"), False))
+        closes = F.when((F.col("quotes_before") + start + F.col("quotes")) % 2 == 0, 1).otherwise(0)
+        counted = counted.withColumn(f"outside{start}", outside).withColumns(
+            {
+                f"braces{start}": _count(F.col(f"outside{start}"), "{") - closes,
+                f"brackets{start}": _count(F.col(f"outside{start}"), "[") - _count(F.col(f"outside{start}"), "]"),
+                f"closes{start}": closes,
+            }
+        )
+    depths = [f"{what}{start}" for what in ("braces", "brackets") for start in (0, 1)]
+    running = counted.select(
+        "file", "block", "at", "piece", "quotes", "quotes_before", "closes0", "closes1", *depths, *[F.sum(c).over(up_to).alias(f"{c}_here") for c in depths]
+    )
+    # Over the splits of a file.
+    splits = running.groupBy("file", "block").agg(F.sum("quotes").alias("quotes"), *[F.sum(c).alias(c) for c in depths])
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("start", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
+    for what in ("braces", "brackets"):
+        own = F.when(F.col("start") == 1, F.col(f"{what}1")).otherwise(F.col(f"{what}0"))
+        splits = splits.withColumn(f"{what}_first", F.coalesce(F.sum(own).over(earlier), F.lit(0)))
+    placed = running.join(splits.select("file", "block", "start", "braces_first", "brackets_first"), ["file", "block"])
+    chosen = lambda c: F.when(F.col("start") == 1, F.col(f"{c[0]}1{c[1]}")).otherwise(F.col(f"{c[0]}0{c[1]}"))
+    braces = chosen(("braces", "_here")) + F.col("braces_first")
+    brackets = chosen(("brackets", "_here")) + F.col("brackets_first")
+    ends = (braces == 1) & (brackets == 1) & (chosen(("closes", "")) == 1)
+    placed = placed.select(
+        "file",
+        "block",
+        "at",
+        "piece",
+        F.when(ends, 1).otherwise(0).alias("ends"),
+        (braces - chosen(("braces", ""))).alias("open_before"),
+        ((F.col("start") + F.col("quotes_before")) % 2 == 1).alias("inside"),
+    )
+    # The number of members that end before a piece, first within its split.
+    placed = placed.withColumn("number", F.coalesce(F.sum("ends").over(before), F.lit(0)))
+    ended = placed.groupBy("file", "block").agg(F.sum("ends").alias("ends"))
+    ended = ended.select("file", "block", F.coalesce(F.sum("ends").over(earlier), F.lit(0)).alias("number_first"))
+    place = F.struct("block", "at")
+    members = (
+        placed.join(ended, ["file", "block"])
+        .groupBy("file", (F.col("number") + F.col("number_first")).alias("number"))
+        .agg(
+            F.array_sort(F.collect_list(F.struct(place.alias("place"), "piece", "open_before", "inside"))).alias("pieces"),
+            F.max(F.when(F.col("open_before") <= 1, place)).alias("begins"),
+            F.max("ends").alias("ends"),
+        )
+    )
+    # What other members of the collection come before is left out.
+    own = members.select("file", "ends", F.filter("pieces", lambda p: p["place"] >= F.col("begins")).alias("pieces"))
+    first = own.select("file", "ends", "pieces", F.get("pieces", F.lit(0)).alias("first"))
+    text = F.array_join(F.transform(F.slice("pieces", F.lit(2), F.size("pieces")), lambda p: F.concat(F.lit("}"), p["piece"])), "")
+    # Null for what follows the last member, so that nobody parses it, wherever Spark puts the filter.
+    whole = F.when(F.col("ends") == 1, F.concat(_from_member(F.col("first")), text, F.lit("}")))
+    return first.select("file", whole.alias("feature")).filter("feature IS NOT NULL")
+
+
+def _from_member(first: F.Column) -> F.Column:
+    """A piece from the brace on that opens a member of the array: the first one outside strings, or, at the beginning
+    of a file, the second."""
+    string = r'(?:[^"\\]++|\\.)*+"'
+    other = rf'[^"{{]*+(?:"{string}[^"{{]*+)*+'
+    begun = F.when(first["inside"], F.regexp_replace(first["piece"], f"(?s)^{string}", "")).otherwise(first["piece"])
+    return F.regexp_replace(
+        F.when(first["open_before"] == 0, F.regexp_replace(begun, rf"(?s)^{other}\{{", "")).otherwise(begun), f"(?s)^{other}", ""
+    )
+
+
 def read_features(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
     """One row per tract feature; the geometry stays JSON text."""
-    collections = spark.read.schema(FEATURE_SCHEMA).json(path, multiLine=not per_line, mode="FAILFAST")
-    return collections.select(F.inline("features")).select(
+    if per_line:
+        collections = spark.read.schema(FEATURE_SCHEMA).json(path, mode="FAILFAST")
+        features = collections.select(F.inline("features"))
+    else:
+        kind = "type STRING, properties MAP<STRING, STRING>, geometry STRING"
+        parsed = feature_texts(spark, path).select(F.from_json("feature", kind, {"mode": "FAILFAST"}).alias("feature"))
+        features = parsed.select("feature.*").filter("type = 'Feature'")
+    return features.select(
         F.col("properties")["GEODESC"].alias("GEODESC"),
         F.col("properties")["CNTY2010"].alias("CNTY2010"),
         "properties",

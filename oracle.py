@@ -426,6 +426,7 @@ QUERIES = {
     "acs_tract_key": 'SELECT "Census Tract" AS NAME, TRACT FROM income',
     "acs_income": "SELECT * FROM income",
     "geo_features_scan": "SELECT GEODESC, CNTY2010, place, geometry FROM features",
+    "geo_features_whole": "SELECT GEODESC, CNTY2010, place, geometry FROM features",
     "geo_county_tracts": "SELECT GEODESC AS TRACT, GEODESC, CNTY2010, geometry FROM features WHERE CNTY2010 = '24003'",
     "tract_income_join": """SELECT f.GEODESC, f.CNTY2010, f.geometry, i.*
         FROM features f JOIN income i ON i.TRACT = f.GEODESC""",
@@ -509,6 +510,9 @@ QUERIES = {
           WHEN 'NB' THEN '-3' WHEN 'BB' THEN '-4' ELSE age END AS INT) AS age_num
         FROM (SELECT *, {AGE_TEXT} AS age FROM lineitem)""",
     "cascade_subset": f"SELECT victim_id, offense_id FROM {KEPT['nibrs_victim_offense']}",
+    "cascade_stored": " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, count(*) AS kept_rows FROM {kept}" for name, kept in KEPT.items()
+    ),
     "cascade_counts": " UNION ALL ".join(
         f"SELECT '{name}' AS table_name, count(*) AS kept_rows FROM {kept}" for name, kept in KEPT.items()
     ),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pytest
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import compare
-from civicspan.operators import publish
+from civicspan.operators import cascade, publish
+from civicspan.operators.cascade import cascade_delete
 from civicspan.operators.quality import validation_report
 from civicspan.plans import clearance, reconcile, rollup
-from civicspan.sources import buckets, delimited
+from civicspan.sources import buckets, delimited, documents
 from civicspan.sources.fingerprints import fingerprint
 from civicspan.sources.schema import REGISTRY
 from micro import declared
@@ -281,3 +283,110 @@ def test_the_library_is_registered_without_the_corpus_operators(monkeypatch):
     monkeypatch.setattr(builtins, "__import__", blocked)
     assert len(entry.queries()) >= 80 and not any(name.startswith("op") and name[2].isdigit() for name in entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def written_lake(spark, root):
+    months = [(1, 2020, "MD", 2020), (2, 2021, "MD", 2021), (3, 2021, "VA", 2021), (4, 2020, "VA", 2020)]
+    incidents = [(10, 1, "MD", 2020), (11, 1, "MD", 2020), (20, 2, "MD", 2021), (30, 3, "VA", 2021), (40, 4, "VA", 2020), (41, 4, "VA", 2020)]
+    offenses = [(100 + i, i, state, year) for i, _, state, year in incidents]
+    frames = {
+        "nibrs_month": spark.createDataFrame(months, "did long, month_num int, drop_state string, data_year int"),
+        "nibrs_incident": spark.createDataFrame(incidents, "incident_id long, did long, drop_state string, data_year int"),
+        "nibrs_offense": spark.createDataFrame(offenses, "offense_id long, incident_id long, drop_state string, data_year int"),
+    }
+    for name, rows in frames.items():
+        rows.coalesce(1).write.partitionBy("drop_state", "data_year").parquet(f"{root}/{name}")
+    return frames
+
+
+def data_files(root):
+    return {str(p.relative_to(root)) for p in root.rglob("*.parquet")}
+
+
+def kept_keys(spark, root):
+    return {
+        name: sorted(r[0] for r in spark.read.parquet(f"{root}/{name}").select(key).collect())
+        for name, key in (("nibrs_month", "did"), ("nibrs_incident", "incident_id"), ("nibrs_offense", "offense_id"))
+    }
+
+
+def test_a_stored_cascade_rewrites_only_the_folders_that_lose_rows(spark, tmp_path, monkeypatch):
+    root, journal = tmp_path / "lake", f"{tmp_path}/journal"
+    frames = written_lake(spark, str(root))
+    condition = F.col("incident_id").isin(10, 20)
+    before = data_files(root)
+    cascade.prepare_stored_delete(spark, str(root), list(frames), "nibrs_incident", condition, journal)
+    assert data_files(root) == before
+    whole = cascade.read_laid_out
+    with monkeypatch.context() as patched:  # cut short at the second table's staged rows
+
+        def fails(session, path, folders):
+            if path.endswith("rows/nibrs_offense"):
+                raise RuntimeError("killed")
+            return whole(session, path, folders)
+
+        patched.setattr(cascade, "read_laid_out", fails)
+        with pytest.raises(RuntimeError):
+            cascade.finish_stored_delete(spark, str(root), journal)
+    # Preparing again works out nothing anew: parents may have lost their rows already.
+    cascade.prepare_stored_delete(spark, str(root), list(frames), "nibrs_incident", condition, journal)
+    steps = cascade.finish_stored_delete(spark, str(root), journal)
+    kept = cascade_delete(frames, "nibrs_incident", condition)
+    keys = {"nibrs_month": "did", "nibrs_incident": "incident_id", "nibrs_offense": "offense_id"}
+    assert kept_keys(spark, root) == {n: sorted(r[0] for r in kept[n].select(k).collect()) for n, k in keys.items()}
+    assert {(table, state, year) for table, state, year, _ in steps} == {
+        (n, "MD", y) for n in ("nibrs_incident", "nibrs_offense") for y in (2020, 2021)
+    }
+    untouched = {f for f in before if "drop_state=VA" in f}
+    assert untouched and untouched <= data_files(root)
+    assert cascade.finish_stored_delete(spark, str(root), journal) == steps
+    assert kept_keys(spark, root)["nibrs_offense"] == [111, 130, 140, 141]
+
+
+def test_a_stored_cascade_in_part_of_a_folder(spark, tmp_path):
+    root, journal = tmp_path / "lake", f"{tmp_path}/journal"
+    frames = written_lake(spark, str(root))
+    cascade.prepare_stored_delete(spark, str(root), list(frames), "nibrs_incident", F.col("incident_id") == 40, journal)
+    assert cascade.finish_stored_delete(spark, str(root), journal) == [("nibrs_incident", "VA", 2020, 1), ("nibrs_offense", "VA", 2020, 1)]
+    assert kept_keys(spark, root) == {"nibrs_month": [1, 2, 3, 4], "nibrs_incident": [10, 11, 20, 30, 41], "nibrs_offense": [110, 111, 120, 130, 141]}
+    other = f"{tmp_path}/other"
+    cascade.prepare_stored_delete(spark, str(root), list(frames), "nibrs_month", F.col("did") == 99, other)
+    assert cascade.finish_stored_delete(spark, str(root), other) == []
+
+
+FEATURES = [
+    {"type": "Feature", "properties": {"GEODESC": "7001.00", "CNTY2010": "24031", "NAME": 'q"}{]["\\'}, "geometry": {"type": "Point", "coordinates": [1, 2]}},
+    {"type": "Feature", "properties": {"GEODESC": "7002.00", "CNTY2010": None, "NAME": '"features": [ {'}, "geometry": None},
+    {
+        "type": "Feature",
+        "properties": {"GEODESC": "7003.00", "CNTY2010": "24031", "NAME": "é\n}}", "nested": {"a": [{"b": 1}]}},
+        "geometry": {"type": "Polygon", "coordinates": [[[1, 2], [3, 4]], []]},
+    },
+]
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+@pytest.mark.parametrize("largest_split", ["64b", "200b", "128m"])
+def test_whole_feature_files_are_read_in_splits(spark, tmp_path, indent, largest_split):
+    """Braces, brackets and quotes inside strings, members before and after the features, and splits at any place."""
+    crs = {"type": "name", "properties": {"name": 'urn "}]\\', "list": [{"x": 1}]}}
+    files = {
+        "a": {"type": "FeatureCollection", "crs": crs, "features": FEATURES * 3, "bbox": [{"z": 1}]},
+        "b": {"type": "FeatureCollection", "features": FEATURES[:1]},
+        "none": {"type": "FeatureCollection", "features": []},
+        "last": {"type": "FeatureCollection", "features": FEATURES, "crs": crs},
+    }
+    for name, content in files.items():
+        text = json.dumps(content, indent=indent, ensure_ascii=name == "a")
+        (tmp_path / f"{name}.geojson").write_text(text + ("\n" if name != "b" else ""))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", largest_split)
+    try:
+        rows = documents.read_features(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    found = sorted((r["GEODESC"], r["CNTY2010"] or "", r["properties"]["NAME"], json.loads(r["geometry"] or "null")) for r in rows)
+    all_of = FEATURES * 3 + FEATURES[:1] + FEATURES
+    expected = [(f["properties"]["GEODESC"], f["properties"]["CNTY2010"] or "", f["properties"]["NAME"], f["geometry"]) for f in all_of]
+    assert [x[:3] for x in found] == sorted(x[:3] for x in expected)
+    assert sorted(map(str, found)) == sorted(map(str, expected))
