@@ -390,3 +390,20 @@ def test_whole_feature_files_are_read_in_splits(spark, tmp_path, indent, largest
     expected = [(f["properties"]["GEODESC"], f["properties"]["CNTY2010"] or "", f["properties"]["NAME"], f["geometry"]) for f in all_of]
     assert [x[:3] for x in found] == sorted(x[:3] for x in expected)
     assert sorted(map(str, found)) == sorted(map(str, expected))
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+@pytest.mark.parametrize("largest_split", ["64b", "128m"])
+def test_whole_census_responses_are_read_in_splits(spark, tmp_path, indent, largest_split):
+    names = ["NAME", "state", 'odd ]"[ name']
+    table = [names, ["Tract 1, [A]", "24", 'x"]\\'], [None, "é{", "]]"], ['"', "", "\n[["]]
+    (tmp_path / "a.json").write_text(json.dumps(table, indent=indent))
+    (tmp_path / "b.json").write_text(json.dumps([names[::-1], ["3", "2", "1"]], indent=indent) + "\n")
+    (tmp_path / "none.json").write_text(json.dumps([names]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", largest_split)
+    try:
+        rows = [tuple(r) for r in documents.read_acs(spark, str(tmp_path), names).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(rows, key=str) == sorted([*(tuple(r) for r in table[1:]), ("1", "2", "3")], key=str)
