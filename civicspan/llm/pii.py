@@ -275,7 +275,7 @@ def _names_again(piece: Column, names: Column) -> Column:
     words = F.regexp_extract_all(piece, F.lit("\\p{L}[\\p{L}'’-]*|[^\\p{L}]+"), F.lit(0))
 
     def replaced(word: Column) -> Column:
-        stem = F.regexp_replace(word, "['’]s$", "")
+        stem = F.regexp_replace(word, "['’][sS]$", "")
         same = F.get(F.filter(names, lambda n: n["value"].isin(word, stem)), F.lit(0))["new"]
         capitals = F.get(F.filter(names, lambda n: F.upper(n["value"]).isin(word, stem)), F.lit(0))["new"]
         new = F.coalesce(same, F.upper(capitals))
