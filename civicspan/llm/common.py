@@ -48,7 +48,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def written(frame: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: computed once, and still there if an executor is lost."""
     path = fresh_path(frame.sparkSession, name)
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
@@ -58,7 +58,7 @@ def bucketed(frame: DataFrame, name: str, column: str) -> DataFrame:
     path = fresh_path(spark, name)
     listed = "_".join(path.rsplit("/", 1)[1].split("-"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    frame.write.bucketBy(buckets, column).option("path", path).saveAsTable(listed)
+    frame.write.bucketBy(buckets, column).option("compression", "zstd").option("path", path).saveAsTable(listed)
     made = spark.table(listed)
     spark.sql(f"DROP TABLE {listed}")  # only the name: the files stay, and the plan has found them
     return made
