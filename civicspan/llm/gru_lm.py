@@ -39,6 +39,8 @@ LONGEST_HEAD_WORD = 64
 FLUSH_WORDS = 300_000
 COMMON_CLASSES, CLASS_WORDS, BANDS = 24, 42, 7
 HIDDEN, LANES, WINDOW = 16, 256, 32
+#: Scoring learns nothing, so that wider steps change no result.
+SCORING_LANES = 1024
 #: Words that are packed into lanes at a time.
 PACKED_WORDS = 4_000_000
 
@@ -265,7 +267,7 @@ class Network:
         ended are left out of later windows."""
         scores = np.zeros(len(documents))
         order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
-        lanes: list[list[int]] = [[] for _ in range(min(LANES, len(documents)))]
+        lanes: list[list[int]] = [[] for _ in range(min(LANES if learn else SCORING_LANES, len(documents)))]
         sizes = np.zeros(len(lanes), dtype=np.int64)
         for i in order:
             lane = int(sizes.argmin())
