@@ -1,7 +1,8 @@
 """Match names that are written differently, such as those of local data with those of census tracts.
 
 A name is its numbers and its words. Numbers must be the same in the same order; words may differ by a few letters. Of the names
-that are left after exact matches, every way of leaving out up to that many letters is a blocking key together with the numbers: two texts
+that are left after exact matches, those with few known names of the same numbers are paired with all of these. For the others, every way of
+leaving out up to that many letters is a blocking key together with the numbers: two texts
 within so many edits always share one, so that no match is missed. Names that share a key are few, however
 large the tables are, as they have the same numbers and nearly the same letters. Pairs are then
 measured by their edit distance.
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 MOST_EDITS = 2
 #: Words of fewer letters than this for each edit must match better.
 LETTERS_AN_EDIT = 5
+#: Up to so many known names with the same numbers are compared as they are: a long name has more keys than that.
+SMALL_BLOCK = 64
 
 EXACT, NEAR, AMBIGUOUS, NONE = "exact", "near", "ambiguous", "none"
 
@@ -82,12 +85,17 @@ def match_names(
 
     block = ["numbers", *within]
     rest = wanted.join(exact, parts, "left_anti").withColumn("most", _edits_allowed(F.col("words"), most_edits)).filter("most > 0")
-    rest = rest.join(of_known.select(*block).distinct(), block, "left_semi")
-    others = of_known.withColumnRenamed("words", "known_words").join(rest.select(*block).distinct(), block, "left_semi")
+    sizes = of_known.groupBy(*block).agg(F.count("*").alias("size"))
+    others = of_known.withColumnRenamed("words", "known_words")
+    rest = rest.join(sizes, block)
+    few = rest.filter(F.col("size") <= SMALL_BLOCK).drop("size").join(others, block)
+    rest = rest.filter(F.col("size") > SMALL_BLOCK).drop("size")
+    others = others.join(rest.select(*block).distinct(), block, "left_semi")
     rest = rest.withColumn("mark", F.explode(left_out(F.col("words"), most_edits)))
     others = others.withColumn("mark", F.explode(left_out(F.col("known_words"), most_edits)))
-    pairs = rest.join(others, [*block, "mark"]).drop("mark").distinct()
-    near = pairs.withColumn("edits", F.levenshtein("words", "known_words")).filter("edits <= most")
+    # Spark estimates the marks at the size of the names that they are made from, and would broadcast them.
+    many = rest.join(others.hint("merge"), [*block, "mark"]).drop("mark").distinct()
+    near = few.unionByName(many).withColumn("edits", F.levenshtein("words", "known_words")).filter("edits <= most")
     rivals = F.greatest(F.count_distinct("found"), F.max("rivals")).alias("rivals")
     at_distance = near.groupBy(*parts, "edits").agg(F.min("found").alias("found"), rivals)
     best = at_distance.groupBy(*parts).agg(F.min(F.struct("edits", "found", "rivals")).alias("best"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,6 +30,22 @@ def matched(spark, asked, known, **options):
     return [(r.tract, r.match, r.edits) for r in made.orderBy("id").collect()]
 
 
+def test_crowded_numbers_are_matched_by_keys_that_are_not_broadcast(spark):
+    draw = random.Random(5)
+    letters = ["".join(draw.choices("abcdef", k=12)) for _ in range(matching.SMALL_BLOCK + 20)]
+    known = [(f"7 {name}", str(i)) for i, name in enumerate(letters)]
+    asked = [f"7 {name[:3]}x{name[4:]}" for name in letters[:30]] + [f"7 {name[1:8]}{name[9:]}" for name in letters[30:]]
+    rows = spark.createDataFrame([(n,) for n in asked], "place string")
+    made = matching.match_names(rows, spark.createDataFrame(known, "name string, tract string"), "place", "name", "tract")
+    found = {r.place: (r.tract, r.edits) for r in made.collect()}
+    for place in asked:
+        away = [plain_edits(place[2:], name) for name in letters]
+        best = min(away)
+        assert found[place] == ((str(away.index(best)), best) if best <= 2 and away.count(best) == 1 else (None, best if best <= 2 else None))
+    joins = re.findall(r"(\w+Join) \[[^\]]*mark", made._jdf.queryExecution().executedPlan().toString())
+    assert joins and set(joins) == {"SortMergeJoin"}
+
+
 def test_kinds_of_matches(spark):
     known = [
         ("Census Tract 7001, Montgomery County", "7001.00"),
