@@ -20,7 +20,7 @@ from civicspan.operators.cascade import cascade_delete  # noqa: E402
 from civicspan.operators.joins import decode  # noqa: E402
 from civicspan.operators.publish import publish, publish_version, read_published  # noqa: E402
 from civicspan.plans import clearance, community, incidents, lookups, reconcile, rollup, samples, tracts, views  # noqa: E402
-from civicspan.session import fresh_path, written  # noqa: E402
+from civicspan.session import fresh_path, tasks_for, written  # noqa: E402
 from civicspan.sources import delimited, documents  # noqa: E402
 from civicspan.sources.buckets import bucketed_tables, save_bucketed  # noqa: E402
 from civicspan.sources.datasets import Tables  # noqa: E402
@@ -180,7 +180,8 @@ def _bucketed(plan: Callable[..., DataFrame]) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         names = ["agencies", "nibrs_incident", "nibrs_offense", "nibrs_arrestee", "nibrs_offense_type", "nibrs_cleared_except"]
         star, path = star_tables(spark, folder), fresh_path(spark, "bucketed")
-        save_bucketed({name: star[name] for name in names}, path, buckets=8)
+        buckets = max(8, tasks_for(Star(spark, folder).raw("lineitem").count()))
+        save_bucketed({name: star[name] for name in names}, path, buckets=buckets)
         return plain(plan(bucketed_tables(spark, path)))
 
     return run

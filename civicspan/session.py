@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+SHUFFLE_SETTING = "spark.sql.shuffle.partitions"
+ADVISORY_SETTING = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+#: Rows of the largest table that one task of a shuffle gets, and the bytes up to which Spark may join small parts again.
+ROWS_A_TASK = 250_000
+ADVISED_BYTES = 8 << 20
 
 
 def local_session(app: str = "civicspan", cores: str = "*", memory: str = "8g") -> SparkSession:
@@ -26,6 +32,29 @@ def local_session(app: str = "civicspan", cores: str = "*", memory: str = "8g")
     )
 
 
+def tasks_for(rows: int) -> int:
+    """In how many parts so many rows are dealt, so that a task's memory does not grow with them."""
+    return max(1, math.ceil(rows / ROWS_A_TASK))
+
+
+def fit_shuffles(spark: SparkSession, rows: int) -> None:
+    """Have the session's next jobs deal so many rows to enough tasks; settings that already do so stay.
+
+    Small parts are joined again by adaptive execution, so that jobs on less data lose little by it."""
+    needed = tasks_for(rows)
+    if needed > int(spark.conf.get(SHUFFLE_SETTING)):
+        spark.conf.set(SHUFFLE_SETTING, str(needed))
+        advised = spark.sql(f"SET {ADVISORY_SETTING}").first()["value"]
+        spark.conf.set(ADVISORY_SETTING, str(min(_bytes(advised), ADVISED_BYTES)))
+
+
+def _bytes(text: str) -> int:
+    """A size as Spark's settings have it, such as 64MB or 16m; without a unit it is in bytes."""
+    digits = text.rstrip("bBkKmMgGtT")
+    unit = text[len(digits) :].lower()[:1]
+    return int(digits) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
