@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civicspan.session import fit_shuffles
 from civicspan.sources.datasets import Tables
 
 # Customers and suppliers are unique, so tract numbers cut into ranges bound every document.
@@ -277,6 +278,8 @@ STAR_TABLES = [
 
 
 def star_tables(spark: SparkSession, folder: str) -> Tables:
+    """The tables over one folder; the session's shuffles are fitted to its order lines, the largest of them."""
     star = Star(spark, folder)
+    fit_shuffles(spark, star.raw("lineitem").count())
     builders: dict[str, Callable[[], DataFrame]] = {name: getattr(star, name) for name in STAR_TABLES}
     return Tables(builders)
