@@ -49,8 +49,6 @@ OWN_WORDS, OWN_PAIRS = 24, 16
 FINER = 1
 #: Nodes that are compared with one hub in a task.
 NODES_A_TASK = 500
-#: Nodes, and words of each, from which it is guessed which words are common.
-SAMPLED, SAMPLED_WORDS = 500, 2000
 SIMILARITY = 0.8
 KEPT_WORDS = 500_000
 #: Hashed words times sketches that are worked on at a time.
@@ -326,11 +324,20 @@ def with_words(pairs: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
 
 
 def common_words(nodes: DataFrame) -> np.ndarray:
-    """Words that a twentieth of a few nodes have, in order. They only come last when a text is sketched."""
-    few = nodes.where("n > 0").select(F.substring("words", 1, 4 * SAMPLED_WORDS).alias("words")).limit(SAMPLED)
-    each = [np.unique(np.frombuffer(r["words"], "<u4")) for r in few.collect()]
-    values, counts = np.unique(np.concatenate([*each, np.empty(0, "<u4")]), return_counts=True)
-    return values[20 * counts > len(each) + 20]
+    """Words that a twentieth of all nodes have, in order. They only come last when a text is sketched.
+
+    These are at most twenty times as many as a text has different words on average."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            each = [np.unique(np.frombuffer(words, "<u4")) for words in batch.column("words").to_pylist()]
+            values, counts = np.unique(np.concatenate([*each, np.empty(0, "<u4")]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["word", "nodes"])
+
+    worded = nodes.where("n > 0").select("words")
+    counted = worded.mapInArrow(run, "word long, nodes long").groupBy("word").agg(F.sum("nodes").alias("nodes"))
+    often = counted.where(20 * F.col("nodes") > worded.count() + 20).collect()
+    return np.array(sorted(r["word"] for r in often), "<u4")
 
 
 def own_keys(words: np.ndarray, hub: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
