@@ -7,15 +7,16 @@ smaller their edit distance is, as moved passages change the order. In short tex
 edit: they also get sketches of one shingle of two words each.
 
 Equal texts are one node from the start. Nodes that agree in a sketch meet in its bucket, and are compared
-with a hub, one of the bucket's nodes, never all with all. A pair is a link if a banded alignment of the
+with a hub, one of the bucket's nodes, before what is left is compared all with all. A pair is a link if a banded alignment of the
 words, bit-parallel, finds an edit similarity ``1 - edits / longer`` of at least 0.8. First each node is compared with
 the hub that it meets most often, and the components of all links are formed. Then buckets that still hold
 several components choose hubs of the first and of the last component, and all their nodes of other components are
 compared with them, until that finds no further link.
 
-Hubs leave pairs of other classes in buckets of many texts that share a passage. Their texts are sketched anew by what they have beside
-the hub (``own_keys``), and meet in finer buckets, to which the same is done. So each step's rows are
-as many as nodes times sketches. Like every search by sketches this finds a linked pair with a probability, which is
+Hubs may leave pairs of other classes in buckets of many texts that share a passage. Their texts are sketched anew by what they have beside
+the hub (``own_keys``), and meet in finer buckets, to which the same is done. So each of these steps' rows are
+as many as nodes times sketches. Last, all pairs that share a bucket and are of different classes yet are
+compared (``rest_pairs``), so that hubs lose no link of a bucket. Like every search by sketches this finds a linked pair with a probability, which is
 measured by length and similarity (README) and grows with the sketches.
 
 Defined cases: null and empty texts are equal and form one class; texts without words match only equal texts;
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,8 @@ OWN_WORDS, OWN_PAIRS = 24, 16
 FINER = 1
 #: Nodes that are compared with one hub in a task.
 NODES_A_TASK = 500
+#: Places into which words are counted, to tell pairs that cannot be links.
+BAG = 128
 SIMILARITY = 0.8
 KEPT_WORDS = 500_000
 #: Hashed words times sketches that are worked on at a time.
@@ -387,6 +391,57 @@ def finer_buckets(live: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return buckets_of(written(made, "own-keys"))
 
 
+def bags_of(nodes: DataFrame) -> DataFrame:
+    """``node, bag``: how many of the node's words fall into each of ``BAG`` places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            counts = [np.bincount(np.frombuffer(w, "<u4") % BAG, minlength=BAG) for w in batch.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array([c.astype("<u4").tobytes() for c in counts], pa.binary())], names=["node", "bag"]
+            )
+
+    return nodes.select("node", "words").mapInArrow(run, "node binary, bag binary")
+
+
+def near_bags(pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs whose bags allow the similarity: each edit changes at most one word of the longer text, so that no link is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            both = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, BAG) for c in ("bag", "hub_bag")]
+            longer = np.maximum(*[bags.sum(axis=1, dtype=np.int64) for bags in both])
+            shared = np.minimum(*both).sum(axis=1, dtype=np.int64)
+            near = longer - shared <= (1 - least) * longer + 1e-9
+            yield batch.select(["node", "hub", "salts", "under", "over"]).filter(pa.array(near, pa.bool_()))
+
+    return pairs.mapInArrow(run, "node binary, hub binary, salts int, under binary, over binary")
+
+
+def rest_pairs(live: DataFrame, nodes: DataFrame, tested: DataFrame, least: float) -> DataFrame:
+    """What ``hub_pairs`` has left out: all other pairs of nodes of one bucket, from different classes, that may be links.
+
+    A bucket's nodes are dealt over tasks, each of which gets ``NODES_A_TASK`` of them and all nodes of the bucket beside; the pairs
+    are as many as the squares of buckets that are left in several classes."""
+    side = live.select("key", "node", "n", "class", "salts")
+    dealt = side.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    other = side.select(
+        "key", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("class").alias("hub_class"),
+        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+    )
+    fit = F.least("n", "hub_n") >= F.lit(least) * F.greatest("n", "hub_n")
+    met = dealt.join(other.hint("merge"), ["key", "salt"]).where((F.col("node") < F.col("hub")) & (F.col("class") != F.col("hub_class")) & fit)
+    pairs = met.groupBy("node", "hub").agg(
+        F.max("salts").alias("salts"),
+        F.first(F.least("class", "hub_class")).alias("under"),
+        F.first(F.greatest("class", "hub_class")).alias("over"),
+    )
+    pairs = pairs.join(tested.select(F.col("a").alias("node"), F.col("b").alias("hub")), ["node", "hub"], "left_anti")
+    bags = written(bags_of(nodes.join(live.select("node").distinct(), "node", "left_semi")), "bags")
+    both = pairs.join(bags, "node").join(bags.select(F.col("node").alias("hub"), F.col("bag").alias("hub_bag")), "hub")
+    return written(near_bags(both, least), "rest")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """The classes of the pairs whose alignment reaches the similarity."""
 
@@ -455,15 +510,27 @@ def link(
     return live, classes, tested
 
 
+def link_rest(
+    lives: list[DataFrame], nodes: DataFrame, classes: DataFrame | None, tested: DataFrame, least: float
+) -> DataFrame | None:
+    """The classes after every pair is compared that meets in a bucket and is of different classes yet."""
+    live = written(reduce(DataFrame.unionByName, [live_buckets(one, classes) for one in lives]), "rest-live")
+    found = written(verified(rest_pairs(live, nodes, tested, least), nodes, least), "rest-found")
+    return classes if found.isEmpty() else components(found, classes)
+
+
 def leads(docs: DataFrame, key: str, text: str, least: float, sketches: int) -> DataFrame:
     """``node, class_id, row_key`` of every distinct text: the least id of its class, and the row that has it."""
     nodes = nodes_of(docs, key, text, sketches)
     live, classes, tested = link(buckets_of(nodes), nodes, None, None, least)
+    lives = [live]
     for _ in range(FINER):
         finer = finer_buckets(live, nodes, least)
         if finer.isEmpty():
             break
         live, classes, tested = link(finer, nodes, classes, tested, least)
+        lives.append(live)
+    classes = link_rest(lives, nodes, classes, tested, least)
     ids = nodes.select("node", "least_id", "row_key")
     ids = _placed(ids, classes)
     order = F.struct(F.col("least_id").isNull(), F.col("least_id"), F.col("node"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 from civicspan.llm import order_minhash
 
@@ -13,3 +15,38 @@ def test_common_words_are_counted_over_all_nodes(spark):
     nodes = spark.createDataFrame(rows, "n long, words binary").coalesce(1).orderBy("n")
     assert order_minhash.common_words(nodes).tolist() == [7, *range(10**6, 10**6 + 2100)]
     assert order_minhash.common_words(nodes.where("n < 0")).tolist() == []
+
+
+def crowd(some, passage, own, edits, words, many, pairs):
+    shared = [f"p{i}" for i in range(passage)]
+    texts = [shared + [f"w{some.randrange(words)}" for _ in range(own)] for _ in range(many)]
+    for t in texts[:pairs]:
+        made = list(t)
+        for at in some.sample(range(passage, passage + own), edits):
+            made[at] = f"e{some.randrange(10**9)}"
+        texts.append(made)
+    return {i: " ".join(t) for i, t in enumerate(texts)}
+
+
+def test_no_link_of_a_bucket_is_lost_behind_hubs(spark):
+    docs = crowd(random.Random(4), 155, 45, 38, 20_000, 450, 150)
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(spark.createDataFrame([*docs.items()], "doc_id long, text string")).collect()}
+    hashed = {i: order_minhash.word_hashes(t.encode()) for i, t in docs.items()}
+    keys = {i: set(order_minhash.keys_of(h).tolist()) for i, h in hashed.items()}
+    linked = [(a, a + 450) for a in range(150) if order_minhash.similar(hashed[a], hashed[a + 450]) and keys[a] & keys[a + 450]]
+    assert len(linked) > 100 and [(a, b) for a, b in linked if got[a] != got[b]] == []
+
+
+def test_rest_pairs_of_large_buckets_are_all_found_once(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "NODES_A_TASK", 4)
+    some = random.Random(2)
+    texts = [order_minhash.word_hashes(t.encode()) for t in crowd(some, 20, 20, 7, 9999, 12, 6).values()]
+    name = [f"{i:02}".encode() for i in range(len(texts))]
+    nodes = spark.createDataFrame([(x, len(t), (t >> np.uint64(32)).astype("<u4").tobytes()) for x, t in zip(name, texts)], "node binary, n long, words binary")
+    buckets = spark.createDataFrame([(k, x, len(t)) for k in (1, 2) for x, t in zip(name, texts)], "key long, node binary, n long")
+    live = order_minhash.live_buckets(buckets, None)
+    tested = spark.createDataFrame([(name[0], name[12])], "a binary, b binary")
+    rest = order_minhash.rest_pairs(live, nodes, tested, 0.8).collect()
+    found = {(bytes(r["under"]), bytes(r["over"])) for r in rest}
+    linked = {(name[i], name[j]) for j in range(18) for i in range(j) if order_minhash.similar(texts[i], texts[j])}
+    assert len(rest) == len(found) and len(linked) == 6 and linked - found == {(name[0], name[12])}
