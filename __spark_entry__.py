@@ -23,7 +23,7 @@ from civicspan.plans import clearance, community, incidents, lookups, reconcile,
 from civicspan.session import fresh_path, tasks_for, written  # noqa: E402
 from civicspan.sources import delimited, documents  # noqa: E402
 from civicspan.sources.buckets import bucketed_tables, save_bucketed  # noqa: E402
-from civicspan.sources.datasets import Tables  # noqa: E402
+from civicspan.sources.datasets import Tables, read_laid_out  # noqa: E402
 from civicspan.sources.schema import REGISTRY  # noqa: E402
 from civicspan.sources.star import ACS_GEOGRAPHY, ACS_VARIABLES, Star, star_tables  # noqa: E402
 from civicspan.streaming.drops import load_new_drops  # noqa: E402
@@ -375,13 +375,14 @@ def cascade_stored(spark: SparkSession, folder: str) -> DataFrame:
         "incident_id", "data_year", F.concat(F.lit("S"), F.col("agency_id") % 3).alias(delimited.STATE_FOLDER)
     )
     state = F.concat(F.lit("S"), F.col("agency_id") % 3).alias(delimited.STATE_FOLDER)
-    of_victim = t["nibrs_victim"].select("victim_id", "incident_id").join(drop, "incident_id").drop("incident_id")
     rows = {name: t[name].select("*", state) for name in ("nibrs_month", "nibrs_incident")}
     rows |= {name: t[name].join(drop, "incident_id") for name in ("nibrs_offense", "nibrs_arrestee", "nibrs_victim")}
-    rows["nibrs_victim_offense"] = t["nibrs_victim_offense"].join(of_victim, "victim_id")
     for name, facts in rows.items():
         delimited.append_drop(facts, f"{root}/{name}", tuple(cascade.FOLDERS), several_years=True)
-    cascade.prepare_stored_delete(spark, root, list(rows), "nibrs_month", F.col("data_year") == 1996, journal)
+    of_victim = read_laid_out(spark, f"{root}/nibrs_victim", cascade.FOLDERS).select("victim_id", *cascade.FOLDERS)
+    facts = t["nibrs_victim_offense"].join(of_victim, "victim_id")
+    delimited.append_drop(facts, f"{root}/nibrs_victim_offense", tuple(cascade.FOLDERS), several_years=True)
+    cascade.prepare_stored_delete(spark, root, CASCADED, "nibrs_month", F.col("data_year") == 1996, journal)
     cascade.finish_stored_delete(spark, root, journal)
     counts = [
         spark.read.parquet(f"{root}/{name}").agg(F.count("*").alias("kept_rows")).select(F.lit(name).alias("table_name"), "kept_rows")

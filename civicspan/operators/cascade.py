@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,11 +30,9 @@ def _parents_first(root: str, references: list[Reference]) -> list[str]:
     return ordered
 
 
-def _split(
-    tables: Mapping[str, DataFrame], root: str, condition: Column, references: list[Reference]
-) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
-    """The kept and the removed rows of the root and of every table below it, parents first."""
-    links = [
+def _links(tables: Mapping[str, DataFrame], references: list[Reference]) -> list[Reference]:
+    """The cascading references between the tables."""
+    return [
         r
         for r in references
         if r.cascade
@@ -42,6 +41,13 @@ def _split(
         and r.column in tables[r.child].columns
         and r.parent_column in tables[r.parent].columns
     ]
+
+
+def _split(
+    tables: Mapping[str, DataFrame], root: str, condition: Column, references: list[Reference]
+) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """The kept and the removed rows of the root and of every table below it, parents first."""
+    links = _links(tables, references)
     doomed = F.coalesce(condition, F.lit(False))
     kept = {root: tables[root].filter(~doomed)}
     removed = {root: tables[root].filter(doomed)}
@@ -94,6 +100,38 @@ def _staged(spark: SparkSession, journal: str) -> list:
         return []
 
 
+def _lost_keys(
+    tables: Mapping[str, DataFrame], root: str, condition: Column, references: list[Reference], journal: str
+) -> Iterator[tuple[str, DataFrame, Callable[[DataFrame], DataFrame]]]:
+    """Of the root and every table below it, parents first: its name, folders and keys of the rows that it loses, and a function that
+    leaves these out of some of its rows.
+
+    What a table loses is written down in the journal once; of other rows only the references are read for it."""
+    links = _links(tables, references)
+    doomed = F.coalesce(condition, F.lit(False))
+    keys: dict[tuple[str, str], DataFrame] = {}
+    for name in _parents_first(root, links):
+        gone = [(r.column, keys[r.parent, r.parent_column].withColumnRenamed(r.parent_column, r.column)) for r in links if r.child == name and name != root]
+        needed = sorted({r.parent_column for r in links if r.parent == name})
+        rest, parts = tables[name], [] if gone else [tables[name].filter(doomed)]
+        for column, lost_parents in gone:
+            parts.append(rest.join(lost_parents, column, "left_semi"))
+            rest = rest.join(lost_parents, column, "left_anti")
+        lost = reduce(DataFrame.unionByName, [part.select(*dict.fromkeys([*FOLDERS, *needed])) for part in parts])
+        path = f"{journal}/lost/{name}"
+        lost.write.mode("overwrite").parquet(path)
+        lost = lost.sparkSession.read.schema(lost.schema).parquet(path)
+        for column in needed:
+            keys[name, column] = lost.select(column).filter(F.col(column).isNotNull()).distinct()
+
+        def kept(rows: DataFrame, gone=gone) -> DataFrame:
+            for column, lost_parents in gone:
+                rows = rows.join(lost_parents, column, "left_anti")
+            return rows if gone else rows.filter(~doomed)
+
+        yield name, lost, lambda rows, kept=kept: kept(rows).select(rows.columns)
+
+
 def prepare_stored_delete(
     spark: SparkSession,
     tables_at: str,
@@ -111,15 +149,14 @@ def prepare_stored_delete(
     if _staged(spark, journal):
         return
     tables = {name: read_laid_out(spark, f"{tables_at}/{name}", FOLDERS) for name in names}
-    kept, removed = _split(tables, root, condition, references)
     steps = []
-    for name, lost in removed.items():
+    for name, lost, without in _lost_keys(tables, root, condition, references, journal):
         touched = lost.groupBy(*FOLDERS).agg(F.count("*").alias("removed"))
         touched = touched.collect()  # folders: a state and year each
         if not touched:
             continue
-        wanted = spark.createDataFrame([(r[STATE_FOLDER], r["data_year"]) for r in touched], f"{STATE_FOLDER} string, data_year int")
-        rest = kept[name].join(F.broadcast(wanted), list(FOLDERS), "left_semi").select(tables[name].columns)
+        here = [(F.col(STATE_FOLDER) == F.lit(r[STATE_FOLDER])) & (F.col("data_year") == F.lit(r["data_year"])) for r in touched]
+        rest = without(tables[name].filter(reduce(Column.__or__, here)))  # Spark reads these folders only
         rest.write.mode("overwrite").partitionBy(*FOLDERS).parquet(f"{journal}/rows/{name}")
         left = {}
         if any(rest.take(1)):

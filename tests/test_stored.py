@@ -310,6 +310,18 @@ def kept_keys(spark, root):
     }
 
 
+def test_a_stored_cascade_writes_each_tables_lost_keys_once(spark, tmp_path):
+    root, journal = tmp_path / "lake", f"{tmp_path}/journal"
+    frames = written_lake(spark, str(root))
+    cascade.prepare_stored_delete(spark, str(root), list(frames), "nibrs_incident", F.col("incident_id").isin(10, 20), journal)
+    lost = spark.read.parquet(f"{journal}/lost/nibrs_incident")
+    assert lost.columns == ["drop_state", "data_year", "incident_id"]
+    assert sorted(r.incident_id for r in lost.collect()) == [10, 20]
+    kept = cascade_delete(frames, "nibrs_incident", F.col("incident_id").isin(10, 20))
+    gone = frames["nibrs_offense"].count() - kept["nibrs_offense"].count()
+    assert gone > 0 and spark.read.parquet(f"{journal}/lost/nibrs_offense").count() == gone
+
+
 def test_a_stored_cascade_rewrites_only_the_folders_that_lose_rows(spark, tmp_path, monkeypatch):
     root, journal = tmp_path / "lake", f"{tmp_path}/journal"
     frames = written_lake(spark, str(root))
