@@ -428,7 +428,7 @@ def agency_coverage_chains(t: Tables) -> DataFrame:
     number = F.col("agency_id") % 20
     cover = F.when(number < 5, F.col("agency_id") + 1).when(number == 10, F.col("agency_id") + 1).when(number == 11, F.col("agency_id") - 1)
     chained = t["agencies"].withColumn("covered_by_legacy_ori", F.concat(F.lit("ORI"), cover))
-    return community.agency_participation(t.replace(agencies=chained), months=3)
+    return community.agency_participation(t.replace(agencies=chained), months=3, chains=True)
 
 
 def sql_views(t: Tables) -> DataFrame:
