@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 SHUFFLE_SETTING = "spark.sql.shuffle.partitions"
 ADVISORY_SETTING = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+SPLIT_SETTING = "spark.sql.files.maxPartitionBytes"
 #: Rows of the largest table that one task of a shuffle gets, and the bytes up to which Spark may join small parts again.
 ROWS_A_TASK = 250_000
 ADVISED_BYTES = 8 << 20
+#: Bytes of a file that one task reads, so that what it groups before a shuffle stays small too.
+SPLIT_BYTES = 32 << 20
 
 
 def local_session(app: str = "civicspan", cores: str = "*", memory: str = "8g") -> SparkSession:
@@ -40,12 +43,15 @@ def tasks_for(rows: int) -> int:
 def fit_shuffles(spark: SparkSession, rows: int) -> None:
     """Have the session's next jobs deal so many rows to enough tasks; settings that already do so stay.
 
-    Small parts are joined again by adaptive execution, so that jobs on less data lose little by it."""
+    Small parts are joined again by adaptive execution, so that jobs on less data lose little by it. However many partitions
+    there are, it would join them up to the advised size, so rows for several tasks lower that too, and the size of splits."""
     needed = tasks_for(rows)
     if needed > int(spark.conf.get(SHUFFLE_SETTING)):
         spark.conf.set(SHUFFLE_SETTING, str(needed))
-        advised = spark.sql(f"SET {ADVISORY_SETTING}").first()["value"]
-        spark.conf.set(ADVISORY_SETTING, str(min(_bytes(advised), ADVISED_BYTES)))
+    if needed > 1:
+        for setting, most in ((ADVISORY_SETTING, ADVISED_BYTES), (SPLIT_SETTING, SPLIT_BYTES)):
+            present = spark.sql(f"SET {setting}").first()["value"]
+            spark.conf.set(setting, str(min(_bytes(present), most)))
 
 
 def _bytes(text: str) -> int:

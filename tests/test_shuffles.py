@@ -10,7 +10,7 @@ from civicspan.sources.star import star_tables
 
 @pytest.fixture
 def settings(spark):
-    names = [session.SHUFFLE_SETTING, session.ADVISORY_SETTING]
+    names = [session.SHUFFLE_SETTING, session.ADVISORY_SETTING, session.SPLIT_SETTING]
     before = [spark.conf.get(name, None) for name in names]
     yield
     for name, value in zip(names, before, strict=True):
@@ -25,6 +25,14 @@ def test_shuffles_grow_with_the_largest_table(spark, settings, tmp_path, monkeyp
     assert int(spark.conf.get(session.ADVISORY_SETTING)) == session.ADVISED_BYTES
 
 
+def test_enough_partitions_are_not_joined_into_large_ones(spark, settings):
+    spark.conf.set(session.SHUFFLE_SETTING, "200")
+    spark.conf.set(session.ADVISORY_SETTING, "64MB")
+    session.fit_shuffles(spark, 10 * session.ROWS_A_TASK)
+    assert (spark.conf.get(session.SHUFFLE_SETTING), spark.conf.get(session.ADVISORY_SETTING)) == ("200", str(session.ADVISED_BYTES))
+    assert int(spark.conf.get(session.SPLIT_SETTING)) == session.SPLIT_BYTES
+
+
 def test_settings_that_suffice_stay(spark, settings):
     spark.conf.set(session.ADVISORY_SETTING, "16m")
     before = spark.conf.get(session.SHUFFLE_SETTING)
