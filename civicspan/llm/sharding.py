@@ -119,7 +119,8 @@ def propagate(labels: DataFrame, edges: DataFrame, room: Room, turn: int = 0, sl
     step = F.least(F.floor(gain * GAIN_STEPS), F.lit(GAIN_STEPS - 1)) * TIE_STEPS
     tie = F.pmod(F.xxhash64("unit", F.lit(2)), F.lit(TIE_STEPS))
     wishes = best.where((F.col("wish") != F.col("label")) & (gain > 0)).select("unit", "wish", (step + tie).alias("rank"))
-    now = labels.where("label >= 0").join(wishes, "unit", "left")
+    # A table, so that the sums and the moves don't work the wishes out anew.
+    now = written(labels.where("label >= 0").join(wishes, "unit", "left"), "asked")
 
     sizes = now.groupBy("label").agg(F.sum("n").alias("size"))
     asked = now.where("wish is not null").groupBy("label", "wish", "rank").agg(F.sum("n").alias("n"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import random
 
 import numpy as np
-from civicspan.llm import order_minhash
+from civicspan.llm import order_minhash, sharding
+from civicspan.llm.common import written
 
 
 def test_common_words_are_counted_over_all_nodes(spark):
@@ -50,3 +51,11 @@ def test_rest_pairs_of_large_buckets_are_all_found_once(spark, monkeypatch):
     found = {(bytes(r["under"]), bytes(r["over"])) for r in rest}
     linked = {(name[i], name[j]) for j in range(18) for i in range(j) if order_minhash.similar(texts[i], texts[j])}
     assert len(rest) == len(found) and len(linked) == 6 and linked - found == {(name[0], name[12])}
+
+
+def test_a_round_works_its_wishes_out_once(spark):
+    docs = spark.createDataFrame([(i, f"a line that is shared by group {i % 7}\nand an own line of text {i}") for i in range(60)], "doc_id long, text string")
+    units, edges = sharding.units_and_edges(written(sharding.prepare(docs), "rows"))
+    labels, room = sharding.first_labels(units, 4)
+    moved = sharding.propagate(written(labels, "labels"), edges, room)
+    assert edges.count() == 60 and not set(moved.inputFiles()) & set(edges.inputFiles())
