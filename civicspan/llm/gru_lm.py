@@ -151,18 +151,23 @@ def first_weights(lex: Lexicon, seed: int = 1) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place of ``x``."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.divide(1, x, out=x)
 
 
-def _odds(logits: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The natural log probability of the chosen column of each row, and all probabilities (in place of the logits).
+def _odds(logits: np.ndarray, rows: np.ndarray, chosen: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The natural log probability of the chosen column of each row, and, to learn, all probabilities (in place of the logits).
 
     Logits stay far from overflow, as states lie between -1 and 1; the bound only makes sure."""
     np.minimum(logits, 60, out=logits)
     picked = logits[rows, chosen]
     np.exp(logits, out=logits)
     total = logits @ np.ones(logits.shape[1], logits.dtype)
-    logits /= total[:, None]
+    if learn:
+        logits /= total[:, None]
     return picked - np.log(total), logits
 
 
@@ -185,20 +190,25 @@ class Network:
         recurrent = np.empty((steps, lanes, HIDDEN), np.float32)
         h[0] = state
         before = np.empty((steps, lanes, HIDDEN), np.float32)
+        goes_on = (~begins).astype(np.float32)[:, :, None]
+        pushed, moved = np.empty((lanes, 3 * HIDDEN), np.float32), np.empty((lanes, HIDDEN), np.float32)
         for t in range(steps):
-            before[t] = h[t] * ~begins[t][:, None]
-            pushed = before[t] @ u
-            gates[t] = _sigmoid(given[t, :, : 2 * HIDDEN] + pushed[:, : 2 * HIDDEN])
+            np.multiply(h[t], goes_on[t], out=before[t])
+            np.matmul(before[t], u, out=pushed)
+            _sigmoid(np.add(given[t, :, : 2 * HIDDEN], pushed[:, : 2 * HIDDEN], out=gates[t]))
             recurrent[t] = pushed[:, 2 * HIDDEN :]
-            fresh[t] = np.tanh(given[t, :, 2 * HIDDEN :] + gates[t, :, HIDDEN:] * recurrent[t])
-            keep = gates[t, :, :HIDDEN]
-            h[t + 1] = fresh[t] + keep * (before[t] - fresh[t])
+            np.multiply(gates[t, :, HIDDEN:], recurrent[t], out=moved)
+            moved += given[t, :, 2 * HIDDEN :]
+            np.tanh(moved, out=fresh[t])
+            np.subtract(before[t], fresh[t], out=moved)
+            moved *= gates[t, :, :HIDDEN]
+            np.add(fresh[t], moved, out=h[t + 1])
         return h[1:], (before, gates, fresh, recurrent)
 
     def outputs(self, h: np.ndarray, classes: np.ndarray, within: np.ndarray, learn: bool):
         """Natural log probability of each class and, for common words, of the word in it; and the gradient for ``h``."""
         rows = np.arange(len(h))
-        chosen, odds = _odds(h @ self.w["class"] + self.w["class_bias"], rows, classes)
+        chosen, odds = _odds(h @ self.w["class"] + self.w["class_bias"], rows, classes, learn)
         score = chosen.astype(np.float64)
         slopes, back = {}, None
         if learn:
@@ -213,7 +223,7 @@ class Network:
             if not len(at):
                 continue
             own, inside = h[at], within[at]
-            chosen, odds = _odds(own @ self.w["word"][c] + self.w["word_bias"][c], rows[: len(at)], inside)
+            chosen, odds = _odds(own @ self.w["word"][c] + self.w["word_bias"][c], rows[: len(at)], inside, learn)
             score[at] += chosen
             if learn:
                 odds[rows[: len(at)], inside] -= 1
@@ -243,9 +253,11 @@ class Network:
             pushes[t, :, : 2 * HIDDEN] = inputs[t, :, : 2 * HIDDEN]
             np.multiply(d_fresh, reset[t], out=pushes[t, :, 2 * HIDDEN :])
             carry = (d * keep[t] + pushes[t] @ u_t) * goes_on[t][:, None]
-        flat = reads.ravel()
+        flat = reads.ravel().astype(np.int16)  # so that the sort is by digits
         order = np.argsort(flat, kind="stable")
-        ids, first = np.unique(flat[order], return_index=True)
+        ordered = flat[order]
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        ids = ordered[first]
         slopes = {"state": before.reshape(-1, HIDDEN).T @ pushes.reshape(-1, 3 * HIDDEN)}
         self._input_slope = ids, np.add.reduceat(inputs.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
         return slopes
@@ -296,17 +308,21 @@ class Network:
             steps = int(length.max())
             places = starts[:active] + at + np.arange(steps)[:, None]
             inside = np.arange(steps)[:, None] < length
-            places = np.where(inside, places, 0)
-            read = np.where(inside, reads[places], lex.start_input)
-            begin = first[places] & inside
+            whole = bool((length == steps).all())
+            places = places if whole else np.where(inside, places, 0)
+            read = reads[places] if whole else np.where(inside, reads[places], lex.start_input)
+            begin = first[places] if whole else first[places] & inside
             h, kept = self.forward(read, begin, state[:active])
             state[:active] = h[-1]
-            took = places[inside]
-            score, slopes, back = self.outputs(h[inside], classes[took], within[took], learn)
+            took = places.ravel() if whole else places[inside]
+            score, slopes, back = self.outputs(h.reshape(-1, HIDDEN) if whole else h[inside], classes[took], within[took], learn)
             scores += np.bincount(owner[took], score, len(scores))
             if learn:
-                full = np.zeros(h.shape, np.float32)
-                full[inside] = back
+                if whole:
+                    full = back.reshape(h.shape)
+                else:
+                    full = np.zeros(h.shape, np.float32)
+                    full[inside] = back
                 slopes |= self.backward(read, begin, kept, full)
                 self.descend(slopes)
         return scores

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
-from civicspan.llm import order_minhash, sharding
+from civicspan.llm import gru_lm, order_minhash, sharding
 from civicspan.llm.common import written
 
 
@@ -59,3 +59,13 @@ def test_a_round_works_its_wishes_out_once(spark):
     labels, room = sharding.first_labels(units, 4)
     moved = sharding.propagate(written(labels, "labels"), edges, room)
     assert edges.count() == 60 and not set(moved.inputFiles()) & set(edges.inputFiles())
+
+
+def test_odds_are_made_to_learn_only():
+    some = np.random.default_rng(1)
+    logits, chosen = some.normal(0, 2, (9, 5)), some.integers(0, 5, 9)
+    shares = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+    for learn in (False, True):
+        score, odds = gru_lm._odds(logits.copy(), np.arange(9), chosen, learn)
+        assert np.allclose(score, np.log(shares[np.arange(9), chosen]))
+        assert np.allclose(odds, shares if learn else np.exp(logits))
