@@ -392,54 +392,50 @@ def finer_buckets(live: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 
 def bags_of(nodes: DataFrame) -> DataFrame:
-    """``node, bag``: how many of the node's words fall into each of ``BAG`` places."""
+    """``node, bag``: how many of the node's words fall into each of ``BAG`` places, 127 if more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             counts = [np.bincount(np.frombuffer(w, "<u4") % BAG, minlength=BAG) for w in batch.column("words").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array([c.astype("<u4").tobytes() for c in counts], pa.binary())], names=["node", "bag"]
-            )
+            bags = pa.array([np.minimum(c, 127).astype(np.int8) for c in counts], pa.list_(pa.int8()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), bags], names=["node", "bag"])
 
-    return nodes.select("node", "words").mapInArrow(run, "node binary, bag binary")
+    return nodes.select("node", "words").mapInArrow(run, "node binary, bag array<tinyint>")
 
 
-def near_bags(pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs whose bags allow the similarity: each edit changes at most one word of the longer text, so that no link is lost."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            both = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, BAG) for c in ("bag", "hub_bag")]
-            longer = np.maximum(*[bags.sum(axis=1, dtype=np.int64) for bags in both])
-            shared = np.minimum(*both).sum(axis=1, dtype=np.int64)
-            near = longer - shared <= (1 - least) * longer + 1e-9
-            yield batch.select(["node", "hub", "salts", "under", "over"]).filter(pa.array(near, pa.bool_()))
+def near_bags(n: str, other_n: str, bag: str, other_bag: str, least: float) -> Column:
+    """Whether two bags allow the similarity: each edit changes at most one word of the longer text, so that no link is lost.
 
-    return pairs.mapInArrow(run, "node binary, hub binary, salts int, under binary, over binary")
+    Two bags share half of what their words are together without what they differ by. Capped counts differ by less at most."""
+    apart = F.aggregate(F.zip_with(bag, other_bag, lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
+    longer = F.greatest(n, other_n)
+    return longer - (F.col(n) + F.col(other_n) - apart) / 2 <= F.lit(1 - least) * longer + F.lit(1e-9)
 
 
 def rest_pairs(live: DataFrame, nodes: DataFrame, tested: DataFrame, least: float) -> DataFrame:
     """What ``hub_pairs`` has left out: all other pairs of nodes of one bucket, from different classes, that may be links.
 
-    A bucket's nodes are dealt over tasks, each of which gets ``NODES_A_TASK`` of them and all nodes of the bucket beside; the pairs
-    are as many as the squares of buckets that are left in several classes."""
-    side = live.select("key", "node", "n", "class", "salts")
+    A bucket's nodes are dealt over tasks, each of which gets ``NODES_A_TASK`` of them and all nodes of the bucket beside. All pairs
+    are looked at where they meet, with the nodes' bags; rows are made of those alone that may be links."""
+    bags = written(bags_of(nodes.join(live.select("node").distinct(), "node", "left_semi")), "bags")
+    side = live.select("key", "node", "n", "class", "salts").join(bags, "node")
     dealt = side.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
     other = side.select(
-        "key", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("class").alias("hub_class"),
+        "key", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("class").alias("hub_class"), F.col("bag").alias("hub_bag"),
         F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
     )
     fit = F.least("n", "hub_n") >= F.lit(least) * F.greatest("n", "hub_n")
-    met = dealt.join(other.hint("merge"), ["key", "salt"]).where((F.col("node") < F.col("hub")) & (F.col("class") != F.col("hub_class")) & fit)
+    near = near_bags("n", "hub_n", "bag", "hub_bag", least)
+    met = dealt.join(other.hint("merge"), ["key", "salt"]).where(
+        (F.col("node") < F.col("hub")) & (F.col("class") != F.col("hub_class")) & fit & near
+    )
     pairs = met.groupBy("node", "hub").agg(
         F.max("salts").alias("salts"),
         F.first(F.least("class", "hub_class")).alias("under"),
         F.first(F.greatest("class", "hub_class")).alias("over"),
     )
     pairs = pairs.join(tested.select(F.col("a").alias("node"), F.col("b").alias("hub")), ["node", "hub"], "left_anti")
-    bags = written(bags_of(nodes.join(live.select("node").distinct(), "node", "left_semi")), "bags")
-    both = pairs.join(bags, "node").join(bags.select(F.col("node").alias("hub"), F.col("bag").alias("hub_bag")), "hub")
-    return written(near_bags(both, least), "rest")
+    return written(pairs, "rest")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:

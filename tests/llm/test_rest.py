@@ -53,6 +53,21 @@ def test_rest_pairs_of_large_buckets_are_all_found_once(spark, monkeypatch):
     assert len(rest) == len(found) and len(linked) == 6 and linked - found == {(name[0], name[12])}
 
 
+def test_bags_rule_out_no_link_and_most_others(spark):
+    some = random.Random(3)
+    texts = [t.split() for t in crowd(some, 30, 10, 4, 9999, 20, 10).values()]
+    texts += [["often"] * 300 + t for t in texts[:8]] + [["often"] * 290 + t for t in texts[4:12]]
+    hashed = [order_minhash.word_hashes(" ".join(t).encode()) for t in texts]
+    rows = [(bytes([i]), len(t), (t >> np.uint64(32)).astype("<u4").tobytes()) for i, t in enumerate(hashed)]
+    nodes = spark.createDataFrame(rows, "node binary, n long, words binary")
+    bags = nodes.select("node", "n").join(order_minhash.bags_of(nodes), "node")
+    pairs = bags.crossJoin(bags.toDF("hub", "hub_n", "hub_bag")).where("node < hub")
+    near = pairs.where(order_minhash.near_bags("n", "hub_n", "bag", "hub_bag", 0.8)).select("node", "hub").collect()
+    near = {(r["node"][0], r["hub"][0]) for r in near}
+    linked = {(i, j) for j in range(len(texts)) for i in range(j) if order_minhash.similar(hashed[i], hashed[j])}
+    assert len(linked) > 10 and linked <= near and len(near) < pairs.count()
+
+
 def test_a_round_works_its_wishes_out_once(spark):
     docs = spark.createDataFrame([(i, f"a line that is shared by group {i % 7}\nand an own line of text {i}") for i in range(60)], "doc_id long, text string")
     units, edges = sharding.units_and_edges(written(sharding.prepare(docs), "rows"))
