@@ -11,7 +11,7 @@ with a hub, one of the bucket's nodes, before what is left is compared all with
 words, bit-parallel, finds an edit similarity ``1 - edits / longer`` of at least 0.8. First each node is compared with
 the hub that it meets most often, and the components of all links are formed. Then buckets that still hold
 several components choose hubs of the first and of the last component, and all their nodes of other components are
-compared with them, until that finds no further link.
+compared with them, until that finds few further links.
 
 Hubs may leave pairs of other classes in buckets of many texts that share a passage. Their texts are sketched anew by what they have beside
 the hub (``own_keys``), and meet in finer buckets, to which the same is done. So each of these steps' rows are
@@ -52,7 +52,14 @@ FINER = 1
 #: Nodes that are compared with one hub in a task.
 NODES_A_TASK = 500
 #: Places into which words are counted, to tell pairs that cannot be links.
-BAG = 128
+BAG = 512
+#: What pairs meet in, how many rows of it are read at a time at least, and how many pairs are handed on at a time.
+CELL = ("key", "low_block", "high_block")
+ROWS_AT_ONCE, PAIRS_AT_ONCE = 10_000, 100_000
+#: Hubs are gone through again while at least such a share of the pairs with them are links; what they leave is compared all with all.
+LINKED = 0.25
+#: Pairs and edges that one task gets at least, and the tasks there are at least, so that small steps aren't dealt over all shuffle partitions.
+PAIRS_A_TASK, EDGES_A_TASK, LEAST_TASKS = 1000, 50_000, 24
 SIMILARITY = 0.8
 KEPT_WORDS = 500_000
 #: Hashed words times sketches that are worked on at a time.
@@ -219,6 +226,11 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return bool(longer) and edits_within(a, b, int((1 - least) * longer + 1e-9))
 
 
+def _dealt(frame: DataFrame, rows: int, each: int) -> DataFrame:
+    """In no more tasks than so many rows are worth; shuffle partitions that are read together stay whole."""
+    return frame.coalesce(max(LEAST_TASKS, rows // each + 1))
+
+
 def _node(text: Column) -> Column:
     return F.unhex(F.substring(text_key(text), 1, 32))
 
@@ -387,7 +399,8 @@ def finer_buckets(live: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
             columns = [batch.column("node"), pa.array(lengths, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "keys"])
 
-    made = with_words(home, nodes, "node", "hub").mapInArrow(run, "node binary, n long, keys array<bigint>")
+    met = _dealt(with_words(home, nodes, "node", "hub"), home.count(), PAIRS_A_TASK)
+    made = met.mapInArrow(run, "node binary, n long, keys array<bigint>")
     return buckets_of(written(made, "own-keys"))
 
 
@@ -412,28 +425,82 @@ def near_bags(n: str, other_n: str, bag: str, other_bag: str, least: float) -> C
     return longer - (F.col(n) + F.col(other_n) - apart) / 2 <= F.lit(1 - least) * longer + F.lit(1e-9)
 
 
+def _cells_end(batch: pa.RecordBatch) -> np.ndarray:
+    """For each row of sorted cells, the row behind the last one of its cell."""
+    columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in CELL]
+    edge = np.zeros(batch.num_rows, bool)
+    edge[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    starts = np.append(np.flatnonzero(edge), batch.num_rows)
+    return starts[np.cumsum(edge)]
+
+
+def cell_pairs(batch: pa.RecordBatch, least: float) -> Iterator[pa.RecordBatch]:
+    """``node, hub, under, over, salts`` of the pairs of a cell's rows that may be links; cells are whole and in order.
+
+    All rows meet the row that is 1, 2, ... behind them at a time, as long as that is of their cell."""
+    bags = batch.column("bag").flatten().to_numpy(zero_copy_only=False).reshape(-1, BAG)
+    n, salts, block, low, high = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "salts", "block", "low_block", "high_block"))
+    node, group = (np.array([*batch.column(c).to_pylist(), None], object)[:-1] for c in ("node", "class"))
+    number = batch.column("class").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    end, rows, found, held = _cells_end(batch), np.arange(batch.num_rows), [], 0
+    #: A row of the first block meets all blocks, one of another only those that its cell is for.
+    once = low == high
+    for behind in range(1, batch.num_rows):
+        rows = rows[rows + behind < end[rows]]
+        if not len(rows):
+            break
+        others = rows + behind
+        short, long = np.minimum(n[rows], n[others]), np.maximum(n[rows], n[others])
+        apt = (number[rows] != number[others]) & (once[rows] | (block[rows] != block[others])) & (short >= least * long)
+        a, b, short, long = rows[apt], others[apt], short[apt], long[apt]
+        apart = np.abs(bags[a] - bags[b]).sum(axis=1, dtype=np.int32)
+        near = long - (short + long - apart) / 2 <= (1 - least) * long + 1e-9
+        if near.any():
+            found.append((a[near], b[near]))
+            held += len(found[-1][0])
+        if held >= PAIRS_AT_ONCE:
+            yield _pair_rows(found, node, group, salts)
+            found, held = [], 0
+    if found:
+        yield _pair_rows(found, node, group, salts)
+
+
+def _pair_rows(found: list, node: np.ndarray, group: np.ndarray, salts: np.ndarray) -> pa.RecordBatch:
+    a, b = (np.concatenate(side) for side in zip(*found, strict=True))
+    swap, turned = node[a] > node[b], group[a] > group[b]
+    columns = [np.where(swap, node[b], node[a]), np.where(swap, node[a], node[b])]
+    columns += [np.where(turned, group[b], group[a]), np.where(turned, group[a], group[b])]
+    made = [pa.array(c, pa.binary()) for c in columns] + [pa.array(salts[a], pa.int32())]
+    return pa.RecordBatch.from_arrays(made, names=["node", "hub", "under", "over", "salts"])
+
+
 def rest_pairs(live: DataFrame, nodes: DataFrame, tested: DataFrame, least: float) -> DataFrame:
     """What ``hub_pairs`` has left out: all other pairs of nodes of one bucket, from different classes, that may be links.
 
-    A bucket's nodes are dealt over tasks, each of which gets ``NODES_A_TASK`` of them and all nodes of the bucket beside. All pairs
-    are looked at where they meet, with the nodes' bags; rows are made of those alone that may be links."""
+    A bucket's nodes are dealt into blocks of some ``NODES_A_TASK``, and each two blocks, or one with itself, are a cell. Cells are
+    sorted within their tasks and read as a stream, so a task holds one cell and a little more. All pairs
+    are looked at in their cell, with the nodes' bags; rows are made of those alone that may be links."""
     bags = written(bags_of(nodes.join(live.select("node").distinct(), "node", "left_semi")), "bags")
     side = live.select("key", "node", "n", "class", "salts").join(bags, "node")
-    dealt = side.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
-    other = side.select(
-        "key", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("class").alias("hub_class"), F.col("bag").alias("hub_bag"),
-        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
-    )
-    fit = F.least("n", "hub_n") >= F.lit(least) * F.greatest("n", "hub_n")
-    near = near_bags("n", "hub_n", "bag", "hub_bag", least)
-    met = dealt.join(other.hint("merge"), ["key", "salt"]).where(
-        (F.col("node") < F.col("hub")) & (F.col("class") != F.col("hub_class")) & fit & near
-    )
-    pairs = met.groupBy("node", "hub").agg(
-        F.max("salts").alias("salts"),
-        F.first(F.least("class", "hub_class")).alias("under"),
-        F.first(F.greatest("class", "hub_class")).alias("over"),
-    )
+    each = side.withColumn("block", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    cells = each.withColumns({"low_block": F.least("block", "other"), "high_block": F.greatest("block", "other")}).drop("other")
+    dealt = cells.repartition(*CELL).sortWithinPartitions(*CELL)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= ROWS_AT_ONCE:
+                whole = pa.concat_batches(held)
+                last = int(np.searchsorted(_cells_end(whole), whole.num_rows))
+                yield from cell_pairs(whole.slice(0, last), least)
+                held = [whole.slice(last)]
+        if held:
+            yield from cell_pairs(pa.concat_batches(held), least)
+
+    met = dealt.mapInArrow(run, "node binary, hub binary, under binary, over binary, salts int")
+    pairs = met.groupBy("node", "hub").agg(F.max("salts").alias("salts"), F.first("under").alias("under"), F.first("over").alias("over"))
     pairs = pairs.join(tested.select(F.col("a").alias("node"), F.col("b").alias("hub")), ["node", "hub"], "left_anti")
     return written(pairs, "rest")
 
@@ -447,7 +514,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
             linked = [similar(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), least) for x, y in zip(left, right, strict=True)]
             yield batch.select(["under", "over"]).filter(pa.array(linked, pa.bool_()))
 
-    return with_words(pairs, nodes, "under", "over").mapInArrow(run, "under binary, over binary")
+    met = _dealt(with_words(pairs, nodes, "under", "over"), pairs.count(), PAIRS_A_TASK)
+    return met.mapInArrow(run, "under binary, over binary")
 
 
 def are_stars(edges: DataFrame) -> bool:
@@ -466,14 +534,20 @@ def components(links: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     neighbours, then all smaller ones are, until only stars are left. Hot nodes are grouped by partial minima only.
     """
     edges = written(links.select(F.col("over").alias("a"), F.col("under").alias("b")).distinct(), "links")
+    many = edges.count()
+
+    def few(frame: DataFrame) -> DataFrame:
+        return _dealt(frame, many, EDGES_A_TASK)
+
     while not are_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = few(both.where("b > a").join(least, "a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = few(large.distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        own = least.select("a", F.col("m").alias("b"))
-        edges = written(small.unionByName(own).distinct(), "stars")
+        small = few(large.join(least, "a").where("b != m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        own = few(least).select("a", F.col("m").alias("b"))
+        edges = written(few(small.unionByName(own).distinct()), "stars")
     members = edges.select(F.col("a").alias("node"), F.col("b").alias("class"))
     tops = edges.select(F.col("b").alias("node"), F.col("b").alias("class")).distinct()
     found = members.unionByName(tops)
@@ -487,10 +561,12 @@ def components(links: DataFrame, classes: DataFrame | None = None) -> DataFrame:
 def link(
     buckets: DataFrame, nodes: DataFrame, classes: DataFrame | None, tested: DataFrame | None, least: float
 ) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-    """The buckets that hold several classes yet, the classes, and the pairs tested so far, after the hubs have found no more links."""
-    live, found_some = buckets, True
+    """The buckets that hold several classes yet, the classes, and the pairs tested so far, after the hubs have found few more links.
+
+    Classes may have grown together since the buckets were looked at; ``link_rest`` looks again and finds what the hubs have left."""
+    live, found_many = buckets, True
     first = classes is None  # later steps have few nodes, and no best hubs
-    while found_some:  # until a turn over all hubs finds nothing
+    while found_many:  # until a turn over all hubs finds little
         live = live_buckets(buckets, None) if first else written(live_buckets(live, classes), "live")
         pairs = hub_pairs(live, least, first)
         if tested is not None:
@@ -499,8 +575,9 @@ def link(
         tried = pairs.select("a", "b")
         tested = tried if tested is None else tested.unionByName(tried)
         found = written(verified(pairs, nodes, least), "found")
-        found_some = first or not found.isEmpty()
-        if not found.isEmpty():
+        n_found = found.count()
+        found_many = first or n_found > LINKED * tried.count()
+        if n_found:
             classes = components(found, classes)
         live, first = (buckets, False) if first else (live, False)
     return live, classes, tested

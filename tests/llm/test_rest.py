@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 from civicspan.llm import gru_lm, order_minhash, sharding
 from civicspan.llm.common import written
 
@@ -84,3 +85,29 @@ def test_odds_are_made_to_learn_only():
         score, odds = gru_lm._odds(logits.copy(), np.arange(9), chosen, learn)
         assert np.allclose(score, np.log(shares[np.arange(9), chosen]))
         assert np.allclose(odds, shares if learn else np.exp(logits))
+
+
+def test_pairs_of_cells_are_those_that_bags_allow(spark):
+    some = random.Random(5)
+    texts = [order_minhash.word_hashes(t.encode()) for t in crowd(some, 20, 20, 7, 300, 40, 20).values()]
+    name = [f"{i:02}".encode() for i in range(len(texts))]
+    rows = [(x, len(t), (t >> np.uint64(32)).astype("<u4").tobytes()) for x, t in zip(name, texts)]
+    nodes = spark.createDataFrame(rows, "node binary, n long, words binary")
+    bags = nodes.select("node", "n").join(order_minhash.bags_of(nodes), "node")
+    near = bags.crossJoin(bags.toDF("hub", "hub_n", "hub_bag")).where(order_minhash.near_bags("n", "hub_n", "bag", "hub_bag", 0.8))
+    allowed = {(bytes(r["node"]), bytes(r["hub"])) for r in near.where("node < hub").select("node", "hub").collect()}
+    bag = {bytes(r["node"]): r["bag"] for r in bags.collect()}
+    # Two buckets in two blocks each; every cell has the rows of its blocks.
+    cells = [(k, low, high) for k in (0, 1) for low, high in ((0, 0), (0, 1), (1, 1))]
+    made = [
+        {"key": k, "low_block": low, "high_block": high, "block": at // 7 % 2, "node": name[at], "class": name[at], "n": len(texts[at]), "salts": 2, "bag": bag[name[at]]}
+        for k, low, high in cells
+        for at in range(k, 60, 2)
+        if at // 7 % 2 in (low, high)
+    ]
+    schema = pa.schema({"key": pa.int64(), "low_block": pa.int32(), "high_block": pa.int32(), "block": pa.int32(), "node": pa.binary(), "class": pa.binary(), "n": pa.int64(), "salts": pa.int32(), "bag": pa.list_(pa.int8())})
+    batch = pa.RecordBatch.from_pylist(sorted(made, key=lambda r: (r["key"], r["low_block"], r["high_block"])), schema)
+    found = [(r["node"], r["hub"]) for b in order_minhash.cell_pairs(batch, 0.8) for r in b.to_pylist()]
+    together = {(a, b) for a, b in allowed if (name.index(a) - name.index(b)) % 2 == 0}
+    assert sorted(found) == sorted(together) and len(found) > 5
+    assert list(order_minhash.cell_pairs(batch.slice(0, 0), 0.8)) == []
