@@ -23,9 +23,11 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +52,11 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def words_in(texts: pa.Array) -> pa.Array:
+    """The same words of many texts, as lists, and empty ones where a text begins or ends with white space."""
+    return pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))).cast(pa.list_(pa.binary()))
+
+
 def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
@@ -58,21 +65,28 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """``word, n`` over all texts, ends included; each task sums what it has seen before rows are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held, rows, ends = [], 0, 0
         for batch in small_batches(batches):
-            for t in batch.column(0).to_pylist():
-                counts.update(words_of((t or "").encode()))
-            counts[END] += batch.num_rows
-            if len(counts) > FLUSH_WORDS:
-                yield flushed(counts)
-                counts = Counter()
-        if counts:
-            yield flushed(counts)
-
-    def flushed(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"]
-        )
+            counted = words_in(batch.column(0)).flatten().value_counts()
+            held.append(pa.table({"word": counted.field("values"), "n": counted.field("counts")}))
+            rows, ends = rows + len(counted), ends + batch.num_rows
+            if rows > 2 * FLUSH_WORDS:
+                held = [summed(held)]
+                rows = held[0].num_rows
+                if rows > FLUSH_WORDS:
+                    yield from typed(held[0])
+                    held, rows = [], 0
+        if ends:
+            if held:
+                yield from typed(summed(held))
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], names=["word", "n"])
+
+    def summed(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+    def typed(counts: pa.Table) -> list[pa.RecordBatch]:
+        counted = counts.filter(pc.greater(pc.binary_length(counts["word"]), 0))
+        return counted.combine_chunks().to_batches()
 
     partial = docs.select(text).mapInArrow(run, "word binary, n long")
     return partial.groupBy("word").agg(F.sum("n").alias("n"))
@@ -218,17 +232,24 @@ class Network:
             slopes["word"], slopes["word_bias"] = np.zeros_like(self.w["word"]), np.zeros_like(self.w["word_bias"])
         order = np.argsort(classes.astype(np.int8), kind="stable")
         edges = np.searchsorted(classes[order], np.arange(COMMON_CLASSES + 1))
+        common = order[: edges[-1]]
+        owns, insides, gained = h[common], within[common], np.empty(len(common), np.float32)
+        sent = np.empty_like(owns) if learn else None
         for c in range(COMMON_CLASSES):
-            at = order[edges[c] : edges[c + 1]]
-            if not len(at):
+            a, b = edges[c], edges[c + 1]
+            if a == b:
                 continue
-            own, inside = h[at], within[at]
-            chosen, odds = _odds(own @ self.w["word"][c] + self.w["word_bias"][c], rows[: len(at)], inside, learn)
-            score[at] += chosen
+            own, inside = owns[a:b], insides[a:b]
+            logits = own @ self.w["word"][c]
+            logits += self.w["word_bias"][c]
+            gained[a:b], odds = _odds(logits, rows[: b - a], inside, learn)
             if learn:
-                odds[rows[: len(at)], inside] -= 1
+                odds[rows[: b - a], inside] -= 1
                 slopes["word"][c], slopes["word_bias"][c] = own.T @ odds, odds.sum(axis=0)
-                back[at] += odds @ self.w["word"][c].T
+                np.matmul(odds, self.w["word"][c].T, out=sent[a:b])
+        score[common] += gained
+        if learn:
+            back[common] += sent
         return score, slopes, back
 
     def backward(self, reads: np.ndarray, begins: np.ndarray, kept, back: np.ndarray) -> dict[str, np.ndarray]:
@@ -239,20 +260,31 @@ class Network:
         pushes = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
         inputs = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
         carry = np.zeros((lanes, HIDDEN), np.float32)
-        keep, reset = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
-        to_fresh = (1 - keep) * (1 - fresh * fresh)
-        to_keep = (before - fresh) * keep * (1 - keep)
-        to_reset = recurrent * reset * (1 - reset)
-        goes_on = ~begins
+        keep, reset = gates[:, :, :HIDDEN].copy(), gates[:, :, HIDDEN:]
+        to_fresh, to_keep = fresh * fresh, before - fresh
+        left = 1 - keep
+        np.subtract(1, to_fresh, out=to_fresh)
+        to_fresh *= left
+        to_keep *= keep
+        to_keep *= left
+        turns = np.empty((steps, lanes, 2, HIDDEN), np.float32)
+        np.multiply(recurrent, reset, out=turns[:, :, 0])
+        turns[:, :, 0] *= 1 - reset
+        turns[:, :, 1] = reset
+        goes_on = (~begins).astype(np.float32)[:, :, None]
+        d, d_fresh, kept_on = (np.empty((lanes, HIDDEN), np.float32) for _ in range(3))
+        halves = pushes.reshape(steps, lanes, 3, HIDDEN)
         for t in range(steps - 1, -1, -1):
-            d = back[t] + carry
-            d_fresh = d * to_fresh[t]
-            np.multiply(d, to_keep[t], out=inputs[t, :, :HIDDEN])
-            np.multiply(d_fresh, to_reset[t], out=inputs[t, :, HIDDEN : 2 * HIDDEN])
+            np.add(back[t], carry, out=d)
+            np.multiply(d, to_fresh[t], out=d_fresh)
+            np.multiply(d, to_keep[t], out=halves[t, :, 0])
+            np.multiply(d_fresh[:, None], turns[t], out=halves[t, :, 1:])
             inputs[t, :, 2 * HIDDEN :] = d_fresh
-            pushes[t, :, : 2 * HIDDEN] = inputs[t, :, : 2 * HIDDEN]
-            np.multiply(d_fresh, reset[t], out=pushes[t, :, 2 * HIDDEN :])
-            carry = (d * keep[t] + pushes[t] @ u_t) * goes_on[t][:, None]
+            np.multiply(d, keep[t], out=kept_on)
+            np.matmul(pushes[t], u_t, out=carry)
+            np.add(kept_on, carry, out=carry)
+            carry *= goes_on[t]
+        inputs[:, :, : 2 * HIDDEN] = pushes[:, :, : 2 * HIDDEN]
         flat = reads.ravel().astype(np.int16)  # so that the sort is by digits
         order = np.argsort(flat, kind="stable")
         ordered = flat[order]
@@ -302,9 +334,11 @@ class Network:
         bands = known & (classes >= COMMON_CLASSES)
         np.add.at(scores, owner[bands], lex.log_share[flat[bands]])
         state = np.zeros((len(sizes), HIDDEN), np.float32)
-        for at in range(0, int(sizes[0]), WINDOW):
+        at = 0
+        while at < sizes[0]:
             active = int(np.searchsorted(-sizes, -at, side="left"))
-            length = np.minimum(sizes[:active] - at, WINDOW)
+            window = WINDOW if learn else WINDOW * max(1, SCORING_LANES // active)
+            length = np.minimum(sizes[:active] - at, window)
             steps = int(length.max())
             places = starts[:active] + at + np.arange(steps)[:, None]
             inside = np.arange(steps)[:, None] < length
@@ -317,6 +351,7 @@ class Network:
             took = places.ravel() if whole else places[inside]
             score, slopes, back = self.outputs(h.reshape(-1, HIDDEN) if whole else h[inside], classes[took], within[took], learn)
             scores += np.bincount(owner[took], score, len(scores))
+            at += window
             if learn:
                 if whole:
                     full = back.reshape(h.shape)
@@ -328,15 +363,6 @@ class Network:
         return scores
 
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
-def _numbers(lex: Lexicon) -> _Numbers:
-    return _Numbers((word, i) for i, word in enumerate(lex.words))
-
-
 def numbered(docs: DataFrame, lex, rounds: int, key: str, text: str) -> DataFrame:
     """A row of each document, written: ``row, doc_id, held, part, n_tokens, n_known, known_logs, ids, rare, times``.
 
@@ -348,19 +374,23 @@ def numbered(docs: DataFrame, lex, rounds: int, key: str, text: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon_ = lex.value
-        numbers = _numbers(lexicon_)
-        lookup, end = numbers.__getitem__, numbers[END]
+        known_words, end = pa.array(lexicon_.words, pa.binary()), lexicon_.words.index(END)
         logs, seen = np.log10(lexicon_.counts + ADDED), lexicon_.counts > 0
         row = TaskContext.get().partitionId() << 33
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, 2000):
             made, rare, known = [], [], []
-            for t in batch.column("text").to_pylist():
-                words = words_of((t or "").encode())
-                ids = list(map(lookup, words))
-                ids.append(end)
-                made.append(np.array(ids, dtype="<i4"))
-                rare.append(Counter(words[i] for i in np.flatnonzero(made[-1] < 0)))
-                known.append(made[-1][made[-1] >= 0])
+            lists = words_in(batch.column("text"))
+            words = lists.flatten()
+            ids = pc.index_in(words, known_words).fill_null(-1).to_numpy()
+            filled = pc.binary_length(words).to_numpy() > 0
+            ends = np.concatenate(([0], np.cumsum(filled)))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+            ids, others = ids[filled], iter(words.filter(pa.array(filled & (ids < 0))).to_pylist())
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                made.append(np.append(ids[a:b], np.int32(end)))
+                inside = made[-1] >= 0
+                many = len(inside) - np.count_nonzero(inside)
+                rare.append(Counter(islice(others, many)))
+                known.append(made[-1][inside] if many else made[-1])
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [

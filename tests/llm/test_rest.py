@@ -111,3 +111,26 @@ def test_pairs_of_cells_are_those_that_bags_allow(spark):
     together = {(a, b) for a, b in allowed if (name.index(a) - name.index(b)) % 2 == 0}
     assert sorted(found) == sorted(together) and len(found) > 5
     assert list(order_minhash.cell_pairs(batch.slice(0, 0), 0.8)) == []
+
+
+def test_words_of_many_texts_are_those_of_each():
+    texts = ["", None, " a\tB\x0b\x0cc\n", "Äß x", "\x1c y z", "  ", "end"]
+    lists = gru_lm.words_in(pa.array(texts)).to_pylist()
+    assert [[w for w in words if w] for words in lists] == [gru_lm.words_of((t or "").encode()) for t in texts]
+
+
+def test_scoring_in_longer_windows_where_few_lanes_are_left():
+    words = [b"w%d" % i for i in range(30)]
+    lex = gru_lm.Lexicon(words, np.arange(30, 0, -1), 1, 465, 30)
+    network = gru_lm.Network(gru_lm.first_weights(lex))
+    some = np.random.default_rng(2)
+    documents = [some.integers(-1, 30, n).astype("<i4") for n in (900, 40, 7, 1, 33)]
+    steps = []
+
+    def forward(reads, begins, state, real=network.forward):
+        steps.append(reads.shape)
+        return real(reads, begins, state)
+
+    network.forward = forward
+    scores = network.run(documents, lex, learn=False)
+    assert steps == [(900, 5)] and np.allclose(scores, [network.run([d], lex, learn=False)[0] for d in documents])
